@@ -5,7 +5,7 @@ within distance 3 of exactly one of 4096 codewords. Each of the first six segmen
 where it lies at distance 3, to the five codewords at distance 4, the only ones that a word one bit away decodes to
 (so two words at distance 2 or less always share one). Two segments' codewords make a join key; of the up to 36 keys
 of a pair of segments the few that flip the least certain bits are used. Pigeonhole: errors spread over six segments
-leave some two with few. Documents that share a key are compared on these segments at once and then verified on the
+leave some two with few. Documents that share a key are compared on 64 other bits at once and then verified on the
 whole fingerprint.
 """
 
@@ -24,8 +24,8 @@ from engrammatic.llm._runs import run_starts, spanning_edges, whole_runs
 from engrammatic.llm._shared import components, written
 
 SEGMENTS, KEYED, BITS = 17, 6, 23
-#: Keys for each of the 15 pairs of keyed segments; bits that may differ in the keyed segments, and in all.
-KEYS, NEAR_KEYED, NEAR = 4, 26, 66
+#: Keys for each of the 15 pairs of keyed segments; bits that may differ in the 64 compared at once, and in all.
+KEYS, NEAR_CHECK, NEAR = 4, 17, 66
 _WORDS = 7  # 64-bit words of a fingerprint: 391 bits
 
 
@@ -122,7 +122,8 @@ def join_keys(sums: np.ndarray, keys: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 FP = [f"f{i}" for i in range(_WORDS)]
-KEYED_WORDS = 3
+#: The word of the fingerprint that travels with a key; it has no bits of keyed segments.
+CHECK = "f3"
 
 
 def fingerprint_rows(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
@@ -144,25 +145,24 @@ def distance(a: list[np.ndarray], i, j) -> np.ndarray:
     return sum(np.bitwise_count((x[i] ^ x[j]).view(np.uint64)).astype(np.int32) for x in a)  # of signed integers it counts the absolute value
 
 
-def near_in_runs(batches: Iterator[pa.RecordBatch], near_keyed: int) -> Iterator[pa.RecordBatch]:
+def near_in_runs(batches: Iterator[pa.RecordBatch], near_check: int) -> Iterator[pa.RecordBatch]:
     """Edges among the rows of each key."""
-    last = np.int64((1 << (KEYED * BITS - 128)) - 1)
     for c in whole_runs(batches, "key"):
         at = run_starts(c["key"])
         size = np.diff(at)
-        f = [c["f0"], c["f1"], c["f2"] & last]
+        f = [c[CHECK]]
         ids, key = c["doc_id"], c["key"]
         a, b = [], []
         small = np.repeat(size <= 24, size)
         for d in range(1, min(24, int(size.max()))):
             i = np.flatnonzero((key[:-d] == key[d:]) & small[:-d])
-            i = i[distance(f, i, i + d) <= near_keyed]
+            i = i[distance(f, i, i + d) <= near_check]
             a.append(ids[i])
             b.append(ids[i + d])
         for r in np.flatnonzero(size > 24):
             lo, hi = at[r], at[r + 1]
             part = [x[lo:hi] for x in f]
-            i, j = spanning_edges(hi - lo, lambda i, others, part=part: distance(part, i, others) <= near_keyed)
+            i, j = spanning_edges(hi - lo, lambda i, others, part=part: distance(part, i, others) <= near_check)
             a.append(ids[lo:hi][i])
             b.append(ids[lo:hi][j])
         if a:
@@ -171,7 +171,7 @@ def near_in_runs(batches: Iterator[pa.RecordBatch], near_keyed: int) -> Iterator
             yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
 
 
-def near_duplicates(docs: DataFrame, near: int = NEAR, near_keyed: int = NEAR_KEYED, keys: int = KEYS) -> DataFrame:
+def near_duplicates(docs: DataFrame, near: int = NEAR, near_check: int = NEAR_CHECK, keys: int = KEYS) -> DataFrame:
     """Documents that are near copies of others: (doc_id, kept_doc_id), kept_doc_id being the least of the group.
 
     docs needs doc_id (integer) and text; doc_id names a document. Documents are near when at most ``near`` of 391
@@ -187,8 +187,8 @@ def near_duplicates(docs: DataFrame, near: int = NEAR, near_keyed: int = NEAR_KE
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     words = ", ".join(f"{f} long" for f in FP)
     prints = written(plain.mapInArrow(lambda it: fingerprint_rows(it, keys), f"doc_id long, keys array<long>, {words}"))
-    rows = prints.select(F.explode("keys").alias("key"), "doc_id", *FP[:KEYED_WORDS])
-    edges = rows.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: near_in_runs(it, near_keyed), "a long, b long").distinct()
+    rows = prints.select(F.explode("keys").alias("key"), "doc_id", CHECK)
+    edges = rows.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: near_in_runs(it, near_check), "a long, b long").distinct()
     left, right = (prints.select(F.col("doc_id").alias(e), *(F.col(f).alias(f"{e}_{f}") for f in FP)) for e in "ab")
     apart = sum((F.bit_count(F.col(f"a_{f}").bitwiseXOR(F.col(f"b_{f}"))) for f in FP), F.lit(0))
     edges = edges.join(left, "a").join(right, "b").where(apart <= near).select("a", "b")
