@@ -8,17 +8,17 @@ import numpy as np
 import pyarrow as pa
 
 
-def whole_runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[dict[str, np.ndarray]]:
+def whole_runs(batches: Iterator[pa.RecordBatch | dict[str, np.ndarray]], key: str) -> Iterator[dict[str, np.ndarray]]:
     """Columns as arrays, in pieces that never cut a run of equal keys. The rows must come sorted by key."""
     rest: dict[str, np.ndarray] | None = None
     for b in batches:
-        if not b.num_rows:
+        now = b if isinstance(b, dict) else {n: np.asarray(b.column(n)) for n in b.schema.names}
+        if not len(now[key]):
             continue
-        now = {n: np.asarray(b.column(n)) for n in b.schema.names}
         if rest is not None:
             now = {n: np.concatenate([rest[n], now[n]]) for n in now}
         k = now[key]
-        cut = int(np.searchsorted(k, k[-1])) if np.all(k[:-1] <= k[1:]) else int(len(k) - np.argmax((k != k[-1])[::-1]) if (k != k[-1]).any() else 0)
+        cut = int(np.searchsorted(k, k[-1]))
         if cut:
             yield {n: x[:cut] for n, x in now.items()}
         rest = {n: x[cut:].copy() for n, x in now.items()}

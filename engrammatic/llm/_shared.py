@@ -63,16 +63,22 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
 
 
-#: Ids up to this many are broadcast: about 64 MB on every executor.
-BROADCAST_IDS = 4_000_000
+#: Keys up to this many are broadcast: about 64 MB on every executor.
+BROADCAST_KEYS = 4_000_000
 
 
-def drop_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is not among ids (one column, a written table). Null doc_ids stay.
+def by_key(df: DataFrame, keys: DataFrame, column: str, how: str) -> DataFrame:
+    """df joined to ``keys`` (one column, a written table) by a column: how is left_semi or left_anti.
 
-    The ids are counted: up to BROADCAST_IDS of them are broadcast and docs are not shuffled; beyond, a shuffled join.
+    The keys are counted: up to BROADCAST_KEYS of them are broadcast and df is not shuffled; beyond, a shuffled join.
+    Rows whose key is null match nothing.
     """
-    few = ids.toDF("__drop_id").where("__drop_id is not null").distinct()
-    if few.count() <= BROADCAST_IDS:
+    few = keys.toDF("__key").where("__key is not null").distinct()
+    if few.count() <= BROADCAST_KEYS:
         few = F.broadcast(few)
-    return docs.join(few, F.expr("doc_id = __drop_id"), "left_anti")
+    return df.join(few, F.expr(f"`{column}` = __key"), how)
+
+
+def drop_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is not among ids (one column, a written table). Null doc_ids stay."""
+    return by_key(docs, ids, "doc_id", "left_anti")

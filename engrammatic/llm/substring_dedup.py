@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from engrammatic.llm._arrow import WordHasher, ids_of, mix64, seeds, slices
-from engrammatic.llm._runs import run_starts, whole_runs
-from engrammatic.llm._shared import components, written
+from engrammatic.llm._runs import run_starts, spanning_edges, whole_runs
+from engrammatic.llm._shared import by_key, components, written
 
 WINDOW, MIN_WORDS, JACCARD, MIN_SPAN, RECALL, ROWS = 20, 5, 0.8, 10, 0.94, 3
 
@@ -78,38 +78,95 @@ class Paragraphs:
         return {"start": starts, "end": ends, "row": row, "first": rows[row], "digest": digest, "pairs": pairs, "ok": ends - starts >= self.min_words}
 
 
+#: Permutations of a sketch, with four bits of each; of these so many must agree before two paragraphs are compared.
+SKETCH, AGREE = 6, 3
+_SKETCH_BITS = 4 * SKETCH
+
+
 def band_rows(batches: Iterator[pa.RecordBatch], window: int, min_words: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
-    cutter, mult, salt = Paragraphs(window, min_words), seeds(bands * rows, 7_000), seeds(bands, 9_000)
+    """A row for each band of each paragraph. The key has the band in its two lowest bits above the sketch."""
+    cutter, mult = Paragraphs(window, min_words), seeds(bands * rows + SKETCH, 7_000)
     for batch in batches:
         for s in slices(batch, "text"):
             p = cutter(s.column("text"))
             if p is None or not p["ok"].any():
                 continue
             ok, last = p["ok"], p["end"] - 1
+
+            def least(m: np.uint64, p=p, ok=ok, last=last) -> np.ndarray:
+                x = p["pairs"] * m
+                x ^= x >> np.uint64(29)
+                x[last] = np.uint64(0xFFFFFFFFFFFFFFFF)  # a pair that reaches into the next paragraph
+                return np.minimum.reduceat(x, p["start"])[ok]
+
             doc = ids_of(s)[p["row"][ok]]
             place = ((p["start"] - p["first"])[ok] << 20) | np.minimum((p["end"] - p["start"])[ok], (1 << 20) - 1)
             digest = p["digest"][ok].view(np.int64)
+            sketch = np.zeros(len(doc), np.uint64)
+            for k in range(SKETCH):
+                sketch = (sketch << np.uint64(4)) | (mix64(least(mult[bands * rows + k])) & np.uint64(15))
             for band in range(bands):
-                key = np.full(len(doc), salt[band], np.uint64)
+                key = np.full(len(doc), band, np.uint64)
                 for r in range(rows):
-                    x = p["pairs"] * mult[band * rows + r]
-                    x ^= x >> np.uint64(29)
-                    x[last] = np.uint64(0xFFFFFFFFFFFFFFFF)  # a pair that reaches into the next paragraph
-                    key = mix64(key ^ np.minimum.reduceat(x, p["start"])[ok])
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(digest), pa.array(doc), pa.array(place)], names=["key", "digest", "doc_id", "place"])
+                    key = mix64(key ^ least(mult[band * rows + r]))
+                first = np.uint64(band == 0)  # the lowest bit of the key: set in the first band alone
+                key = ((key >> np.uint64(_SKETCH_BITS + 1)) << np.uint64(1)) | first
+                packed = (key << np.uint64(_SKETCH_BITS)) | sketch
+                yield pa.RecordBatch.from_arrays([pa.array(packed.view(np.int64)), pa.array(digest), pa.array(doc), pa.array(place)], names=["packed", "digest", "doc_id", "place"])
 
 
 def collisions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each run of one band key: its occurrences, each with the least digest of the run to compare with."""
-    for c in whole_runs(batches, "key"):
-        at = run_starts(c["key"])
-        size = np.diff(at)
-        many = size > 1
-        if not many.any():
-            continue
-        pick = np.repeat(many, size)
-        least = np.repeat(np.minimum.reduceat(c["digest"], at[:-1])[many], size[many])
-        yield pa.RecordBatch.from_arrays([pa.array(c["digest"][pick]), pa.array(c["doc_id"][pick]), pa.array(c["place"][pick]), pa.array(least), pa.array(c["key"][pick])], names=["digest", "doc_id", "place", "least", "key"])
+    """Of paragraphs that share a band: pairs of different digests whose sketches agree, as (digest, other), and where
+    there are paragraphs that are equal (from the first band) or in such a pair, as (digest, doc_id, place)."""
+    for c in whole_runs(({**_columns(b), "key": np.asarray(b.column("packed")) >> _SKETCH_BITS} for b in batches), "key"):
+        digest, key = c["digest"], c["key"]
+        n = len(key)
+        new = np.concatenate([[True], (digest[1:] != digest[:-1]) | (c["packed"][1:] != c["packed"][:-1])])
+        at = np.flatnonzero(new)  # one for each different paragraph of a key
+        count = np.diff(np.concatenate([at, [n]]))
+        k, sketch = key[at], (c["packed"][at] & ((1 << _SKETCH_BITS) - 1)).astype(np.uint64)
+        runs = run_starts(k)
+        size = np.diff(runs)
+
+        def near(i, j, sketch=sketch) -> np.ndarray:
+            x = sketch[i] ^ sketch[j]
+            x = (x | x >> np.uint64(1) | x >> np.uint64(2) | x >> np.uint64(3)) & np.uint64(int("1" * SKETCH, 16))
+            return np.bitwise_count(x) <= SKETCH - AGREE
+
+        a, b = [], []
+        small = np.repeat(size <= 24, size)
+        for d in range(1, min(24, int(size.max()))):
+            i = np.flatnonzero((k[:-d] == k[d:]) & small[:-d])
+            i = i[near(i, i + d)]
+            a.append(i)
+            b.append(i + d)
+        for r in np.flatnonzero(size > 24):
+            lo = int(runs[r])
+            i, j = spanning_edges(int(size[r]), lambda i, others, lo=lo: near(lo + i, lo + others))
+            a.append(lo + i)
+            b.append(lo + j)
+        x, y = (np.concatenate(e) if e else np.zeros(0, np.int64) for e in (a, b))
+        told = (count > 1) & (k & 1 == 1)
+        told[x] = True
+        told[y] = True
+        rows = np.repeat(told, count)
+        u, v = np.minimum(digest[at[x]], digest[at[y]]), np.maximum(digest[at[x]], digest[at[y]])
+        pair = np.unique(np.stack([u, v], 1)[u != v], axis=0)
+        m, w = int(rows.sum()), len(pair)
+        if m + w:
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate([digest[rows], pair[:, 0]])),
+                    pa.array(np.concatenate([c["doc_id"][rows], np.zeros(w, np.int64)])),
+                    pa.array(np.concatenate([c["place"][rows], np.zeros(w, np.int64)])),
+                    pa.array(np.concatenate([np.zeros(m, np.int64), pair[:, 1]]), mask=np.arange(m + w) < m),
+                ],
+                names=["digest", "doc_id", "place", "other"],
+            )
+
+
+def _columns(b: pa.RecordBatch) -> dict[str, np.ndarray]:
+    return {n: np.asarray(b.column(n)) for n in b.schema.names}
 
 
 def word_pairs(batches: Iterator[pa.RecordBatch], window: int, min_words: int) -> Iterator[pa.RecordBatch]:
@@ -144,23 +201,20 @@ def repeated_paragraphs(
     """
     bands = tune_bands(jaccard, recall)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    keys = plain.mapInArrow(lambda it: band_rows(it, window, min_words, bands, ROWS), "key long, digest long, doc_id long, place long")
-    hits = keys.repartition("key").sortWithinPartitions("key").mapInArrow(collisions, "digest long, doc_id long, place long, least long, key long")
+    keys = plain.mapInArrow(lambda it: band_rows(it, window, min_words, bands, ROWS), "packed long, digest long, doc_id long, place long")
+    hits = keys.repartition(F.shiftright("packed", _SKETCH_BITS)).sortWithinPartitions("packed", "digest").mapInArrow(collisions, "digest long, doc_id long, place long, other long")
     hits = written(hits)
-    # Within a band key every digest is compared with every other: those that differ, as distinct pairs of digests.
-    group = hits.where("digest <> least").select("key", "digest").distinct().unionByName(hits.select("key", F.col("least").alias("digest")).where("digest is not null").join(hits.where("digest <> least").select("key").distinct(), "key", "left_semi").distinct())
-    x, y = group.alias("x"), group.alias("y")
-    near = x.join(y, F.expr("x.key = y.key and x.digest < y.digest")).select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b")).distinct()
-    near = written(near)
-    wanted = near.select(F.col("a").alias("digest")).union(near.select("b")).distinct()
-    holders = hits.join(wanted, "digest", "left_semi").groupBy("digest").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    sets = plain.join(holders, "doc_id", "left_semi").mapInArrow(lambda it: word_pairs(it, window, min_words), "digest long, pairs array<long>")
-    sets = sets.join(wanted, "digest", "left_semi").groupBy("digest").agg(F.first("pairs").alias("pairs"))
+    near = written(hits.where("other is not null").select(F.col("digest").alias("a"), F.col("other").alias("b")).distinct())
+    wanted = written(near.select(F.col("a").alias("digest")).union(near.select("b")).distinct())
+    places = hits.where("other is null").select("digest", "doc_id", "place").distinct()
+    holders = written(by_key(places, wanted, "digest", "left_semi").groupBy("digest").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct())
+    sets = by_key(plain, holders, "doc_id", "left_semi").mapInArrow(lambda it: word_pairs(it, window, min_words), "digest long, pairs array<long>")
+    sets = by_key(sets, wanted, "digest", "left_semi").groupBy("digest").agg(F.first("pairs").alias("pairs"))
     both = near.join(sets.select(F.col("digest").alias("a"), F.col("pairs").alias("p")), "a").join(sets.select(F.col("digest").alias("b"), F.col("pairs").alias("q")), "b")
     shared = F.size(F.array_intersect("p", "q"))
     ok = both.where(shared >= jaccard * (F.size(F.array_distinct("p")) + F.size(F.array_distinct("q")) - shared)).select("a", "b")
     cluster = components(ok)
-    places = hits.select("digest", "doc_id", "place").distinct().join(cluster.withColumnRenamed("node", "digest"), "digest", "left")
+    places = places.join(cluster.withColumnRenamed("node", "digest"), "digest", "left")
     places = places.select(F.coalesce("component", "digest").alias("cluster"), "doc_id", F.shiftright("place", 20).alias("start_word"), F.col("place").bitwiseAND((1 << 20) - 1).alias("n_words"))
     kept = places.groupBy("cluster").agg(F.min(F.struct("doc_id", "start_word")).alias("kept"), F.count("*").alias("n")).where("n > 1")
     found = places.join(kept, "cluster").select("doc_id", "start_word", "n_words", "cluster", F.col("kept.doc_id").alias("kept_doc_id"), (F.struct("doc_id", "start_word") != F.col("kept")).alias("removed"))
