@@ -1,5 +1,11 @@
 """Query plans over the test tables, by area."""
 
+from importlib import import_module
+
+AREAS = ("relations", "retrieval")
+
 
 def load() -> None:
     """Imports every module of plans, which registers its queries."""
+    for area in AREAS:
+        import_module(f"{__name__}.{area}")
