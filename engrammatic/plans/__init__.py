@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("relations", "retrieval")
+AREAS = ("relations", "retrieval", "scoring")
 
 
 def load() -> None:
