@@ -3,26 +3,39 @@
 Two zstandard dictionaries are trained on labelled documents: one on windows of ordinary text, one on the parts of
 toxic documents that set them apart (documents carry one label each, so the word beginnings that occur in
 significantly more toxic than ordinary documents are taken as the toxic text). Both end in the same trained ordinary
-content, so that ordinary text costs the same with either. A document is cut into windows of ``WINDOW`` words; a window
-scores by how many bytes shorter it becomes with the toxic dictionary. A document's score is what its windows gain in
-all, for each of its words. The threshold is calibrated on labelled documents that the training did not see.
+content, so that ordinary text costs the same with either. A short mark alone would hardly pay for a match, so texts are
+compressed in a spelling in which every mark is a code of 16 letters. A document is cut into windows of ``WINDOW`` words; a window
+gains as many bytes as it becomes shorter with the toxic dictionary. A document's score is what its windows gain beyond
+a threshold for windows, added up and divided by a power of its number of words. Both thresholds and the power are
+calibrated on labelled documents that the training did not see. Copies of one document are one witness: they are
+recognised by shared min-hashes of word triples, counted once, and never split between training and calibration.
 """
 
 from __future__ import annotations
 
+import base64
+import hashlib
 import math
 import random
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WINDOW, LEVEL, ORDINARY_BYTES, TOXIC_BYTES = 10, 1, 32_768, 4_096
+from engrammatic.llm._arrow import mix64, seeds, worker_cache
+
+WINDOW, LEVEL, ORDINARY_BYTES, TOXIC_BYTES = 10, 1, 16_384, 32_768
+#: Words that a worker keeps the spelling of.
+CACHED = 300_000
+#: Windows of those documents' ordinary text that the dictionary is trained on, drawn at random.
+TRAINED_WINDOWS = 40_000
 #: At most so many labelled documents of each class are fitted on, taken in the order of a hash of their ids.
 MOST_LABELLED = 2_500
 #: Texts this short score as if they had so many words: one word in a handful of words proves little.
@@ -39,8 +52,30 @@ def _beginnings(words: list[str]) -> set[str]:
     return {w[:k] for w in set(words) for k in range(3, min(len(w), 10) + 1)}
 
 
-def toxic_spans(toxic: list[list[str]], ordinary: list[list[str]], least: float = 15.0) -> Counter:
-    """Beginnings of the toxic documents' words that mark toxic documents, and how often they occur there."""
+def families(docs: list[list[str]], hashes: int = 6) -> list[int]:
+    """A number for each document, equal for copies: documents that share a min-hash of word triples."""
+    up = list(range(len(docs)))
+
+    def top(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    seen: dict[tuple[int, int], int] = {}
+    for i, w in enumerate(docs):
+        triples = np.array([zlib.crc32(" ".join(w[k : k + 3]).encode()) for k in range(max(1, len(w) - 2))], np.uint64)
+        for k, m in enumerate(seeds(hashes, 23_000)):
+            j = seen.setdefault((k, int(mix64(triples * m).min())), i)
+            up[top(i)] = top(j)
+    return [top(i) for i in range(len(docs))]
+
+
+def toxic_spans(toxic: list[list[str]], ordinary: list[list[str]], least: float = 15.0, documents: int = 5) -> Counter:
+    """Beginnings of the toxic documents' words that mark toxic documents, and how often they occur there.
+
+    A mark occurs in at least so many toxic documents that aren't copies of each other.
+    """
     in_toxic: Counter = Counter()
     in_ordinary: Counter = Counter()
     for d in toxic:
@@ -51,7 +86,7 @@ def toxic_spans(toxic: list[list[str]], ordinary: list[list[str]], least: float
 
     def strength(g: str) -> float:
         a, b = in_toxic[g], in_ordinary[g]
-        if a < 4 or a / n < 4 * (b + 1) / m:
+        if a < documents or a / n < 8 * (b + 1) / m:
             return 0.0
         p = (a + b) / (n + m)
         return 2 * (a * math.log(a / n / p) + (b * math.log(b / m / p) if b else 0.0))
@@ -66,6 +101,19 @@ def toxic_spans(toxic: list[list[str]], ordinary: list[list[str]], least: float
     return spans
 
 
+def code(mark: str) -> str:
+    """The 16 letters that a mark is spelled with."""
+    return base64.b64encode(hashlib.blake2b(mark.encode(), digest_size=12).digest()).decode()
+
+
+def spell(word: str, marks: frozenset[str]) -> str:
+    """The word, its longest mark written as a code."""
+    for k in range(min(len(word), 10), 2, -1):
+        if word[:k] in marks:
+            return code(word[:k]) + word[k:]
+    return word
+
+
 def _trained(samples: list[str], size: int) -> bytes:
     """The content of a dictionary trained on the samples; where there are too few to train on, the samples."""
     raw = [s.encode() for s in samples]
@@ -79,14 +127,19 @@ def _trained(samples: list[str], size: int) -> bytes:
 
 @dataclass
 class Model:
-    """Contents of the two dictionaries and the calibrated threshold."""
+    """Contents of the two dictionaries and what was calibrated."""
 
     ordinary: bytes
     toxic: bytes
+    #: Word beginnings that are spelled as codes.
+    marks: frozenset[str]
+    #: From this score a document is toxic; from beyond this gain a window counts; the power of the number of words.
     threshold: float
+    window: int = 0
+    power: float = 1.0
 
-    def scorer(self):
-        """A function that scores a text."""
+    def gains(self):
+        """A function that gives a text's number of words and what each of its windows gains."""
         compress = []
         for content in (self.ordinary, self.toxic):
             d = zstandard.ZstdCompressionDict(content or b" " * 8, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -94,43 +147,75 @@ class Model:
             compress.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
         ordinary, toxic = compress
 
-        def score(text: str | None) -> float:
+        spelled = worker_cache(f"spelled-{hash(self.toxic)}")
+
+        def of(text: str | None) -> tuple[int, list[int]]:
             w = words_of(text)
-            gain = 0
-            for i in range(0, len(w), WINDOW):
-                b = (" " + " ".join(w[i : i + WINDOW]) + " ").encode()
-                g = len(ordinary(b)) - len(toxic(b))
-                if g > 0:
-                    gain += g
-            return gain / max(len(w), LEAST_WORDS)
+            if len(spelled) > CACHED:
+                spelled.clear()
+            for x in set(w):
+                if x not in spelled:
+                    spelled[x] = spell(x, self.marks)
+            w = [spelled[x] for x in w]
+            windows = [(" " + " ".join(w[i : i + WINDOW]) + " ").encode() for i in range(0, len(w), WINDOW)]
+            return len(w), [len(ordinary(b)) - len(toxic(b)) for b in windows]
 
-        return score
+        return of
 
+    def score(self, words: int, gains: list[int]) -> float:
+        t = self.window
+        return sum(g - t for g in gains if g > t) / max(words, LEAST_WORDS) ** self.power
 
-def fit_rows(rows: list[tuple[str, int]]) -> Model:
-    """Fits on (text, label) pairs: two thirds train, one third calibrates. Without either class nothing is toxic."""
-    train = [(words_of(t), y) for i, (t, y) in enumerate(rows) if i % 3]
-    toxic, ordinary = [w for w, y in train if y], [w for w, y in train if not y]
+    def scorer(self):
+        """A function that scores a text."""
+        gains = self.gains()
+        return lambda text: self.score(*gains(text))
+
+
+def calibrate(model: Model, held: list[tuple[str, int, float]]) -> None:
+    """Sets the thresholds and the power that give the best F1 over (text, label, weight)."""
+    gains = model.gains()
+    known = [(*gains(t), y, w) for t, y, w in held]
+    positive = sum(w for *_, y, w in known if y)
+    best = (0.0, model.threshold, model.window, model.power)
+    for model.window in (0, 1, 2, 3, 4, 6, 8):
+        for model.power in (0.0, 0.5, 1.0):
+            scored = sorted(((model.score(n, g), y, w) for n, g, y, w in known), reverse=True)
+            hit = said = 0.0
+            for i, (s, y, w) in enumerate(scored):
+                hit, said = hit + w * y, said + w
+                below = scored[i + 1][0] if i + 1 < len(scored) else 0.0
+                if s > below:
+                    best = max(best, (2 * hit / (said + positive), (s + below) / 2, model.window, model.power))
+    _, model.threshold, model.window, model.power = best
+
+
+def fit_rows(rows: list[tuple[str, int]], ratio: float | None = None) -> Model:
+    """Fits on (text, label) pairs: two thirds train, one third calibrates. Without either class nothing is toxic.
+
+    ratio: ordinary documents for each toxic one in the corpus, if it is another than among the rows.
+    """
+    docs = [words_of(t) for t, _ in rows]
+    family = families(docs)
+    seen: set[tuple[int, int]] = set()
+    one = [i for i, (_, y) in enumerate(rows) if (family[i], y) not in seen and not seen.add((family[i], y))]
+    part = {f: k % 3 for k, f in enumerate(dict.fromkeys(family[i] for i in one))}
+    toxic, ordinary = ([docs[i] for i in one if part[family[i]] and bool(rows[i][1]) is y] for y in (True, False))
     if not toxic or not ordinary:
-        return Model(b"", b"", math.inf)
+        return Model(b"", b"", frozenset(), math.inf)
     windows = [" ".join(d[i : i + WINDOW]) for d in ordinary for i in range(0, len(d), WINDOW)]
     random.Random(17).shuffle(windows)
-    base = _trained(windows[:40_000], ORDINARY_BYTES)
+    base = _trained(windows[:TRAINED_WINDOWS], ORDINARY_BYTES)
     spans = toxic_spans(toxic, ordinary)
     if not spans:
-        return Model(base, base, math.inf)
-    marks = "".join(f" {s}" for s, _ in reversed(spans.most_common())).encode()
-    text = _trained([f" {s}" for s, n in spans.items() for _ in range(min(n, 20))], TOXIC_BYTES)
-    model = Model(base, base + (text + marks)[-TOXIC_BYTES:], math.inf)
-    score = model.scorer()
-    held = sorted(((score(t), y) for i, (t, y) in enumerate(rows) if not i % 3), reverse=True)
-    positive, hit, best = sum(y for _, y in held), 0, (-1.0, math.inf)
-    for i, (s, y) in enumerate(held):
-        hit += y
-        if s > 0 and (i + 1 == len(held) or held[i + 1][0] < s):
-            below = held[i + 1][0] if i + 1 < len(held) else 0.0
-            best = max(best, (2 * hit / (i + 1 + positive), (s + below) / 2), key=lambda x: x[0])
-    model.threshold = best[1]
+        return Model(base, base, frozenset(), math.inf)
+    codes = [f" {code(m)}" for m, _ in spans.most_common()]  # as many as there is room for, the most frequent
+    toxic_text = "".join(reversed(codes[: TOXIC_BYTES // 17])).encode()
+    model = Model(base, base + toxic_text, frozenset(spans), math.inf)
+    held = [rows[i] for i in one if not part[family[i]]]
+    n, m = sum(not y for _, y in held), sum(bool(y) for _, y in held)
+    weight = ratio * m / n if ratio and n and m else 1.0
+    calibrate(model, [(t, int(bool(y)), 1.0 if y else weight) for t, y in held])
     return model
 
 
@@ -145,8 +230,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
     chosen = F.broadcast(parts[0].unionByName(parts[1]))
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     rows = d.join(chosen, "doc_id").select("doc_id", "text", "y").collect()  # at most 2 * most documents
-    rows.sort(key=lambda r: (hash((r.doc_id * 2654435761) % (1 << 32)), r.doc_id, r.y, r.text))
-    return fit_rows([(r.text, r.y) for r in rows])
+    rows.sort(key=lambda r: ((r.doc_id * 2654435761) % (1 << 32), r.doc_id, r.y, r.text))
+    n = {r.y: r.n for r in y.groupBy("y").agg(F.count("*").alias("n")).collect()}  # one row for each class
+    return fit_rows([(r.text, r.y) for r in rows], n[0] / n[1] if n.get(0) and n.get(1) else None)
 
 
 def score_rows(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
