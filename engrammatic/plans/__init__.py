@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("relations", "retrieval", "scoring")
+AREAS = ("relations", "retrieval", "scoring", "text", "vectors", "graph")
 
 
 def load() -> None:
