@@ -87,9 +87,9 @@ def subgraph(spark, d):
     return f.unionByName(f.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
 
 
-@query("g_subgraph", f"WITH {_SUBGRAPH} SELECT src, dst, round(weight, 6) AS weight FROM g")
+@query("g_subgraph", f"WITH {_SUBGRAPH} SELECT src, dst, round(weight, 9) AS weight FROM g")
 def g_subgraph(spark, d):
-    return subgraph(spark, d).select("src", "dst", F.round("weight", 6).alias("weight"))
+    return subgraph(spark, d).select("src", "dst", F.round("weight", 9).alias("weight"))
 
 
 _ROUNDS = ", ".join(f"r{i} AS (SELECT n.node, p, 0.15e0 * p + 0.85e0 * coalesce(c, 0) AS rank FROM n LEFT JOIN (SELECT dst, sum(share * rank) AS c FROM sh JOIN r{i - 1} ON r{i - 1}.node = sh.src GROUP BY dst) x ON x.dst = n.node)" for i in range(1, 6))
@@ -106,12 +106,12 @@ def g_ppr(spark, d):
     return ranked(spark, d).select("node", F.round("rank", 6).alias("rank"))
 
 
-@query("g_retrieve_context", _PPR + ", t AS (SELECT node, round(rank, 9) AS rank FROM r5 ORDER BY round(rank, 9) DESC, node LIMIT 10) SELECT 'node' AS kind, node AS item, round(rank, 6) AS relevance FROM t UNION ALL SELECT 'edge', src || '>' || dst, round(weight, 6) FROM g WHERE src IN (SELECT node FROM t) AND dst IN (SELECT node FROM t)")
+@query("g_retrieve_context", _PPR + ", t AS (SELECT node, round(rank, 9) AS rank FROM r5 ORDER BY round(rank, 9) DESC, node LIMIT 10) SELECT 'node' AS kind, node AS item, round(rank, 6) AS relevance FROM t UNION ALL SELECT 'edge', src || '>' || dst, round(weight, 9) FROM g WHERE src IN (SELECT node FROM t) AND dst IN (SELECT node FROM t)")
 def g_retrieve_context(spark, d):
     top = ranked(spark, d).withColumn("rank", F.round("rank", 9)).orderBy(F.desc("rank"), "node").limit(10)
     ends = top.select("node")
     e = subgraph(spark, d).join(ends.withColumnRenamed("node", "src"), "src", "left_semi").join(ends.withColumnRenamed("node", "dst"), "dst", "left_semi")
-    return top.select(F.lit("node").alias("kind"), F.col("node").alias("item"), F.round("rank", 6).alias("relevance")).unionByName(e.select(F.lit("edge").alias("kind"), F.concat_ws(">", "src", "dst").alias("item"), F.round("weight", 6).alias("relevance")))
+    return top.select(F.lit("node").alias("kind"), F.col("node").alias("item"), F.round("rank", 6).alias("relevance")).unionByName(e.select(F.lit("edge").alias("kind"), F.concat_ws(">", "src", "dst").alias("item"), F.round("weight", 9).alias("relevance")))
 
 
 @query("g_hybrid_rank", _PPR + ", m AS (SELECT subject AS node, max(ego) AS ego, max(observed_at) AS t FROM _mentions GROUP BY 1) SELECT node, round(0.4e0 * rank + 0.3e0 * ego + 0.2e0 * exp(-(" + str(AS_OF) + " - t) / 86400000000e0 / 7e0) + 0.1e0 * 0.5e0, 6) AS score FROM r5 JOIN m USING (node)")
