@@ -1,10 +1,10 @@
 """SimHash near-dedup with Golay-code fuzzy hashing.
 
 A document's fingerprint has 17 segments of 23 bits, the length of the perfect binary Golay code: every 23-bit word is
-within distance 3 of exactly one of 4096 codewords. Each of the first six segments is decoded to that codeword and,
+within distance 3 of exactly one of 4096 codewords. Each of the first eight segments is decoded to that codeword and,
 where it lies at distance 3, to the five codewords at distance 4, the only ones that a word one bit away decodes to
 (so two words at distance 2 or less always share one). Two segments' codewords make a join key; of the up to 36 keys
-of a pair of segments the few that flip the least certain bits are used. Pigeonhole: errors spread over six segments
+of a pair of segments the eight that flip the least certain bits are used. Pigeonhole: errors spread over eight segments
 leave some two with few. Documents that share a key are compared on 64 other bits at once and then verified on the
 whole fingerprint.
 """
@@ -23,9 +23,9 @@ from engrammatic.llm._arrow import WordHasher, ids_of, mix64, slices
 from engrammatic.llm._runs import run_starts, spanning_edges, whole_runs
 from engrammatic.llm._shared import components, written
 
-SEGMENTS, KEYED, BITS = 17, 6, 23
-#: Keys for each of the 15 pairs of keyed segments; bits that may differ in the 64 compared at once, and in all.
-KEYS, NEAR_CHECK, NEAR = 4, 17, 66
+SEGMENTS, KEYED, BITS = 17, 8, 23
+#: Keys for each of the 28 pairs of keyed segments; bits that may differ in the 64 compared at once, and in all.
+KEYS, NEAR_CHECK, NEAR = 8, 17, 66
 _WORDS = 7  # 64-bit words of a fingerprint: 391 bits
 
 
@@ -126,18 +126,36 @@ FP = [f"f{i}" for i in range(_WORDS)]
 CHECK = "f3"
 
 
-def fingerprint_rows(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+def margins(sums: np.ndarray) -> np.ndarray:
+    """What join_keys needs of the sums in a byte each: their signs, and how far from 0 they are for their text."""
+    x = sums[:, : KEYED * BITS]
+    scaled = np.rint(x * (40 / np.sqrt(np.square(x, dtype=np.float64).mean(1, keepdims=True))))
+    return np.where(x > 0, np.clip(scaled, 1, 127), np.clip(scaled, -127, 0)).astype(np.int8)
+
+
+def fingerprint_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     prints = Fingerprints()
     for batch in batches:
         for s in slices(batch, "text"):
             which, sums = prints(s.column("text"))
             if not len(which):
                 continue
-            row, key = join_keys(sums, keys)
-            order = np.argsort(row, kind="stable")
-            at = np.searchsorted(row[order], np.arange(len(which) + 1))
-            lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(key[order]))
-            yield pa.RecordBatch.from_arrays([pa.array(ids_of(s)[which]), lists, *map(pa.array, pack(sums > 0))], names=["doc_id", "keys", *FP])
+            m = pa.FixedSizeBinaryArray.from_buffers(pa.binary(KEYED * BITS), len(which), [None, pa.py_buffer(margins(sums))]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(ids_of(s)[which]), m, *map(pa.array, pack(sums > 0))], names=["doc_id", "margins", *FP])
+
+
+#: Fingerprints whose keys are made at once.
+KEYED_ROWS = 1_000
+
+
+def key_rows(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    """A row for each join key of each fingerprint."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, KEYED_ROWS):
+            b = batch.slice(i, KEYED_ROWS)
+            m = np.frombuffer(b"".join(b.column("margins").to_pylist()), np.int8).reshape(b.num_rows, KEYED * BITS)
+            row, key = join_keys(m.astype(np.int32), keys)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids_of(b)[row]), pa.array(np.asarray(b.column(CHECK))[row])], names=["key", "doc_id", CHECK])
 
 
 def distance(a: list[np.ndarray], i, j) -> np.ndarray:
@@ -176,8 +194,8 @@ def near_duplicates(docs: DataFrame, near: int = NEAR, near_check: int = NEAR_CH
 
     docs needs doc_id (integer) and text; doc_id names a document. Documents are near when at most ``near`` of 391
     fingerprint bits differ (about a tenth of the different words exchanged); groups are connected components. The
-    search finds a near pair with a probability that grows with nearness and is above 0.9 for the pairs that ``near``
-    admits in prose; ``keys`` = 36 takes every key and finds for certain what leaves two keyed segments with two errors.
+    search finds a near pair with a probability that grows with nearness and is above 0.9 also for isolated pairs that
+    ``near`` just admits; ``keys`` = 36 takes every key of a pair of segments.
 
     Rows with a null doc_id or text, and texts without words, are in no group. Texts of any length count whole. Equal
     texts have equal fingerprints and so form a group; a repeated row (same doc_id) adds nothing. A group's kept
@@ -186,8 +204,8 @@ def near_duplicates(docs: DataFrame, near: int = NEAR, near_check: int = NEAR_CH
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     words = ", ".join(f"{f} long" for f in FP)
-    prints = written(plain.mapInArrow(lambda it: fingerprint_rows(it, keys), f"doc_id long, keys array<long>, {words}"))
-    rows = prints.select(F.explode("keys").alias("key"), "doc_id", CHECK)
+    prints = written(plain.mapInArrow(fingerprint_rows, f"doc_id long, margins binary, {words}"))
+    rows = prints.select("doc_id", "margins", CHECK).mapInArrow(lambda it: key_rows(it, keys), f"key long, doc_id long, {CHECK} long")
     edges = rows.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: near_in_runs(it, near_check), "a long, b long").distinct()
     left, right = (prints.select(F.col("doc_id").alias(e), *(F.col(f).alias(f"{e}_{f}") for f in FP)) for e in "ab")
     apart = sum((F.bit_count(F.col(f"a_{f}").bitwiseXOR(F.col(f"b_{f}"))) for f in FP), F.lit(0))

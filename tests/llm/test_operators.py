@@ -81,6 +81,23 @@ def test_near_duplicates_have_recall_over_nine_tenths_of_brute_force(spark):
     assert simhash_golay.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_isolated_near_pairs_have_recall_over_nine_tenths_at_every_distance(spark):
+    r, rows = random.Random(11), []
+    for i in range(1200):
+        w = r.sample(WORDS, r.choice([60, 100, 150, 250]))
+        v = list(w)
+        for k in r.sample(range(len(w)), r.randint(len(w) // 25, len(w) // 8)):
+            v[k] = r.choice(WORDS)
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
+    out = {x.doc_id: x.kept_doc_id for x in simhash_golay.near_duplicates(docs(spark, rows)).collect()}
+    _, sums = simhash_golay.Fingerprints()(pa.array([t for _, t in rows]))
+    apart = ((sums[::2] > 0) != (sums[1::2] > 0)).sum(1)
+    for low, high in ((0, 44), (44, 55), (55, simhash_golay.NEAR + 1)):
+        pairs = np.flatnonzero((apart >= low) & (apart < high))
+        found = sum(out.get(2 * int(i) + 1) == 2 * int(i) for i in pairs)
+        assert len(pairs) > 100 and found >= 0.9 * len(pairs), (low, found, len(pairs))
+
+
 def test_golay_decoding_shares_a_codeword_at_distance_two():
     columns, masks, count = simhash_golay.golay_tables()
 
