@@ -3,7 +3,8 @@
 Paragraphs are cut where the text itself says so: a word starts a paragraph when its hash is the least of some window
 of ``window`` consecutive words (winnowing; Schleimer et al., 2003). The cuts inside a repeated passage are therefore
 the same in every document, whatever stands around it and however lines are broken, and two neighbouring cuts are
-never more than ``window`` words apart. Each paragraph gets a MinHash signature of its word pairs in ``bands`` bands of
+never more than ``window`` words apart. A word or two exchanged in so short a piece is much of it, so lines and blocks
+of lines between blank ones are paragraphs too, longer ones that overlap the pieces. Each paragraph gets a MinHash signature of its word pairs in ``bands`` bands of
 ``rows`` values; paragraphs that share a band collide, exact Jaccard similarity verifies colliding paragraphs whose
 words differ, and connected components of what is verified are the clusters of which one paragraph stays.
 """
@@ -15,10 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from engrammatic.llm._arrow import WordHasher, ids_of, mix64, seeds, slices
+from engrammatic.llm._arrow import WordHasher, ids_of, mix64, seeds, slices, texts
 from engrammatic.llm._runs import run_starts, spanning_edges, whole_runs
 from engrammatic.llm._shared import by_key, components, written
 
@@ -53,29 +55,42 @@ def cut(h: np.ndarray, rows: np.ndarray, window: int) -> np.ndarray:
 
 
 class Paragraphs:
-    """The paragraphs of a slice of texts with digests and the hashes of their word pairs."""
+    """The paragraphs of a slice of texts with digests and the hashes of their word pairs: of pieces, lines and blocks
+    of lines each that has any, together all words. ok tells those long enough that no shorter kind has too."""
 
     def __init__(self, window: int, min_words: int) -> None:
         self.hasher, self.window, self.min_words = WordHasher(), window, min_words
         self.r, self.powers, self.inverses = np.uint64(0xA0761D6478BD642F), np.ones(0, np.uint64), np.ones(0, np.uint64)
 
-    def __call__(self, column: pa.Array) -> dict[str, np.ndarray] | None:
-        h, rows = self.hasher(column)
-        starts = cut(h, rows, self.window)
-        if not len(starts):
-            return None
+    def __call__(self, column: pa.Array) -> Iterator[dict[str, np.ndarray]]:
+        lists = pc.split_pattern(texts(column), "\n")
+        of_row = np.asarray(lists.offsets).astype(np.int64)
+        h, lines = self.hasher(lists.flatten())
+        rows = lines[of_row - of_row[0]]
         n = len(h)
+        if not n:
+            return
         if len(self.powers) < n:
             for name, m in (("powers", int(self.r)), ("inverses", pow(int(self.r), -1, 1 << 64))):
                 p = np.full(max(n, 1 << 18), m, np.uint64)
                 p[0] = 1
                 setattr(self, name, np.multiply.accumulate(p))
-        ends = np.concatenate([starts[1:], [n]])
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * self.powers[:n])])
-        digest = mix64((sums[ends] - sums[starts]) * self.inverses[starts] + (ends - starts).astype(np.uint64))
         pairs = mix64(h * np.uint64(0x9FB21C651E98DF25) + np.concatenate([h[1:], h[:1]]))
-        row = np.searchsorted(rows, starts, side="right") - 1
-        return {"start": starts, "end": ends, "row": row, "first": rows[row], "digest": digest, "pairs": pairs, "ok": ends - starts >= self.min_words}
+        filled = lines[:-1] < lines[1:]
+        heads = filled & np.concatenate([[True], ~filled[:-1]])
+        first = np.zeros(len(filled), bool)
+        first[(of_row - of_row[0])[:-1]] = True
+        heads |= filled & first
+        known = np.zeros(n, np.int64)  # the end of the last paragraph taken that starts here
+        for starts in (cut(h, rows, self.window), lines[:-1][filled], lines[:-1][heads]):
+            ends = np.concatenate([starts[1:], [n]])
+            ok = (ends - starts >= self.min_words) & (known[starts] != ends)
+            known[starts] = ends
+            digest = mix64((sums[ends] - sums[starts]) * self.inverses[starts] + (ends - starts).astype(np.uint64))
+            row = np.searchsorted(rows, starts, side="right") - 1
+            if ok.any():
+                yield {"start": starts, "end": ends, "row": row, "first": rows[row], "digest": digest, "pairs": pairs, "ok": ok}
 
 
 #: Permutations of a sketch, with four bits of each; of these so many must agree before two paragraphs are compared.
@@ -88,31 +103,29 @@ def band_rows(batches: Iterator[pa.RecordBatch], window: int, min_words: int, ba
     cutter, mult = Paragraphs(window, min_words), seeds(bands * rows + SKETCH, 7_000)
     for batch in batches:
         for s in slices(batch, "text"):
-            p = cutter(s.column("text"))
-            if p is None or not p["ok"].any():
-                continue
-            ok, last = p["ok"], p["end"] - 1
-
-            def least(m: np.uint64, p=p, ok=ok, last=last) -> np.ndarray:
-                x = p["pairs"] * m
-                x ^= x >> np.uint64(29)
-                x[last] = np.uint64(0xFFFFFFFFFFFFFFFF)  # a pair that reaches into the next paragraph
-                return np.minimum.reduceat(x, p["start"])[ok]
-
-            doc = ids_of(s)[p["row"][ok]]
-            place = ((p["start"] - p["first"])[ok] << 20) | np.minimum((p["end"] - p["start"])[ok], (1 << 20) - 1)
-            digest = p["digest"][ok].view(np.int64)
-            sketch = np.zeros(len(doc), np.uint64)
-            for k in range(SKETCH):
-                sketch = (sketch << np.uint64(4)) | (mix64(least(mult[bands * rows + k])) & np.uint64(15))
-            for band in range(bands):
-                key = np.full(len(doc), band, np.uint64)
-                for r in range(rows):
-                    key = mix64(key ^ least(mult[band * rows + r]))
-                first = np.uint64(band == 0)  # the lowest bit of the key: set in the first band alone
-                key = ((key >> np.uint64(_SKETCH_BITS + 1)) << np.uint64(1)) | first
-                packed = (key << np.uint64(_SKETCH_BITS)) | sketch
-                yield pa.RecordBatch.from_arrays([pa.array(packed.view(np.int64)), pa.array(digest), pa.array(doc), pa.array(place)], names=["packed", "digest", "doc_id", "place"])
+            for p in cutter(s.column("text")):
+                ok, last = p["ok"], p["end"] - 1
+
+                def least(m: np.uint64, p=p, ok=ok, last=last) -> np.ndarray:
+                    x = p["pairs"] * m
+                    x ^= x >> np.uint64(29)
+                    x[last] = np.uint64(0xFFFFFFFFFFFFFFFF)  # a pair that reaches into the next paragraph
+                    return np.minimum.reduceat(x, p["start"])[ok]
+
+                doc = ids_of(s)[p["row"][ok]]
+                place = ((p["start"] - p["first"])[ok] << 20) | np.minimum((p["end"] - p["start"])[ok], (1 << 20) - 1)
+                digest = p["digest"][ok].view(np.int64)
+                sketch = np.zeros(len(doc), np.uint64)
+                for k in range(SKETCH):
+                    sketch = (sketch << np.uint64(4)) | (mix64(least(mult[bands * rows + k])) & np.uint64(15))
+                for band in range(bands):
+                    key = np.full(len(doc), band, np.uint64)
+                    for r in range(rows):
+                        key = mix64(key ^ least(mult[band * rows + r]))
+                    first = np.uint64(band == 0)  # the lowest bit of the key: set in the first band alone
+                    key = ((key >> np.uint64(_SKETCH_BITS + 1)) << np.uint64(1)) | first
+                    packed = (key << np.uint64(_SKETCH_BITS)) | sketch
+                    yield pa.RecordBatch.from_arrays([pa.array(packed.view(np.int64)), pa.array(digest), pa.array(doc), pa.array(place)], names=["packed", "digest", "doc_id", "place"])
 
 
 def collisions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,15 +187,13 @@ def word_pairs(batches: Iterator[pa.RecordBatch], window: int, min_words: int) -
     cutter = Paragraphs(window, min_words)
     for batch in batches:
         for s in slices(batch, "text"):
-            p = cutter(s.column("text"))
-            if p is None or not p["ok"].any():
-                continue
-            digest, first = np.unique(p["digest"][p["ok"]], return_index=True)
-            a, b = p["start"][p["ok"]][first], p["end"][p["ok"]][first] - 1
-            size = b - a
-            flat = np.repeat(a - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(p["pairs"][flat].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(digest.view(np.int64)), lists], names=["digest", "pairs"])
+            for p in cutter(s.column("text")):
+                digest, first = np.unique(p["digest"][p["ok"]], return_index=True)
+                a, b = p["start"][p["ok"]][first], p["end"][p["ok"]][first] - 1
+                size = b - a
+                flat = np.repeat(a - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(p["pairs"][flat].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(digest.view(np.int64)), lists], names=["digest", "pairs"])
 
 
 def repeated_paragraphs(
@@ -191,8 +202,10 @@ def repeated_paragraphs(
     """Paragraphs that repeat: (doc_id, start_word, n_words, cluster, kept_doc_id, removed).
 
     docs needs doc_id (integer) and text. Words count from 0 within the text. A cluster's paragraph in the least
-    (doc_id, start_word) stays (removed is false), the others go. Adjacent repeated paragraphs form a span; spans under
-    ``min_span`` words, such as one shared line, are left alone. Repeats within one text count like any other.
+    (doc_id, start_word) stays (removed is false), the others go. Paragraphs are pieces of up to ``window`` words, lines
+    and blocks of lines, so that rows overlap: a word repeats where any of them does. Repeated paragraphs that overlap
+    or have under ``min_words`` words between them (too short to be a paragraph) form a span with those words; spans
+    under ``min_span`` words, such as one short shared line, are left alone. Repeats within one text count like any other.
 
     Rows with a null doc_id or text, empty texts and texts under ``min_words`` words have no paragraphs. Texts of any
     length are cut whole. A repeated row (same doc_id and text) adds nothing, since a paragraph is known by its doc_id
@@ -218,7 +231,10 @@ def repeated_paragraphs(
     places = places.select(F.coalesce("component", "digest").alias("cluster"), "doc_id", F.shiftright("place", 20).alias("start_word"), F.col("place").bitwiseAND((1 << 20) - 1).alias("n_words"))
     kept = places.groupBy("cluster").agg(F.min(F.struct("doc_id", "start_word")).alias("kept"), F.count("*").alias("n")).where("n > 1")
     found = places.join(kept, "cluster").select("doc_id", "start_word", "n_words", "cluster", F.col("kept.doc_id").alias("kept_doc_id"), (F.struct("doc_id", "start_word") != F.col("kept")).alias("removed"))
-    in_doc = Window.partitionBy("doc_id").orderBy("start_word")
-    apart = F.coalesce(F.lag(F.col("start_word") + F.col("n_words")).over(in_doc) != F.col("start_word"), F.lit(True))
-    spans = found.withColumn("span", F.sum(apart.cast("int")).over(in_doc)).withColumn("span_words", F.sum("n_words").over(Window.partitionBy("doc_id", "span")))
+    in_doc = Window.partitionBy("doc_id").orderBy("start_word", "n_words").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.col("start_word") + F.col("n_words")
+    before = F.max(end).over(in_doc.rowsBetween(Window.unboundedPreceding, -1))
+    apart = F.coalesce(F.col("start_word") - before >= min_words, F.lit(True))
+    in_span = Window.partitionBy("doc_id", "span")
+    spans = found.withColumn("apart", apart.cast("int")).withColumn("span", F.sum("apart").over(in_doc)).withColumn("span_words", F.max(end).over(in_span) - F.min("start_word").over(in_span))
     return spans.where(F.col("span_words") >= min_span).select("doc_id", "start_word", "n_words", "cluster", "kept_doc_id", "removed")

@@ -51,6 +51,30 @@ def test_edited_passages_share_a_cluster(spark):
     assert len({r.doc_id // 2 for r in out if r.removed}) >= 36
 
 
+def test_edited_paragraphs_are_found_as_often_as_brute_force_finds_them(spark):
+    r, rows, pairs = random.Random(12), [], []
+    for i in range(120):
+        w = prose(r.choice([60, 80, 100]), r).split()
+        v = list(w)
+        for k in range(r.randrange(20, 26) - 10, len(w), r.randrange(20, 26)):
+            v[k] = f"new{k}"
+        p, q = set(zip(w, w[1:])), set(zip(v, v[1:]))
+        if len(p & q) >= substring_dedup.JACCARD * len(p | q):
+            pairs.append((2 * i + 1, len(v)))
+        gap = "\n\n" if i % 2 else "\n"
+        rows += [(2 * i, f"{prose(20, r)}{gap}{' '.join(w)}{gap}{prose(20, r)}")]
+        half = "\n" if i % 2 else " "  # a block over two lines
+        rows += [(2 * i + 1, f"{prose(30, r)}{gap}{' '.join(v[:30])}{half}{' '.join(v[30:])}{gap}{prose(30, r)}")]
+    out = substring_dedup.repeated_paragraphs(docs(spark, rows)).collect()
+    at = {}
+    for x in out:
+        if x.removed and x.kept_doc_id == x.doc_id - 1:
+            at.setdefault(x.doc_id, set()).update(range(x.start_word, x.start_word + x.n_words))
+    whole = sum(len(at.get(d, set()) & set(range(30, 30 + n))) == n for d, n in pairs)
+    assert len(pairs) > 80 and whole >= 0.9 * len(pairs), (whole, len(pairs))
+    assert not any(at[d] - set(range(27, 33 + n)) for d, n in pairs if d in at)  # a piece may go on by a few words
+
+
 def near_fixture():
     rows, groups = [], []
     for g in range(40):
