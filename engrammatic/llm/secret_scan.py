@@ -2,7 +2,8 @@
 
 The text of a document is the first layer. Every layer is scanned with all rules; then its percent-encoded stretches,
 its Unicode escapes and its base64 runs (which may hold compressed data) are decoded, and each layer that this gives
-goes on the worklist. A layer whose content was seen before in the document is not entered again, so the list ends.
+goes on the worklist. A layer with the content of one that it was decoded from, or that was seen at the same place, is
+not entered again, so the list ends.
 Every layer knows for each of its characters which characters of the document it came from.
 """
 
@@ -55,6 +56,8 @@ class Layer:
     #: Place in the document of each character and of the one after the last: (first, after), or one span for all.
     places: list[tuple[int, int]] | None
     span: tuple[int, int]
+    #: Digests of the layers that this one was decoded from.
+    above: frozenset[bytes] = frozenset()
 
     def where(self, a: int, b: int) -> tuple[int, int]:
         """The span of the document that characters a to b came from."""
@@ -170,7 +173,7 @@ def scan(text: str | None) -> list[tuple[str, int, int, str, str]]:
     """
     if not text:
         return []
-    work, seen = [Layer(text, (), None, (0, len(text)))], {hashlib.sha256(text.encode("utf-8", "replace")).digest()}
+    work, seen = [Layer(text, (), None, (0, len(text)))], set()
     found: dict[tuple[str, int, int, str], tuple[str, ...]] = {}
     while work:
         layer = work.pop(0)
@@ -190,10 +193,13 @@ def scan(text: str | None) -> list[tuple[str, int, int, str, str]]:
         if "\\u" in t or "\\U" in t or "\\x" in t:
             inner += _escapes(layer)
         inner += _base64(layer)
+        above = layer.above | {hashlib.sha256(t.encode("utf-8", "replace")).digest()}
         for x in inner:
-            mark = hashlib.sha256(x.text.encode("utf-8", "replace") + b"\0" * (not x.text) + repr(x.span if not x.text else "").encode()).digest()
-            if mark not in seen:
-                seen.add(mark)
+            mark = hashlib.sha256(x.text.encode("utf-8", "replace")).digest()
+            # oversized layers have no text; the list ends since a chain of layers never has the same content twice
+            if (mark, x.span) not in seen and (mark not in above or x.path[-1] == "oversized"):
+                seen.add((mark, x.span))
+                x.above = above
                 work.append(x)
     return sorted((r, a, b, ">".join(p), s) for (r, a, b, s), p in found.items())
 
