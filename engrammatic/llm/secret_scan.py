@@ -1,7 +1,8 @@
 """Secret scans with a recursive decoding worklist.
 
 The text of a document is the first layer. Every layer is scanned with all rules; then its percent-encoded stretches,
-its Unicode escapes and its base64 runs (which may hold compressed data) are decoded, and each layer that this gives
+its Unicode escapes and its base64 runs (which may be wrapped over lines, stand behind '/', '-', '_' or '+' and hold
+compressed data) are decoded, and each layer that this gives
 goes on the worklist. A layer with the content of one that it was decoded from, or that was seen at the same place, is
 not entered again, so the list ends.
 Every layer knows for each of its characters which characters of the document it came from.
@@ -12,7 +13,10 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import gzip
 import hashlib
+import io
+import itertools
 import lzma
 import re
 import zlib
@@ -45,8 +49,11 @@ _PERCENT_RUN = re.compile(r"[A-Za-z0-9_.~!*'();:@&=+$,/?#\[\]-]*(?:%[0-9A-Fa-f]{
 _ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})")
 _ESCAPE_RUN = re.compile(r"(?:[^\s\\]|\\(?![uUx]))*(?:(?:\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2})(?:[^\s\\]|\\(?![uUx]))*)+")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])")
-#: Bytes that one compressed layer may unpack to; a layer that would be larger is reported as 'oversized_layer'.
-MOST_UNPACKED = 64 << 20
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]{16,}(?![A-Za-z0-9+/_-]))*[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]+={0,2}")
+_LINE = re.compile(r"[A-Za-z0-9+/_=-]+")
+#: Bytes up to which what a compressed layer holds is one layer; a larger one is reported as 'oversized_layer' and
+#: scanned in parts of PART bytes, each beginning with the last OVERLAP of the part before.
+MOST_UNPACKED, PART, OVERLAP = 64 << 20, 4 << 20, 64 << 10
 
 
 @dataclass
@@ -58,6 +65,8 @@ class Layer:
     span: tuple[int, int]
     #: Digests of the layers that this one was decoded from.
     above: frozenset[bytes] = frozenset()
+    #: Of a layer too large to hold: the parts of its text.
+    parts: Iterator[str] | None = None
 
     def where(self, a: int, b: int) -> tuple[int, int]:
         """The span of the document that characters a to b came from."""
@@ -66,26 +75,61 @@ class Layer:
         return (a, b) if not self.path else self.span
 
 
-def _unpack(raw: bytes) -> tuple[str, bytes | None] | None:
-    """The kind of compression and what it holds (None: too large), or None if it isn't compressed."""
+def _kind(raw: bytes) -> str | None:
+    """The kind of compression that the bytes begin like."""
+    if raw[:2] == b"\x1f\x8b":
+        return "gzip"
+    if raw[:1] == b"\x78" and len(raw) > 2 and not int.from_bytes(raw[:2], "big") % 31:
+        return "zlib"
+    return "bz2" if raw[:3] == b"BZh" else "xz" if raw[:6] == b"\xfd7zXZ\x00" else "zstd" if raw[:4] == b"\x28\xb5\x2f\xfd" else None
+
+
+def _chunks(raw: bytes, kind: str) -> Iterator[bytes]:
+    """What all members of the compressed bytes hold, as far as they can be read."""
     try:
-        if raw[:2] == b"\x1f\x8b":
-            kind, d = "gzip", zlib.decompressobj(31)
-            out = d.decompress(raw, MOST_UNPACKED + 1)
-        elif raw[:1] == b"\x78" and len(raw) > 2 and not int.from_bytes(raw[:2], "big") % 31:
-            kind, d = "zlib", zlib.decompressobj()
-            out = d.decompress(raw, MOST_UNPACKED + 1)
-        elif raw[:3] == b"BZh":
-            kind, out = "bz2", bz2.BZ2Decompressor().decompress(raw, MOST_UNPACKED + 1)
-        elif raw[:6] == b"\xfd7zXZ\x00":
-            kind, out = "xz", lzma.LZMADecompressor().decompress(raw, MOST_UNPACKED + 1)
-        elif raw[:4] == b"\x28\xb5\x2f\xfd":
-            kind, out = "zstd", zstandard.ZstdDecompressor().stream_reader(raw).read(MOST_UNPACKED + 1)
+        if kind == "zlib":
+            d = zlib.decompressobj()
+            while out := d.decompress(raw, 1 << 20):
+                yield out
+                raw = d.unconsumed_tail
+            return
+        file = io.BytesIO(raw)
+        if kind == "gzip":
+            reader = gzip.GzipFile(fileobj=file)
+        elif kind == "bz2":
+            reader = bz2.BZ2File(file)
+        elif kind == "xz":
+            reader = lzma.LZMAFile(file)
         else:
-            return None
+            reader = zstandard.ZstdDecompressor().stream_reader(file, read_across_frames=True)
+        while out := reader.read1(1 << 20):
+            yield out
     except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, zstandard.ZstdError):
+        return
+
+
+def _unpack(raw: bytes) -> tuple[str, bytes | None] | None:
+    """The kind of compression and what it holds (None: too large), or None if it isn't compressed."""
+    kind, out, n = _kind(raw), [], 0
+    if kind is None:
         return None
-    return kind, None if len(out) > MOST_UNPACKED else out
+    for c in _chunks(raw, kind):
+        out.append(c)
+        n += len(c)
+        if n > MOST_UNPACKED:
+            return kind, None
+    return (kind, b"".join(out)) if n else None
+
+
+def _parts(raw: bytes, kind: str) -> Iterator[str]:
+    """The text of a layer too large to hold, in overlapping parts; none of a part that isn't text."""
+    held = b""
+    for c in itertools.chain(_chunks(raw, kind), [None]):
+        held += c or b""
+        if c is None or len(held) >= PART:
+            if t := _readable(held.decode("utf-8", "ignore").encode()):
+                yield t
+            held = held[-OVERLAP:]
 
 
 def _readable(raw: bytes) -> str | None:
@@ -141,29 +185,82 @@ def _escapes(layer: Layer) -> Iterator[Layer]:
         yield Layer("".join(out), (*layer.path, "unicode"), places, layer.where(m.start(), m.end()))
 
 
-def _base64(layer: Layer) -> Iterator[Layer]:
-    for m in _BASE64.finditer(layer.text):
-        s = m.group().rstrip("=").replace("-", "+").replace("_", "/")
-        if len(s) % 4 == 1 or s.isalpha() and (s.islower() or s[1:].islower()):
-            continue  # a plain word
-        try:
-            raw = base64.b64decode(s + "=" * (-len(s) % 4), validate=True)
-        except (binascii.Error, ValueError):
+def _decoded(s: str) -> bytes:
+    """The bytes of a base64 run, or none."""
+    s = s.rstrip("=").replace("-", "+").replace("_", "/")
+    if len(s) < 16 or len(s) % 4 == 1 or s.isalpha() and (s.islower() or s[1:].islower()):
+        return b""  # too short, or a plain word
+    try:
+        return base64.b64decode(s + "=" * (-len(s) % 4), validate=True)
+    except (binascii.Error, ValueError):
+        return b""
+
+
+def _readable_bytes(raw: bytes) -> int:
+    """How many bytes from the first on are text."""
+    if m := re.search(rb"[\x00-\x08\x0e-\x1f\x7f]", raw):
+        raw = raw[: m.start()]
+    try:
+        raw.decode("utf-8")
+    except UnicodeDecodeError as e:
+        return e.start
+    return len(raw)
+
+
+def _held(raw: bytes, layer: Layer, span: tuple[int, int]) -> list[Layer]:
+    """The layers that decoded bytes hold: their text, unpacked as often as they are compressed."""
+    out, path, seen = [], (*layer.path, "base64"), set()
+    while (found := _unpack(raw)) is not None and (mark := hashlib.sha256(raw).digest()) not in seen:
+        seen.add(mark)
+        kind, inner = found
+        path = (*path, kind)
+        if inner is None:
+            return [Layer("", (*path, "oversized"), None, span), Layer("", path, None, span, parts=_parts(raw, kind))]
+        raw = inner
+    if t := _readable(raw):
+        out.append(Layer(t, path, None, span))
+    return out
+
+
+def _within(s: str, cuts: list[int]) -> Iterator[tuple[int, int, bytes]]:
+    """Parts of a run between two cuts that are base64 of something: (first, after, bytes), the longest from each cut."""
+    s, after = s.rstrip("="), 0
+    ends = sorted({*(c - 1 if c and s[c - 1 : c] in "/-_+" else c for c in cuts), *cuts, len(s)})
+    for a in cuts:
+        if a < after or len(s) - a < 16:
+            continue
+        head = _decoded(s[a : a + 16]) or _decoded(s[a : a + 20])
+        if not head or not _kind(head) and _readable_bytes(head) < 9:
             continue
-        span, path = layer.where(m.start(), m.end()), (*layer.path, "base64")
-        # compressed data may be compressed more than once
-        seen: set[bytes] = set()
-        while (found := _unpack(raw)) is not None and (mark := hashlib.sha256(raw).digest()) not in seen:
-            seen.add(mark)
-            kind, inner = found
-            path = (*path, kind)
-            if inner is None:
-                yield Layer("", (*path, "oversized"), None, span)
-                raw = b""
+        whole = _decoded(s[a : a + (len(s) - a) // 4 * 4])
+        n = len(s) if _kind(head) else a + _readable_bytes(whole) * 4 // 3 + 4
+        for b in reversed(ends):
+            if b - a < 16:
                 break
-            raw = inner
-        if t := _readable(raw):
-            yield Layer(t, path, None, span)
+            if b > n:
+                continue
+            raw = _decoded(s[a:b])
+            if raw and (_unpack(raw) is not None or _readable(raw)):
+                yield a, b, raw
+                after = b
+                break
+
+
+def _base64(layer: Layer) -> Iterator[Layer]:
+    for m in _BASE64.finditer(layer.text):
+        s = m.group()
+        if found := _held(_decoded(s), layer, layer.where(m.start(), m.end())):
+            yield from found
+        elif len(cuts := [0, *(k.end() for k in re.finditer(r"[/_+-]", s))]) > 1:
+            for a, b, raw in _within(s, cuts):
+                yield from _held(raw, layer, layer.where(m.start() + a, m.start() + b))
+    for m in _WRAPPED.finditer(layer.text):
+        lines = [(k.group(), m.start() + k.start()) for k in _LINE.finditer(m.group())]
+        at = [0, *itertools.accumulate(len(x) for x, _ in lines)]
+        for a, b, raw in _within("".join(x for x, _ in lines), at[:-1]):
+            last = max(k for k, p in enumerate(at[:-1]) if p < b)
+            if at.index(a) < last:  # else it is a run of one line
+                yield from _held(raw, layer, layer.where(lines[at.index(a)][1], lines[last][1] + b - at[last]))
 
 
 def scan(text: str | None) -> list[tuple[str, int, int, str, str]]:
@@ -177,6 +274,12 @@ def scan(text: str | None) -> list[tuple[str, int, int, str, str]]:
     found: dict[tuple[str, int, int, str], tuple[str, ...]] = {}
     while work:
         layer = work.pop(0)
+        if layer.parts is not None:
+            if part := next(layer.parts, ""):
+                work.insert(0, layer)  # its next part follows when this one is done
+                layer = Layer(part, layer.path, None, layer.span, layer.above)
+            else:
+                continue
         t = layer.text
         low = t.lower()
         if layer.path[-1:] == ("oversized",):
@@ -195,6 +298,10 @@ def scan(text: str | None) -> list[tuple[str, int, int, str, str]]:
         inner += _base64(layer)
         above = layer.above | {hashlib.sha256(t.encode("utf-8", "replace")).digest()}
         for x in inner:
+            if x.parts is not None:
+                x.above = above
+                work.append(x)
+                continue
             mark = hashlib.sha256(x.text.encode("utf-8", "replace")).digest()
             # oversized layers have no text; the list ends since a chain of layers never has the same content twice
             if (mark, x.span) not in seen and (mark not in above or x.path[-1] == "oversized"):
@@ -219,7 +326,9 @@ def secrets(docs: DataFrame) -> DataFrame:
     """Secrets in every row of docs: (doc_id, rule, start, stop, layers, secret_sha256); the secret itself is not shown.
 
     docs needs doc_id (integer) and text. Spans count characters of the text; layers is the path of decodings, '' for
-    the text itself. A secret in a layer that was base64 or compressed has the span of the whole encoded run.
+    the text itself. A secret in a layer that was base64 or compressed has the span of the whole encoded run; one in a
+    single line of wrapped base64 may be given for that line too. What a compressed layer over MOST_UNPACKED bytes holds
+    is scanned as text in parts, and not unpacked again.
     Rows with a null or empty text give no rows; a null doc_id stays null. Texts of any length are scanned whole.
     Repeated rows give repeated results, an empty table none. Columns other than doc_id and text are not read.
     One pass without a shuffle.
