@@ -6,7 +6,7 @@ where it lies at distance 3, to the five codewords at distance 4, the only ones
 (so two words at distance 2 or less always share one). Two segments' codewords make a join key; of the up to 36 keys
 of a pair of segments the eight that flip the least certain bits are used. Pigeonhole: errors spread over eight segments
 leave some two with few. Documents that share a key are compared on 64 other bits at once and then verified on the
-whole fingerprint.
+whole fingerprint; where many share one, the whole fingerprints are fetched and a spanning set of near pairs is found.
 """
 
 from __future__ import annotations
@@ -163,30 +163,45 @@ def distance(a: list[np.ndarray], i, j) -> np.ndarray:
     return sum(np.bitwise_count((x[i] ^ x[j]).view(np.uint64)).astype(np.int32) for x in a)  # of signed integers it counts the absolute value
 
 
+#: Rows of one key up to which all pairs are compared on the check word.
+SMALL = 24
+
+
 def near_in_runs(batches: Iterator[pa.RecordBatch], near_check: int) -> Iterator[pa.RecordBatch]:
-    """Edges among the rows of each key."""
+    """Pairs (a, b) to verify among the rows of each key; of a key of more than SMALL rows these rows, as (a, key)."""
     for c in whole_runs(batches, "key"):
-        at = run_starts(c["key"])
-        size = np.diff(at)
+        size = np.diff(run_starts(c["key"]))
         f = [c[CHECK]]
         ids, key = c["doc_id"], c["key"]
-        a, b = [], []
-        small = np.repeat(size <= 24, size)
-        for d in range(1, min(24, int(size.max()))):
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        small = np.repeat(size <= SMALL, size)
+        for d in range(1, min(SMALL, int(size.max()))):
             i = np.flatnonzero((key[:-d] == key[d:]) & small[:-d])
             i = i[distance(f, i, i + d) <= near_check]
             a.append(ids[i])
             b.append(ids[i + d])
-        for r in np.flatnonzero(size > 24):
-            lo, hi = at[r], at[r + 1]
-            part = [x[lo:hi] for x in f]
-            i, j = spanning_edges(hi - lo, lambda i, others, part=part: distance(part, i, others) <= near_check)
-            a.append(ids[lo:hi][i])
-            b.append(ids[lo:hi][j])
-        if a:
-            x, y = np.concatenate(a), np.concatenate(b)
-            pair = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1)[x != y], axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
+        x, y = np.concatenate(a), np.concatenate(b)
+        pair = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1)[x != y], axis=0)
+        n, m = len(pair), int((~small).sum())
+        if n + m:
+            rest, pairs = np.zeros(m, np.int64), np.zeros(n, np.int64)
+            of_pair = np.arange(n + m) < n
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([pair[:, 0], ids[~small]])), pa.array(np.concatenate([pair[:, 1], rest]), mask=~of_pair), pa.array(np.concatenate([pairs, key[~small]]), mask=of_pair)],
+                names=["a", "b", "key"],
+            )
+
+
+def near_in_large_runs(batches: Iterator[pa.RecordBatch], near: int) -> Iterator[pa.RecordBatch]:
+    """Edges that connect just what all near pairs among the rows of each key connect, by the whole fingerprints."""
+    for c in whole_runs(batches, "key"):
+        at = run_starts(c["key"])
+        for lo, hi in zip(at[:-1], at[1:]):
+            part = [c[f][lo:hi] for f in FP]
+            i, j = spanning_edges(int(hi - lo), lambda i, others, part=part: distance(part, i, others) <= near, small=0)
+            x, y = c["doc_id"][lo:hi][i], c["doc_id"][lo:hi][j]
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
 
 def near_duplicates(docs: DataFrame, near: int = NEAR, near_check: int = NEAR_CHECK, keys: int = KEYS) -> DataFrame:
@@ -205,9 +220,15 @@ def near_duplicates(docs: DataFrame, near: int = NEAR, near_check: int = NEAR_CH
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     words = ", ".join(f"{f} long" for f in FP)
     prints = written(plain.mapInArrow(fingerprint_rows, f"doc_id long, margins binary, {words}"))
-    rows = prints.select("doc_id", "margins", CHECK).mapInArrow(lambda it: key_rows(it, keys), f"key long, doc_id long, {CHECK} long")
-    edges = rows.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: near_in_runs(it, near_check), "a long, b long").distinct()
-    left, right = (prints.select(F.col("doc_id").alias(e), *(F.col(f).alias(f"{e}_{f}") for f in FP)) for e in "ab")
+    # equal fingerprints are near; the least document stands for them
+    one = written(prints.groupBy(*FP).agg(F.min(F.struct("doc_id", "margins")).alias("least")).select("least.*", *FP))
+    equal = prints.select(F.col("doc_id").alias("b"), *FP).join(one.select(F.col("doc_id").alias("a"), *FP), FP).where("a <> b").select("a", "b")
+    rows = one.select("doc_id", "margins", CHECK).mapInArrow(lambda it: key_rows(it, keys), f"key long, doc_id long, {CHECK} long")
+    found = written(rows.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: near_in_runs(it, near_check), "a long, b long, key long"))
+    left, right = (one.select(F.col("doc_id").alias(e), *(F.col(f).alias(f"{e}_{f}") for f in FP)) for e in "ab")
     apart = sum((F.bit_count(F.col(f"a_{f}").bitwiseXOR(F.col(f"b_{f}"))) for f in FP), F.lit(0))
-    edges = edges.join(left, "a").join(right, "b").where(apart <= near).select("a", "b")
+    few = found.where("b is not null").select("a", "b").distinct().join(left, "a").join(right, "b").where(apart <= near).select("a", "b")
+    large = found.where("key is not null").select("key", F.col("a").alias("doc_id")).join(one.select("doc_id", *FP), "doc_id")
+    many = large.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: near_in_large_runs(it, near), "a long, b long")
+    edges = few.union(many).union(equal)
     return components(edges).select(F.col("node").alias("doc_id"), F.col("component").alias("kept_doc_id"))

@@ -122,6 +122,50 @@ def test_isolated_near_pairs_have_recall_over_nine_tenths_at_every_distance(spar
         assert len(pairs) > 100 and found >= 0.9 * len(pairs), (low, found, len(pairs))
 
 
+def test_large_runs_connect_what_brute_force_connects():
+    r = np.random.default_rng(13)
+    centre = r.integers(0, 2, 391).astype(bool)
+    bits = np.repeat(centre[None], 300, 0)
+    for i in range(0, 300, 2):
+        bits[i] ^= r.random(391) < 0.12  # far from most of the others, but near on the check word to many
+        bits[i + 1] = bits[i] ^ (r.random(391) < 0.1)
+    words = simhash_golay.pack(bits)
+    apart = bits.astype(int).sum(1)[:, None] + bits.astype(int).sum(1)[None] - 2 * bits.astype(int) @ bits.astype(int).T
+    key = pa.array(np.full(300, 7))
+    names = ["key", "doc_id", *simhash_golay.FP]
+    out = list(simhash_golay.near_in_runs([pa.RecordBatch.from_arrays([key, pa.array(np.arange(300)), pa.array(words[3])], names=["key", "doc_id", simhash_golay.CHECK])], simhash_golay.NEAR_CHECK))
+    rows = [x["a"] for b in out for x in b.to_pylist() if x["key"] == 7]
+    assert sorted(rows) == list(range(300))
+    edges = [(x["a"], x["b"]) for b in simhash_golay.near_in_large_runs([pa.RecordBatch.from_arrays([key, pa.array(np.arange(300)), *map(pa.array, words)], names=names)], simhash_golay.NEAR) for x in b.to_pylist()]
+
+    def groups(pairs):
+        up = list(range(300))
+        for a, b in pairs:
+            x, y = up[a], up[b]
+            up = [min(x, y) if u in (x, y) else u for u in up]
+        return up
+
+    near = list(zip(*np.nonzero(np.triu(apart <= simhash_golay.NEAR, 1))))
+    assert len(set(groups(near))) > 1 and groups(edges) == groups(near)
+
+
+def test_large_runs_of_near_documents(spark):
+    r = random.Random(14)
+    shared, rows = r.sample(WORDS, 112), []
+    for i in range(200):
+        w = shared + r.sample(WORDS, 38)
+        rows.append((2 * i, " ".join(w)))
+        v = list(w)
+        for k in r.sample(range(150), 6):
+            v[k] = r.choice(WORDS)
+        rows.append((2 * i + 1, " ".join(v)))
+    out = {x.doc_id: x.kept_doc_id for x in simhash_golay.near_duplicates(docs(spark, rows + [(1000, rows[7][1])])).collect()}
+    _, sums = simhash_golay.Fingerprints()(pa.array([t for _, t in rows]))
+    near = ((sums[::2] > 0) != (sums[1::2] > 0)).sum(1) <= simhash_golay.NEAR
+    found = sum(out.get(2 * int(i)) == out.get(2 * int(i) + 1) is not None for i in np.flatnonzero(near))
+    assert near.sum() > 150 and found >= 0.98 * near.sum() and out[1000] == out[7]
+
+
 def test_golay_decoding_shares_a_codeword_at_distance_two():
     columns, masks, count = simhash_golay.golay_tables()
 
