@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,30 +11,45 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names. Where it is unset, as in tests, a temporary folder is set."""
+    """The folder that spark.checkpoint.dir names. Where it is unset a temporary one is set, but in local mode alone."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='engrammatic-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def _files(df: DataFrame):
+    jvm, path = df.sparkSession._jvm, getattr(df, "_engrammatic_path", None)
+    if path:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()), p
+    return None, None
+
+
 def written(df: DataFrame) -> DataFrame:
-    """The rows of df as a table in the shared folder: lineage ends there, and a lost executor costs nothing."""
+    """The rows of df as a table in the shared folder: lineage ends there, and a lost executor costs nothing.
+
+    The files go with drop_written(), or at the latest when the application ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/engrammatic-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._engrammatic_path = path
+    fs, p = _files(out)
+    fs.deleteOnExit(p)
     return out
 
 
-def drop_written(df: DataFrame) -> None:
-    """Removes the files of a table that written() made and that nothing reads any more."""
-    jvm, path = df.sparkSession._jvm, getattr(df, "_engrammatic_path", None)
-    if path:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+def drop_written(*tables: DataFrame) -> None:
+    """Removes the files of tables that written() made and that nothing reads any more."""
+    for df in tables:
+        fs, p = _files(df)
+        if fs is not None:
+            fs.delete(p, True)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -63,20 +79,29 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
 
 
-#: Keys up to this many are broadcast: about 64 MB on every executor.
-BROADCAST_KEYS = 4_000_000
+#: Keys up to this many (64-bit integers) are broadcast: about 16 MB on every executor.
+BROADCAST_KEYS = 1_000_000
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, lengthened until df has no column of it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
-def by_key(df: DataFrame, keys: DataFrame, column: str, how: str) -> DataFrame:
+def by_key(df: DataFrame, keys: DataFrame, column: str, how: str, most: int = BROADCAST_KEYS) -> DataFrame:
     """df joined to ``keys`` (one column, a written table) by a column: how is left_semi or left_anti.
 
-    The keys are counted: up to BROADCAST_KEYS of them are broadcast and df is not shuffled; beyond, a shuffled join.
-    Rows whose key is null match nothing.
+    The keys are counted: up to ``most`` of them are broadcast and df is not shuffled; beyond, a shuffled join whose
+    skewed partitions adaptive execution splits. Rows whose key is null match nothing. df may have any columns.
     """
-    few = keys.toDF("__key").where("__key is not null").distinct()
-    if few.count() <= BROADCAST_KEYS:
+    k = free_name(df, "key")
+    few = keys.toDF(k).where(F.col(k).isNotNull()).distinct()
+    if few.count() <= most:
         few = F.broadcast(few)
-    return df.join(few, F.expr(f"`{column}` = __key"), how)
+    return df.join(few, F.col(column) == F.col(k), how)
 
 
 def drop_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:

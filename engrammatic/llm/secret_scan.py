@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import bz2
 import gzip
 import hashlib
@@ -20,6 +21,7 @@ import itertools
 import lzma
 import re
 import zlib
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -45,9 +47,10 @@ RULES: tuple[tuple[str, tuple[str, ...], str], ...] = (
 )
 _RULES = [(name, words, re.compile(p)) for name, words, p in RULES]
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_PERCENT_RUN = re.compile(r"[A-Za-z0-9_.~!*'();:@&=+$,/?#\[\]-]*(?:%[0-9A-Fa-f]{2}[A-Za-z0-9_.~!*'();:@&=+$,/?#\[\]-]*)+")
+# Runs that may hold escapes: every character is looked at once, whatever follows.
+_PERCENT_RUN = re.compile(r"(?:[A-Za-z0-9_.~!*'();:@&=+$,/?#\[\]-]++|%[0-9A-Fa-f]{2})++")
 _ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})")
-_ESCAPE_RUN = re.compile(r"(?:[^\s\\]|\\(?![uUx]))*(?:(?:\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2})(?:[^\s\\]|\\(?![uUx]))*)+")
+_ESCAPE_RUN = re.compile(r"(?:[^\s\\]++|\\(?![uUx])|\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2})++")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])")
 _WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]{16,}(?![A-Za-z0-9+/_-]))*[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]+={0,2}")
 _LINE = re.compile(r"[A-Za-z0-9+/_=-]+")
@@ -143,6 +146,8 @@ def _readable(raw: bytes) -> str | None:
 
 def _percent(layer: Layer) -> Iterator[Layer]:
     for m in _PERCENT_RUN.finditer(layer.text):
+        if "%" not in m.group():
+            continue
         out: list[str] = []
         places: list[tuple[int, int]] = []
         i, run = m.start(), m.group()
@@ -167,6 +172,8 @@ def _percent(layer: Layer) -> Iterator[Layer]:
 
 def _escapes(layer: Layer) -> Iterator[Layer]:
     for m in _ESCAPE_RUN.finditer(layer.text):
+        if not _ESCAPE.search(layer.text, m.start(), m.end()):
+            continue
         units: list[tuple[int, int, int]] = []
         i = m.start()
         for e in _ESCAPE.finditer(layer.text, m.start(), m.end()):
@@ -186,10 +193,10 @@ def _escapes(layer: Layer) -> Iterator[Layer]:
 
 
 def _decoded(s: str) -> bytes:
-    """The bytes of a base64 run, or none."""
+    """The bytes of a base64 run, or none. Under 16 letters there are no 14 bytes, which the shortest secret has."""
     s = s.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(s) < 16 or len(s) % 4 == 1 or s.isalpha() and (s.islower() or s[1:].islower()):
-        return b""  # too short, or a plain word
+    if len(s) < 16 or len(s) % 4 == 1:
+        return b""
     try:
         return base64.b64decode(s + "=" * (-len(s) % 4), validate=True)
     except (binascii.Error, ValueError):
@@ -222,28 +229,51 @@ def _held(raw: bytes, layer: Layer, span: tuple[int, int]) -> list[Layer]:
     return out
 
 
+def _readable_from(s: str, a: int) -> bytes:
+    """The bytes that a run decodes to from letter a on, up to the first that isn't text."""
+    n = 4096
+    while True:
+        part = s[a : a + n]
+        part = part[: len(part) - (len(part) % 4 == 1)]
+        raw = base64.b64decode(part + "=" * (-len(part) % 4))
+        k = _readable_bytes(raw)
+        if k < len(raw) - 4 or a + n >= len(s):
+            return raw[:k]
+        n *= 4
+
+
 def _within(s: str, cuts: list[int]) -> Iterator[tuple[int, int, bytes]]:
-    """Parts of a run between two cuts that are base64 of something: (first, after, bytes), the longest from each cut."""
-    s, after = s.rstrip("="), 0
-    ends = sorted({*(c - 1 if c and s[c - 1 : c] in "/-_+" else c for c in cuts), *cuts, len(s)})
+    """Parts of a run that are base64 of something: (first, after, bytes), the longest from each cut, to a cut if it can be.
+
+    What is unpacked or read from one cut is not looked at again, so that a run costs no more than in proportion.
+    """
+    s = s.rstrip("=").replace("-", "+").replace("_", "/")
+    ends, after = sorted({*(c - 1 for c in cuts if c and s[c - 1] in "/+"), *cuts, len(s)}), 0
     for a in cuts:
         if a < after or len(s) - a < 16:
             continue
-        head = _decoded(s[a : a + 16]) or _decoded(s[a : a + 20])
-        if not head or not _kind(head) and _readable_bytes(head) < 9:
+        head = base64.b64decode(s[a : a + 16])
+        if _kind(head):
+            b = len(s) if (len(s) - a) % 4 != 1 else len(s) - 1
+            part = _decoded(s[a : min(b, a + 65_536)])
+            if _kind(head) in ("bz2", "xz", "zstd") or _unpack(part) is not None:
+                raw = _decoded(s[a:b])
+                if _unpack(raw) is not None:
+                    yield a, b, raw
+                    after = b
             continue
-        whole = _decoded(s[a : a + (len(s) - a) // 4 * 4])
-        n = len(s) if _kind(head) else a + _readable_bytes(whole) * 4 // 3 + 4
-        for b in reversed(ends):
-            if b - a < 16:
-                break
-            if b > n:
-                continue
-            raw = _decoded(s[a:b])
-            if raw and (_unpack(raw) is not None or _readable(raw)):
-                yield a, b, raw
-                after = b
-                break
+        if _readable_bytes(head) < 9:
+            continue
+        raw = _readable_from(s, a)
+        n = min(len(s), a + -(-len(raw) * 4 // 3))
+        whole = lambda b: (b - a) % 4 != 1 and (b - a) * 3 // 4 <= len(raw) and ((b - a) * 3 // 4 == len(raw) or raw[(b - a) * 3 // 4] & 0xC0 != 0x80)  # noqa: B023, E731
+        at = bisect.bisect_right(ends, n)
+        b = next((e for e in reversed(ends[max(0, at - 64) : at]) if e - a >= 16 and whole(e)), 0)
+        if not b:
+            b = next((e for e in range(a + (n - a) // 4 * 4, a + 15, -4) if whole(e)), 0)
+        if b:
+            yield a, b, raw[: (b - a) * 3 // 4]
+            after = b
 
 
 def _base64(layer: Layer) -> Iterator[Layer]:
@@ -258,9 +288,9 @@ def _base64(layer: Layer) -> Iterator[Layer]:
         lines = [(k.group(), m.start() + k.start()) for k in _LINE.finditer(m.group())]
         at = [0, *itertools.accumulate(len(x) for x, _ in lines)]
         for a, b, raw in _within("".join(x for x, _ in lines), at[:-1]):
-            last = max(k for k, p in enumerate(at[:-1]) if p < b)
-            if at.index(a) < last:  # else it is a run of one line
-                yield from _held(raw, layer, layer.where(lines[at.index(a)][1], lines[last][1] + b - at[last]))
+            first, last = bisect.bisect_left(at, a), bisect.bisect_left(at, b) - 1
+            if first < last:  # else it is a run of one line
+                yield from _held(raw, layer, layer.where(lines[first][1], lines[last][1] + b - at[last]))
 
 
 def scan(text: str | None) -> list[tuple[str, int, int, str, str]]:
@@ -270,13 +300,13 @@ def scan(text: str | None) -> list[tuple[str, int, int, str, str]]:
     """
     if not text:
         return []
-    work, seen = [Layer(text, (), None, (0, len(text)))], set()
+    work, seen = deque([Layer(text, (), None, (0, len(text)))]), set()
     found: dict[tuple[str, int, int, str], tuple[str, ...]] = {}
     while work:
-        layer = work.pop(0)
+        layer = work.popleft()
         if layer.parts is not None:
             if part := next(layer.parts, ""):
-                work.insert(0, layer)  # its next part follows when this one is done
+                work.appendleft(layer)  # its next part follows when this one is done
                 layer = Layer(part, layer.path, None, layer.span, layer.above)
             else:
                 continue
