@@ -113,10 +113,16 @@ def ids_of(batch: pa.RecordBatch, column: str = "doc_id") -> np.ndarray:
     return np.asarray(batch.column(column).cast(pa.int64()))
 
 
-def worker_cache(name: str) -> dict:
-    """A dict that lives as long as the Python worker, which Spark reuses for many tasks."""
+def worker_cache(name: str, key=None) -> dict:
+    """A dict that lives as long as the Python worker, which Spark reuses for many tasks.
+
+    One operator's cache is kept at a time: asking for another name, or the same with another key, drops the one before,
+    so that what one stage of a pipeline held is gone in the next.
+    """
     import sys
 
-    module = sys.modules["pyarrow"]
-    store = module.__dict__.setdefault("_engrammatic_worker_caches", {})
-    return store.setdefault(name, {})
+    store = sys.modules["pyarrow"].__dict__.setdefault("_engrammatic_worker_cache", {})
+    if store.get("for") != (name, key):
+        store.clear()
+        store.update({"for": (name, key), "cache": {}})
+    return store["cache"]

@@ -18,6 +18,7 @@ from engrammatic.llm._arrow import texts
 _W = r"\t-\r \x85\xa0  -     　"
 #: The published pre-tokenisation pattern of the byte-level BPE vocabularies.
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_W}\p{{L}}\p{{N}}]+|[{_W}]+(?![^{_W}])|[{_W}]+"
+_COMPILED = regex.compile(PATTERN)
 _RE2_W = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _MIXED = rf"\x00|  |[{_RE2_W}] [{_RE2_W}]"
 
@@ -27,16 +28,7 @@ SLICE = 8 << 20
 
 def pre_tokens(text: str) -> list[str]:
     """The pre-tokens of a text: these put together are the text."""
-    return _compiled().findall(text)
-
-
-def _compiled():
-    from engrammatic.llm._arrow import worker_cache
-
-    c = worker_cache("pattern")
-    if "re" not in c:
-        c["re"] = regex.compile(PATTERN)
-    return c["re"]
+    return _COMPILED.findall(text)
 
 
 def pieces(column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -45,10 +37,9 @@ def pieces(column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     mixed = np.asarray(pc.match_substring_regex(a, _MIXED))
     lists = pc.split_pattern(pc.replace_substring(a, " ", "\x00 "), "\x00")
     if mixed.any():
-        find = _compiled().findall
         own = lists.to_pylist()
         for i in np.flatnonzero(mixed):
-            own[i] = find(a[int(i)].as_py())
+            own[i] = pre_tokens(a[int(i)].as_py())
         lists = pa.array(own, pa.list_(pa.large_string()))
     off = np.asarray(lists.offsets).astype(np.int64)
     flat = lists.flatten().dictionary_encode()

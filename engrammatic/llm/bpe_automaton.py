@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import gc
 import json
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,11 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from engrammatic.llm._arrow import slices, texts, worker_cache
-from engrammatic.llm._pieces import SLICE, pieces, pre_tokens
+from engrammatic.llm._pieces import pieces, pre_tokens
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
-#: Pieces, pre-tokens and transitions that a worker keeps before it starts afresh.
-CACHED, TRANSITIONS = 250_000, 1_000_000
+#: Bytes of pieces and of pre-tokens that a worker keeps before it starts afresh; letters of the longest that it keeps.
+CACHED_BYTES, LONGEST = 48 << 20, 64
+#: Decided transitions that a worker keeps before it starts afresh, about 30 MB.
+TRANSITIONS = 250_000
+#: Bytes of text that are encoded at once.
+CODED = 2 << 20
 
 
 def byte_letters() -> dict[str, int]:
@@ -61,18 +66,31 @@ class Automaton:
             self.labels[i] = t
         self.longest = max(map(len, vocabulary))
         # of states: copied from, without this arc, when (the rank of the merge that made it)
-        self.parent, self.removed, self.made = [-1], [-1], [-1]
+        self.parent, self.removed, self.made = array("i", [-1]), array("i", [-1]), array("i", [-1])
         # of tokens: the state that its arcs lead to, the left part and the rank of its merge; -2: no such arc anywhere
-        self.target, self.left, self.rank = [0] * size, [-1] * size, [-2] * size
+        self.target, self.left, self.rank = array("i", [0] * size), array("i", [-1] * size), array("i", [-2] * size)
         for i in range(256):
             if bytes([i]) in vocabulary:
                 self.rank[vocabulary[bytes([i])]] = -1
-        # all beginnings of tokens: the token itself, or -1
-        self.starts: dict[bytes, int] = {t[:k]: -1 for t in vocabulary for k in range(1, len(t))} | vocabulary
-        self.table: dict[int, bool] = {}
         for rank, (a, b) in enumerate(merges):
             self._merge(rank, vocabulary[a], vocabulary[b], vocabulary[a + b])
-        self.table = {}
+        self.open()
+
+    def open(self) -> Automaton:
+        """Makes what isn't sent to workers: all beginnings of tokens (the token itself, or -1) and the table."""
+        self.starts: dict[bytes, int] = {t[:k]: -1 for t in self.vocabulary for k in range(1, len(t))} | self.vocabulary
+        self.table: dict[int, bool] = {}
+        return self
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("starts", "table", "labels")} | {"size": len(self.labels)}
+
+    def __setstate__(self, state: dict) -> None:
+        size = state.pop("size")
+        self.__dict__.update(state)
+        self.labels = [b""] * size
+        for t, i in self.vocabulary.items():
+            self.labels[i] = t
 
     def _merge(self, rank: int, u: int, v: int, t: int) -> None:
         """The gadget of one merge. A pair that cannot come about, or whose token came about before, adds none."""
@@ -98,7 +116,7 @@ class Automaton:
                 token = self.left[token]
 
     def has(self, state: int, token: int) -> bool:
-        """Whether there is an arc of this token from this state."""
+        """Whether there is an arc of this token from this state; what was decided stays in the table."""
         key = state << 20 | token
         known = self.table.get(key)
         if known is None:
@@ -153,7 +171,26 @@ class Automaton:
 def gather(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The indices of ranges (first, size), one after the other."""
     total = np.cumsum(size)
-    return np.repeat(first - (total - size), size) + np.arange(total[-1] if len(total) else 0)
+    kind = np.int32 if len(total) and max(total[-1], first.max()) < 1 << 31 else np.int64
+    out = np.repeat((first - (total - size)).astype(kind), size)
+    out += np.arange(len(out), dtype=kind)
+    return out
+
+
+class Kept:
+    """A dict of texts' tokens that forgets all when it has grown to so many bytes, and doesn't keep long texts."""
+
+    def __init__(self, most: int) -> None:
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.most, self.bytes = most, 0
+
+    def add(self, text: str, tokens: tuple[int, ...]) -> None:
+        if len(text) <= LONGEST:
+            self.bytes += 250 + 2 * len(text) + 8 * len(tokens)
+            if self.bytes > self.most:
+                self.known.clear()
+                self.bytes = 0
+            self.known[text] = tokens
 
 
 class Coder:
@@ -161,33 +198,33 @@ class Coder:
 
     def __init__(self, automaton: Automaton) -> None:
         self.automaton = automaton
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.known, self.words = Kept(CACHED_BYTES), Kept(CACHED_BYTES // 2)
         label_size = np.array([len(x) for x in automaton.labels], np.int64)
         self.label_size, self.label_first = label_size, np.cumsum(label_size) - label_size
         self.label_bytes = np.frombuffer(b"".join(automaton.labels), np.uint8)
 
     def piece(self, piece: str) -> tuple[int, ...]:
-        out: tuple[int, ...] = ()
-        for w in pre_tokens(piece):
-            t = self.words.get(w)
+        words = pre_tokens(piece)
+        if len(words) == 1:
+            return self.automaton.encode(piece.encode())
+        out: list[int] = []
+        for w in words:
+            t = self.words.known.get(w)
             if t is None:
-                if len(self.words) >= CACHED:
-                    self.words.clear()
-                t = self.words[w] = self.automaton.encode(w.encode())
+                t = self.automaton.encode(w.encode())
+                self.words.add(w, t)
             out += t
-        return out
+        return tuple(out)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The tokens of all rows, and each row's first."""
         names, at, off = pieces(column)
-        known, flat, size = self.known, [], np.zeros(len(names), np.int64)
+        known, flat, size = self.known.known, [], np.zeros(len(names), np.int64)
         for i, p in enumerate(names):
             t = known.get(p)
             if t is None:
-                if len(known) >= CACHED:
-                    known.clear()
-                t = known[p] = self.piece(p)
+                t = self.piece(p)
+                self.known.add(p, t)
             flat += t
             size[i] = len(t)
         first = np.cumsum(size) - size
@@ -202,28 +239,37 @@ class Coder:
         return self.label_bytes[gather(self.label_first[tokens], size)], total[off]
 
 
-def code_rows(batches: Iterator[pa.RecordBatch], vocabulary: dict[bytes, int], merges: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
-    cache = worker_cache(f"bpe-{len(vocabulary)}-{len(merges)}-{merges[-1] if merges else ''}")
+def code_rows(batches: Iterator[pa.RecordBatch], automaton: Automaton) -> Iterator[pa.RecordBatch]:
+    cache = worker_cache("bpe", (len(automaton.vocabulary), len(automaton.parent), automaton.removed[-1]))
     if "coder" not in cache:
-        cache["coder"] = Coder(Automaton(vocabulary, merges))
-    coder: Coder = cache["coder"]
+        cache["coder"] = Coder(automaton.open())
+    on = gc.isenabled()
     gc.disable()  # millions of small tuples and no cycles: looking for these would take half the time
-    for batch in batches:
-        for s in slices(batch, "text", SLICE // 2):
-            text = s.column("text")
-            tokens, off = coder.encode(text)
-            out, byte_off = coder.decode(tokens, off)
-            a = texts(text)
-            want_off = np.frombuffer(a.buffers()[1], np.int64, len(a) + 1, a.offset * 8)
-            want = np.frombuffer(a.buffers()[2] or b"", np.uint8)[want_off[0] : want_off[-1]]
-            want_off = want_off - want_off[0]
-            if np.array_equal(byte_off, want_off) and np.array_equal(out, want):
-                same = np.ones(len(a), bool)
-            else:
-                same = np.array([np.array_equal(out[byte_off[i] : byte_off[i + 1]], want[want_off[i] : want_off[i + 1]]) for i in range(len(a))], bool)
-            null = np.asarray(pc.is_null(text))
-            lists = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(tokens), mask=pa.array(null)) if null.any() else pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(tokens))
-            yield pa.RecordBatch.from_arrays([s.column("doc_id"), pa.array(np.diff(off), pa.int64(), mask=null), lists, pa.array(same, mask=null)], names=["doc_id", "n_tokens", "token_ids", "decodes"])
+    try:
+        for batch in batches:
+            for s in slices(batch, "text", CODED):
+                yield _coded(cache["coder"], s)
+    finally:
+        if on:
+            gc.enable()
+
+
+def _coded(coder: Coder, s: pa.RecordBatch) -> pa.RecordBatch:
+    text = s.column("text")
+    tokens, off = coder.encode(text)
+    out, byte_off = coder.decode(tokens, off)
+    a = texts(text)
+    want_off = np.frombuffer(a.buffers()[1], np.int64, len(a) + 1, a.offset * 8)
+    want = np.frombuffer(a.buffers()[2] or b"", np.uint8)[want_off[0] : want_off[-1]]
+    want_off = want_off - want_off[0]
+    if np.array_equal(byte_off, want_off) and np.array_equal(out, want):
+        same = np.ones(len(a), bool)
+    else:
+        same = np.array([np.array_equal(out[byte_off[i] : byte_off[i + 1]], want[want_off[i] : want_off[i + 1]]) for i in range(len(a))], bool)
+    null = np.asarray(pc.is_null(text))
+    first = pa.array(off.astype(np.int32))
+    lists = pa.ListArray.from_arrays(first, pa.array(tokens), mask=pa.array(null)) if null.any() else pa.ListArray.from_arrays(first, pa.array(tokens))
+    return pa.RecordBatch.from_arrays([s.column("doc_id"), pa.array(np.diff(off), pa.int64(), mask=null), lists, pa.array(same, mask=null)], names=["doc_id", "n_tokens", "token_ids", "decodes"])
 
 
 def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -234,6 +280,6 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame
     A null text has nulls in all three, an empty text no tokens; a null doc_id stays null. Texts of any length are
     encoded whole. Repeated rows give repeated results; an empty table gives no rows. Other columns are not read.
     """
-    words, merges = read_vocabulary(vocabulary)
+    automaton = Automaton(*read_vocabulary(vocabulary))  # compiled once; tasks get its flat arrays
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return plain.mapInArrow(lambda it: code_rows(it, words, merges), "doc_id long, n_tokens long, token_ids array<int>, decodes boolean")
+    return plain.mapInArrow(lambda it: code_rows(it, automaton), "doc_id long, n_tokens long, token_ids array<int>, decodes boolean")

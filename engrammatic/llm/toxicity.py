@@ -32,8 +32,10 @@ from pyspark.sql import functions as F
 from engrammatic.llm._arrow import mix64, seeds, worker_cache
 
 WINDOW, LEVEL, ORDINARY_BYTES, TOXIC_BYTES = 10, 1, 16_384, 32_768
-#: Words that a worker keeps the spelling of.
-CACHED = 300_000
+#: Words of up to LONGEST letters that a worker keeps the spelling of, about 25 MB; longer ones are spelled each time.
+CACHED = 100_000
+#: Letters that a word's beginning has at least, and at most.
+SHORTEST, LONGEST = 3, 40
 #: Windows of those documents' ordinary text that the dictionary is trained on, drawn at random.
 TRAINED_WINDOWS = 40_000
 #: At most so many labelled documents of each class are fitted on, taken in the order of a hash of their ids.
@@ -49,7 +51,7 @@ def words_of(text: str | None) -> list[str]:
 
 
 def _beginnings(words: list[str]) -> set[str]:
-    return {w[:k] for w in set(words) for k in range(3, min(len(w), 10) + 1)}
+    return {w[:k] for w in set(words) for k in range(SHORTEST, min(len(w), LONGEST) + 1)}
 
 
 def families(docs: list[list[str]], hashes: int = 6) -> list[int]:
@@ -95,7 +97,7 @@ def toxic_spans(toxic: list[list[str]], ordinary: list[list[str]], least: float
     spans: Counter = Counter()
     for d in toxic:
         for w in d:
-            best = max(((strong.get(w[:k], 0.0), k) for k in range(3, min(len(w), 10) + 1)), default=(0.0, 0))
+            best = max(((strong.get(w[:k], 0.0), k) for k in range(SHORTEST, min(len(w), LONGEST) + 1)), default=(0.0, 0))
             if best[0]:
                 spans[w[: best[1]]] += 1
     return spans
@@ -108,7 +110,7 @@ def code(mark: str) -> str:
 
 def spell(word: str, marks: frozenset[str]) -> str:
     """The word, its longest mark written as a code."""
-    for k in range(min(len(word), 10), 2, -1):
+    for k in range(min(len(word), LONGEST), SHORTEST - 1, -1):
         if word[:k] in marks:
             return code(word[:k]) + word[k:]
     return word
@@ -147,16 +149,17 @@ class Model:
             compress.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
         ordinary, toxic = compress
 
-        spelled = worker_cache(f"spelled-{hash(self.toxic)}")
+        spelled, marks = worker_cache("spelled", (self.toxic, self.marks)), self.marks
 
         def of(text: str | None) -> tuple[int, list[int]]:
             w = words_of(text)
             if len(spelled) > CACHED:
                 spelled.clear()
+            own = {}
             for x in set(w):
                 if x not in spelled:
-                    spelled[x] = spell(x, self.marks)
-            w = [spelled[x] for x in w]
+                    (spelled if len(x) <= LONGEST else own)[x] = spell(x, marks)
+            w = [spelled[x] if x in spelled else own[x] for x in w]
             windows = [(" " + " ".join(w[i : i + WINDOW]) + " ").encode() for i in range(0, len(w), WINDOW)]
             return len(w), [len(ordinary(b)) - len(toxic(b)) for b in windows]
 
