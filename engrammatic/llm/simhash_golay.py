@@ -6,7 +6,8 @@ where it lies at distance 3, to the five codewords at distance 4, the only ones
 (so two words at distance 2 or less always share one). Two segments' codewords make a join key; of the up to 36 keys
 of a pair of segments the eight that flip the least certain bits are used. Pigeonhole: errors spread over eight segments
 leave some two with few. Documents that share a key are compared on 64 other bits at once and then verified on the
-whole fingerprint; where many share one, the whole fingerprints are fetched and a spanning set of near pairs is found.
+whole fingerprint; where many share one, the whole fingerprints are fetched and a spanning set of near pairs is found,
+in blocks of rows that one task holds, every two parts of a large run being one.
 """
 
 from __future__ import annotations
@@ -20,12 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from engrammatic.llm._arrow import WordHasher, ids_of, mix64, slices
-from engrammatic.llm._runs import run_starts, spanning_edges, whole_runs
-from engrammatic.llm._shared import components, written
+from engrammatic.llm._runs import in_blocks, run_starts, spanning_edges, whole_runs
+from engrammatic.llm._shared import components, drop_written, written
 
 SEGMENTS, KEYED, BITS = 17, 8, 23
 #: Keys for each of the 28 pairs of keyed segments; bits that may differ in the 64 compared at once, and in all.
-KEYS, NEAR_CHECK, NEAR = 8, 17, 66
+KEYS, NEAR_CHECK, NEAR = 8, 23, 66
 _WORDS = 7  # 64-bit words of a fingerprint: 391 bits
 
 
@@ -163,8 +164,8 @@ def distance(a: list[np.ndarray], i, j) -> np.ndarray:
     return sum(np.bitwise_count((x[i] ^ x[j]).view(np.uint64)).astype(np.int32) for x in a)  # of signed integers it counts the absolute value
 
 
-#: Rows of one key up to which all pairs are compared on the check word.
-SMALL = 24
+#: Rows of one key up to which all pairs are compared on the check word, and about as many as one task holds of a key.
+SMALL, BLOCK = 24, 100_000
 
 
 def near_in_runs(batches: Iterator[pa.RecordBatch], near_check: int) -> Iterator[pa.RecordBatch]:
@@ -192,13 +193,13 @@ def near_in_runs(batches: Iterator[pa.RecordBatch], near_check: int) -> Iterator
             )
 
 
-def near_in_large_runs(batches: Iterator[pa.RecordBatch], near: int) -> Iterator[pa.RecordBatch]:
+def near_in_large_runs(batches: Iterator[pa.RecordBatch], near: int, key: str = "key") -> Iterator[pa.RecordBatch]:
     """Edges that connect just what all near pairs among the rows of each key connect, by the whole fingerprints."""
-    for c in whole_runs(batches, "key"):
-        at = run_starts(c["key"])
+    for c in whole_runs(batches, key):
+        at = run_starts(c[key])
         for lo, hi in zip(at[:-1], at[1:]):
             part = [c[f][lo:hi] for f in FP]
-            i, j = spanning_edges(int(hi - lo), lambda i, others, part=part: distance(part, i, others) <= near, small=0)
+            i, j = spanning_edges(int(hi - lo), lambda i, others, part=part: distance(part, i, others) <= near)
             x, y = c["doc_id"][lo:hi][i], c["doc_id"][lo:hi][j]
             if len(x):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
@@ -228,7 +229,9 @@ def near_duplicates(docs: DataFrame, near: int = NEAR, near_check: int = NEAR_CH
     left, right = (one.select(F.col("doc_id").alias(e), *(F.col(f).alias(f"{e}_{f}") for f in FP)) for e in "ab")
     apart = sum((F.bit_count(F.col(f"a_{f}").bitwiseXOR(F.col(f"b_{f}"))) for f in FP), F.lit(0))
     few = found.where("b is not null").select("a", "b").distinct().join(left, "a").join(right, "b").where(apart <= near).select("a", "b")
-    large = found.where("key is not null").select("key", F.col("a").alias("doc_id")).join(one.select("doc_id", *FP), "doc_id")
-    many = large.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: near_in_large_runs(it, near), "a long, b long")
-    edges = few.union(many).union(equal)
-    return components(edges).select(F.col("node").alias("doc_id"), F.col("component").alias("kept_doc_id"))
+    large = in_blocks(found.where("key is not null").select("key", F.col("a").alias("doc_id")), "key", "doc_id", BLOCK)
+    large = large.select("block", "doc_id").join(one.select("doc_id", *FP), "doc_id")
+    many = large.repartition("block").sortWithinPartitions("block").mapInArrow(lambda it: near_in_large_runs(it, near, "block"), "a long, b long")
+    groups = components(few.union(many).union(equal))
+    drop_written(prints, one, found)
+    return groups.select(F.col("node").alias("doc_id"), F.col("component").alias("kept_doc_id"))

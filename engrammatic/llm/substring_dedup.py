@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from engrammatic.llm._arrow import WordHasher, ids_of, mix64, seeds, slices, texts
-from engrammatic.llm._runs import run_starts, spanning_edges, whole_runs
-from engrammatic.llm._shared import by_key, components, written
+from engrammatic.llm._runs import in_blocks, run_starts, spanning_edges, whole_runs
+from engrammatic.llm._shared import by_key, components, drop_written, written
 
 WINDOW, MIN_WORDS, JACCARD, MIN_SPAN, RECALL, ROWS = 20, 5, 0.8, 10, 0.94, 3
 
@@ -93,14 +93,9 @@ class Paragraphs:
                 yield {"start": starts, "end": ends, "row": row, "first": rows[row], "digest": digest, "pairs": pairs, "ok": ok}
 
 
-#: Permutations of a sketch, with four bits of each; of these so many must agree before two paragraphs are compared.
-SKETCH, AGREE = 6, 3
-_SKETCH_BITS = 4 * SKETCH
-
-
-def band_rows(batches: Iterator[pa.RecordBatch], window: int, min_words: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
-    """A row for each band of each paragraph. The key has the band in its two lowest bits above the sketch."""
-    cutter, mult = Paragraphs(window, min_words), seeds(bands * rows + SKETCH, 7_000)
+def paragraph_rows(batches: Iterator[pa.RecordBatch], window: int, min_words: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
+    """A row for each paragraph: digest, doc_id, and the key of each band, which the digest determines."""
+    cutter, mult = Paragraphs(window, min_words), seeds(bands * rows, 7_000)
     for batch in batches:
         for s in slices(batch, "text"):
             for p in cutter(s.column("text")):
@@ -112,74 +107,85 @@ def band_rows(batches: Iterator[pa.RecordBatch], window: int, min_words: int, ba
                     x[last] = np.uint64(0xFFFFFFFFFFFFFFFF)  # a pair that reaches into the next paragraph
                     return np.minimum.reduceat(x, p["start"])[ok]
 
-                doc = ids_of(s)[p["row"][ok]]
-                place = ((p["start"] - p["first"])[ok] << 20) | np.minimum((p["end"] - p["start"])[ok], (1 << 20) - 1)
-                digest = p["digest"][ok].view(np.int64)
-                sketch = np.zeros(len(doc), np.uint64)
-                for k in range(SKETCH):
-                    sketch = (sketch << np.uint64(4)) | (mix64(least(mult[bands * rows + k])) & np.uint64(15))
+                keys = []
                 for band in range(bands):
-                    key = np.full(len(doc), band, np.uint64)
+                    key = np.full(int(ok.sum()), band, np.uint64)
                     for r in range(rows):
                         key = mix64(key ^ least(mult[band * rows + r]))
-                    first = np.uint64(band == 0)  # the lowest bit of the key: set in the first band alone
-                    key = ((key >> np.uint64(_SKETCH_BITS + 1)) << np.uint64(1)) | first
-                    packed = (key << np.uint64(_SKETCH_BITS)) | sketch
-                    yield pa.RecordBatch.from_arrays([pa.array(packed.view(np.int64)), pa.array(digest), pa.array(doc), pa.array(place)], names=["packed", "digest", "doc_id", "place"])
+                    keys.append(key.view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(p["digest"][ok].view(np.int64)), pa.array(ids_of(s)[p["row"][ok]]), *map(pa.array, keys)], names=["digest", "doc_id", *(f"k{i}" for i in range(bands))])
+
+
+def place_rows(batches: Iterator[pa.RecordBatch], window: int, min_words: int) -> Iterator[pa.RecordBatch]:
+    """Where every paragraph is: digest, doc_id, first word and number of words."""
+    cutter = Paragraphs(window, min_words)
+    for batch in batches:
+        for s in slices(batch, "text"):
+            for p in cutter(s.column("text")):
+                ok = p["ok"]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(p["digest"][ok].view(np.int64)), pa.array(ids_of(s)[p["row"][ok]]), pa.array((p["start"] - p["first"])[ok]), pa.array((p["end"] - p["start"])[ok])],
+                    names=["digest", "doc_id", "start_word", "n_words"],
+                )
+
+
+#: Paragraphs of one key up to which all pairs are verified by a join, and about as many as one task holds of a key.
+SMALL, BLOCK = 24, 20_000
 
 
 def collisions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of paragraphs that share a band: pairs of different digests whose sketches agree, as (digest, other), and where
-    there are paragraphs that are equal (from the first band) or in such a pair, as (digest, doc_id, place)."""
-    for c in whole_runs(({**_columns(b), "key": np.asarray(b.column("packed")) >> _SKETCH_BITS} for b in batches), "key"):
-        digest, key = c["digest"], c["key"]
-        n = len(key)
-        new = np.concatenate([[True], (digest[1:] != digest[:-1]) | (c["packed"][1:] != c["packed"][:-1])])
-        at = np.flatnonzero(new)  # one for each different paragraph of a key
-        count = np.diff(np.concatenate([at, [n]]))
-        k, sketch = key[at], (c["packed"][at] & ((1 << _SKETCH_BITS) - 1)).astype(np.uint64)
-        runs = run_starts(k)
-        size = np.diff(runs)
-
-        def near(i, j, sketch=sketch) -> np.ndarray:
-            x = sketch[i] ^ sketch[j]
-            x = (x | x >> np.uint64(1) | x >> np.uint64(2) | x >> np.uint64(3)) & np.uint64(int("1" * SKETCH, 16))
-            return np.bitwise_count(x) <= SKETCH - AGREE
-
-        a, b = [], []
-        small = np.repeat(size <= 24, size)
-        for d in range(1, min(24, int(size.max()))):
-            i = np.flatnonzero((k[:-d] == k[d:]) & small[:-d])
-            i = i[near(i, i + d)]
-            a.append(i)
-            b.append(i + d)
-        for r in np.flatnonzero(size > 24):
-            lo = int(runs[r])
-            i, j = spanning_edges(int(size[r]), lambda i, others, lo=lo: near(lo + i, lo + others))
-            a.append(lo + i)
-            b.append(lo + j)
-        x, y = (np.concatenate(e) if e else np.zeros(0, np.int64) for e in (a, b))
-        told = (count > 1) & (k & 1 == 1)
-        told[x] = True
-        told[y] = True
-        rows = np.repeat(told, count)
-        u, v = np.minimum(digest[at[x]], digest[at[y]]), np.maximum(digest[at[x]], digest[at[y]])
-        pair = np.unique(np.stack([u, v], 1)[u != v], axis=0)
-        m, w = int(rows.sum()), len(pair)
-        if m + w:
+    """Of different paragraphs that share a band: pairs (a, b); of a band of more than SMALL its paragraphs, as (a, key)."""
+    for c in whole_runs(batches, "key"):
+        key, digest = c["key"], c["digest"]
+        size = np.diff(run_starts(key))
+        small = np.repeat(size <= SMALL, size)
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for d in range(1, min(SMALL, int(size.max()))):
+            i = np.flatnonzero((key[:-d] == key[d:]) & small[:-d])
+            a.append(digest[i])
+            b.append(digest[i + d])
+        x, y = np.concatenate(a), np.concatenate(b)
+        pair = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
+        n, m = len(pair), int((~small).sum())
+        if n + m:
+            of_pair, none = np.arange(n + m) < n, np.zeros(m, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate([digest[rows], pair[:, 0]])),
-                    pa.array(np.concatenate([c["doc_id"][rows], np.zeros(w, np.int64)])),
-                    pa.array(np.concatenate([c["place"][rows], np.zeros(w, np.int64)])),
-                    pa.array(np.concatenate([np.zeros(m, np.int64), pair[:, 1]]), mask=np.arange(m + w) < m),
-                ],
-                names=["digest", "doc_id", "place", "other"],
+                [pa.array(np.concatenate([pair[:, 0], digest[~small]])), pa.array(np.concatenate([pair[:, 1], none]), mask=~of_pair), pa.array(np.concatenate([np.zeros(n, np.int64), key[~small]]), mask=of_pair)],
+                names=["a", "b", "key"],
             )
 
 
-def _columns(b: pa.RecordBatch) -> dict[str, np.ndarray]:
-    return {n: np.asarray(b.column(n)) for n in b.schema.names}
+def near_in_blocks(batches: Iterator[pa.RecordBatch], jaccard: float) -> Iterator[pa.RecordBatch]:
+    """Edges that connect just what all pairs of a block that are similar enough connect, by their exact sets."""
+
+    def edges(digest: np.ndarray, sets: list[np.ndarray]) -> pa.RecordBatch:
+        flat, size = np.concatenate(sets), np.array([len(x) for x in sets])
+        first = np.cumsum(size) - size
+
+        def near(i: int, others: np.ndarray) -> np.ndarray:
+            if not len(others):
+                return np.zeros(0, bool)
+            n = size[others]
+            at = np.repeat(first[others] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            mine = sets[i]
+            place = np.minimum(np.searchsorted(mine, flat[at]), len(mine) - 1)
+            shared = np.add.reduceat((mine[place] == flat[at]).astype(np.int64), np.cumsum(n) - n)
+            return shared >= jaccard * (n + len(mine) - shared)
+
+        i, j = spanning_edges(len(sets), near)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(digest[i], digest[j])), pa.array(np.maximum(digest[i], digest[j]))], names=["a", "b"])
+
+    now, digests, sets = None, [], []
+    for b in batches:
+        for block, digest, pairs in zip(b.column("block").to_pylist(), b.column("digest").to_pylist(), b.column("pairs")):
+            if block != now:
+                if len(sets) > 1:
+                    yield edges(np.array(digests), sets)
+                now, digests, sets = block, [], []
+            digests.append(digest)
+            sets.append(np.unique(np.asarray(pairs.values)))
+    if len(sets) > 1:
+        yield edges(np.array(digests), sets)
 
 
 def word_pairs(batches: Iterator[pa.RecordBatch], window: int, min_words: int) -> Iterator[pa.RecordBatch]:
@@ -213,22 +219,31 @@ def repeated_paragraphs(
     Recall of near (not equal) paragraphs at similarity ``jaccard`` is ``recall`` in expectation; that of equal ones 1.
     """
     bands = tune_bands(jaccard, recall)
+    names = [f"k{i}" for i in range(bands)]
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    keys = plain.mapInArrow(lambda it: band_rows(it, window, min_words, bands, ROWS), "packed long, digest long, doc_id long, place long")
-    hits = keys.repartition(F.shiftright("packed", _SKETCH_BITS)).sortWithinPartitions("packed", "digest").mapInArrow(collisions, "digest long, doc_id long, place long, other long")
-    hits = written(hits)
-    near = written(hits.where("other is not null").select(F.col("digest").alias("a"), F.col("other").alias("b")).distinct())
-    wanted = written(near.select(F.col("a").alias("digest")).union(near.select("b")).distinct())
-    places = hits.where("other is null").select("digest", "doc_id", "place").distinct()
-    holders = written(by_key(places, wanted, "digest", "left_semi").groupBy("digest").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct())
+    every = plain.mapInArrow(lambda it: paragraph_rows(it, window, min_words, bands, ROWS), f"digest long, doc_id long, {', '.join(f'{k} long' for k in names)}")
+    # equal paragraphs are one row from here on, folded in the tasks that read them
+    fold = written(every.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("holder"), *(F.min(k).alias(k) for k in names)))
+    keys = fold.select("digest", F.explode(F.array(*names)).alias("key"))
+    hits = written(keys.repartition("key").sortWithinPartitions("key").mapInArrow(collisions, "a long, b long, key long"))
+    near = written(hits.where("b is not null").select("a", "b").distinct())
+    large = hits.where("key is not null").select("key", F.col("a").alias("digest"))
+    wanted = written(near.select(F.col("a").alias("digest")).union(near.select("b")).union(large.select("digest")).distinct())
+    holders = written(by_key(fold.select("digest", "holder"), wanted, "digest", "left_semi").select("holder").distinct())
     sets = by_key(plain, holders, "doc_id", "left_semi").mapInArrow(lambda it: word_pairs(it, window, min_words), "digest long, pairs array<long>")
     sets = by_key(sets, wanted, "digest", "left_semi").groupBy("digest").agg(F.first("pairs").alias("pairs"))
     both = near.join(sets.select(F.col("digest").alias("a"), F.col("pairs").alias("p")), "a").join(sets.select(F.col("digest").alias("b"), F.col("pairs").alias("q")), "b")
     shared = F.size(F.array_intersect("p", "q"))
-    ok = both.where(shared >= jaccard * (F.size(F.array_distinct("p")) + F.size(F.array_distinct("q")) - shared)).select("a", "b")
-    cluster = components(ok)
-    places = places.join(cluster.withColumnRenamed("node", "digest"), "digest", "left")
-    places = places.select(F.coalesce("component", "digest").alias("cluster"), "doc_id", F.shiftright("place", 20).alias("start_word"), F.col("place").bitwiseAND((1 << 20) - 1).alias("n_words"))
+    few = both.where(shared >= jaccard * (F.size(F.array_distinct("p")) + F.size(F.array_distinct("q")) - shared)).select("a", "b")
+    blocks = in_blocks(large, "key", "digest", BLOCK).join(sets, "digest").select("block", "digest", "pairs")
+    many = blocks.repartition("block").sortWithinPartitions("block").mapInArrow(lambda it: near_in_blocks(it, jaccard), "a long, b long")
+    cluster = written(components(few.union(many)))
+    again = written(fold.where("n > 1").select("digest").union(cluster.select("node")).distinct())
+    places = plain.mapInArrow(lambda it: place_rows(it, window, min_words), "digest long, doc_id long, start_word long, n_words long")
+    places = by_key(places, again, "digest", "left_semi").distinct()
+    places = places.join(cluster.withColumnRenamed("node", "digest"), "digest", "left").select(F.coalesce("component", "digest").alias("cluster"), "doc_id", "start_word", "n_words")
+    places = written(places)
+    drop_written(fold, hits, near, wanted, holders, again, cluster)
     kept = places.groupBy("cluster").agg(F.min(F.struct("doc_id", "start_word")).alias("kept"), F.count("*").alias("n")).where("n > 1")
     found = places.join(kept, "cluster").select("doc_id", "start_word", "n_words", "cluster", F.col("kept.doc_id").alias("kept_doc_id"), (F.struct("doc_id", "start_word") != F.col("kept")).alias("removed"))
     in_doc = Window.partitionBy("doc_id").orderBy("start_word", "n_words").rowsBetween(Window.unboundedPreceding, 0)
