@@ -337,7 +337,7 @@ def test_url_templates(spark):
     assert url_templates.filter_pages(pages.where("false"), labels).count() == 0
 
 
-@pytest.mark.parametrize("name", ["op5_chat_formatting", "op9_exact_dedup"])
+@pytest.mark.parametrize("name", ["op5_chat_formatting", "op9_exact_dedup", "op10_url_templates"])
 def test_sql_gives_the_same_rows(spark, name):
     import duckdb
 
@@ -345,11 +345,11 @@ def test_sql_gives_the_same_rows(spark, name):
 
     d = "/root/testdata/sf0.001"
     c = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "pages", "labels"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
     got = queries.QUERIES[name](spark, d)
     cols = sorted(got.columns)
-    assert sorted(map(tuple, got.select(*cols).collect())) == sorted(c.execute(f"SELECT {', '.join(cols)} FROM ({queries.ORACLE_SQL[name]})").fetchall())
+    assert sorted(map(tuple, got.select(*cols).collect()), key=str) == sorted(c.execute(f"SELECT {', '.join(cols)} FROM ({queries.ORACLE_SQL[name]})").fetchall(), key=str)
 
 
 def test_a_doc_id_with_several_texts_loses_only_duplicates(spark):
@@ -416,3 +416,78 @@ def test_escapes_and_runs_of_any_length_take_time_in_proportion():
     for text in ("%41 " + "a" * 1_000_000, "\\u0041 " + "a" * 1_000_000, "QUJDREVGR0hJSktMTU5P-" * 40_000, "aaaa_" * 200_000, "%41" * 300_000, "\\u004" * 200_000):
         assert {x[1:3] for x in secret_scan.scan(f"{text} {key} end") if x[0] == "aws_access_key"} == {(len(text) + 1, len(text) + 1 + len(key))}
     assert time.time() - began < 60
+
+
+def test_branches_merge_at_every_level(spark):
+    shops = [f"shop{x}" for x in "abcdefgh"]
+    rows, labels = [], []
+    for i, shop in enumerate(shops):
+        for k in range(6):
+            page = len(rows)
+            rows.append((page, f"https://h.example/shop/{shop}/reviews/{1000 + k}"))
+            labels.append((page, int(i < 4)))  # reviews of half the shops are bad
+            rows.append((page + 1, f"https://h.example/shop/{shop}/about"))
+    rows += [(900, "https://h.example/shop/newshop/reviews/77777"), (901, "https://h.example/shop/newshop/about")]
+    rows += [(1000 + i, f"https://g.example/people/name{chr(97 + i % 26)}{chr(97 + i // 26)}/x{chr(97 + i % 3)}") for i in range(60)]
+    rows += [(2000, "https://g.example/" + "/".join(f"s{chr(97 + i % 26)}" for i in range(200)))]
+    pages = spark.createDataFrame([(i, u, "t", "s") for i, u in rows], "page_id long, url string, t string, seg string")
+    out = {r.page_id: r for r in url_templates.filter_pages(pages, spark.createDataFrame(labels, "page_id long, bad int")).collect()}
+    assert {out[i].template for i, u in rows if "/reviews/" in u and i < 48} == {"/shop/+high/reviews/*"} and out[0].rejected
+    assert {out[i].template for i, u in rows if "/reviews/" in u and 48 <= i < 900} == {"/shop/+low/reviews/*"} and not out[90].rejected
+    assert {out[1000 + i].template.split("/")[2] for i in range(60)} == {"+"}
+    assert out[2000].template.count("/") == url_templates.LEVELS + 176
+    assert len(out) == len(rows)
+
+
+def decontaminated(docs, items, masks=decontamination.MASKS, least=decontamination.LEAST):
+    """By brute force: all alignments of all texts and items; the best stretches around places where a mask fits."""
+    out = set()
+    for d, text in docs:
+        h = decontamination.WordHasher()(pa.array([text]))[0]
+        for item, t in items:
+            w = decontamination.WordHasher()(pa.array([t]))[0]
+            if not len(w):
+                continue
+            own = list(masks) + (["1" * len(w)] if len(w) < max(map(len, masks)) else [])
+            for shift in range(1 - len(w), len(h)):
+                a, b = max(0, shift), min(len(h), shift + len(w))
+                equal = h[a:b] == w[a - shift : b - shift]
+                for mask in own:
+                    for p in range(len(equal) - len(mask) + 1):
+                        if all(equal[p + k] for k, c in enumerate(mask) if c == "1"):
+                            x, y = decontamination.best_stretch(equal, p)
+                            if equal[x:y].sum() >= min(least, len(w)):
+                                out.add((d, item, a + x, a + x - shift, y - x, int(equal[x:y].sum())))
+    return out
+
+
+@pytest.mark.parametrize("table_words", [decontamination.TABLE_WORDS, 0])
+def test_decontamination_against_brute_force(spark, table_words):
+    r = random.Random(21)
+    few = WORDS[:60]  # chance overlaps
+    items = [(i, " ".join(r.choice(few) for _ in range(r.choice([1, 2, 3, 4, 8, 11, 12, 30])))) for i in range(24)] + [(50, "!!! ..."), (51, "")]
+    rows = [(i, " ".join(r.choice(few) for _ in range(r.choice([0, 3, 40])))) for i in range(30)]
+    for i, t in items[:24]:
+        w = t.split()
+        if len(w) > 12:
+            w[len(w) // 2] = "zzz"
+        rows.append((100 + i, f"{prose(5, r)} {' '.join(w)} {prose(5, r)}"))
+    rows.append((200, f"{prose(60_000, r)} {items[0][1]} {items[7][1]}"))
+    bench = spark.createDataFrame([*items, items[0], (None, "x y z"), (60, None)], "item_id long, text string")
+    got = sorted(map(tuple, decontamination.overlaps(docs(spark, [*rows, rows[35], *ODD]), bench, table_words=table_words).collect()))
+    want = decontaminated(rows[:-1], items)
+    assert {x for x in got if x[0] != 200} == want and len([x for x in got if x[0] == rows[35][0]]) == 2 * len([x for x in want if x[0] == rows[35][0]])
+    assert {0, 7} <= {x[1] for x in got if x[0] == 200} and any(len(items[x[1]][1].split()) < 5 for x in want)
+    assert decontamination.overlaps(docs(spark, []), bench, table_words=table_words).count() == 0
+    assert decontamination.overlaps(docs(spark, rows), bench.where("false"), table_words=table_words).count() == 0
+
+
+def test_frequent_pieces_are_those_of_brute_force(spark, monkeypatch):
+    from collections import Counter
+
+    monkeypatch.setattr(token_counts, "MERGED", 2)
+    r = random.Random(4)
+    rows = [(i, " " + " ".join(r.choice(WORDS[: 5 + i % 40]) for _ in range(80))) for i in range(200)]
+    counts = Counter(p for _, t in rows for p in t.replace(" ", "\0 ").split("\0") if p)
+    got = token_counts.frequent_pieces(docs(spark, rows).repartition(9), 20, 64, 1)
+    assert sorted(counts[p] for p in got) == sorted(sorted(counts.values())[-20:])
