@@ -137,3 +137,39 @@ TYPE_PREFERENCES = {
     "PERSON|PERSON": "sibling_of parent_of child_of spouse_of knows met", "ORG|GPE": "located_in based_in headquartered_in", "ORG|ORG": "part_of subsidiary_of partner_of",
 }
 ORG_WORDS, PLACE_WORDS = "company corp foundation inc llc ltd org university".split(), "avenue city country county road state street".split()
+
+#: What a modal verb leaves of a triple's confidence, and what each dependency pattern starts with, in order of rank.
+MODALITY = {"can": 0.8, "could": 0.5, "may": 0.5, "might": 0.4, "must": 0.85, "shall": 0.85, "should": 0.7, "will": 0.9, "would": 0.5}
+PATTERN_CONFIDENCE = {"nsubj_verb_dobj": 0.92, "nsubj_verb_prep_pobj": 0.88, "copula_attr": 0.9, "apposition": 0.97, "passive_voice": 0.85, "coordination": 0.92, "nested_clause": 0.88, "relative_clause": 0.85}
+POSSESSIVES = ("her", "his", "my", "our", "their", "your")
+PERSONAL_PRONOUNS = ("he", "her", "hers", "him", "his", "she", "their", "them", "they")
+ENTITY_TYPES = {"DATE": "temporal", "EVENT": "event", "FAC": "FACILITY", "GPE": "location", "LOC": "location", "MONEY": "attribute", "ORG": "organization", "PERCENT": "attribute", "PERSON": "person", "PRODUCT": "product", "QUANTITY": "attribute", "TIME": "temporal"}
+NOUN_TYPES = {
+    "ROLE": "architect artist author bartender ceo cfo chef consultant cook creator cto designer developer director doctor employee engineer instructor manager member musician nurse owner president professor server staff teacher volunteer waiter worker writer",
+    "ORG_LIKE": "academy agency bakery bank bar business cafe clinic college company corporation department diner division factory firm group hospital institute lab laboratory library office pharmacy pub restaurant school shop store team university warehouse",
+    "FACILITY": "aquarium building center cinema complex gallery garage garden hangar mall museum park plaza resort stadium studio terminal theater workshop zoo",
+    "ARTWORK": "artwork creation drawing installation landscape masterpiece mural painting photograph piece portrait print sculpture sketch work",
+    "MATERIAL": "acrylic bronze canvas clay fabric glass leather marble metal oil paper plastic silk steel stone watercolor wood",
+}
+#: Parsed sentences: text/lemma/POS/label/head, the head counting from 0 and '_' an entity label or none.
+PARSED = (
+    ["Sarah/Sarah/PROPN/nsubj/1/PERSON studies/study/VERB/ROOT/1/_ physics/physics/NOUN/dobj/1/_"],
+    ["John/John/PROPN/nsubj/3/PERSON does/do/AUX/aux/3/_ not/not/PART/neg/3/_ study/study/VERB/ROOT/3/_ physics/physics/NOUN/dobj/3/_"],
+    ["Sarah/Sarah/PROPN/nsubj/2/PERSON might/might/AUX/aux/2/_ study/study/VERB/ROOT/2/_ quantum/quantum/ADJ/amod/4/_ physics/physics/NOUN/dobj/2/_"],
+    ["Sarah/Sarah/PROPN/nsubj/1/PERSON lives/live/VERB/ROOT/1/_ in/in/ADP/prep/1/_ New/New/PROPN/compound/4/_ York/York/PROPN/pobj/2/GPE"],
+    ["Mark/Mark/PROPN/nsubj/5/PERSON ,/,/PUNCT/punct/0/_ our/our/PRON/poss/3/_ CEO/ceo/NOUN/appos/0/_ ,/,/PUNCT/punct/0/_ spoke/speak/VERB/ROOT/5/_"],
+    ["Physics/physics/NOUN/nsubjpass/2/_ is/be/AUX/auxpass/2/_ studied/study/VERB/ROOT/2/_ by/by/ADP/agent/2/_ Sarah/Sarah/PROPN/pobj/3/PERSON"],
+    ["Sarah/Sarah/PROPN/nsubj/3/PERSON and/and/CCONJ/cc/0/_ John/John/PROPN/conj/0/PERSON study/study/VERB/ROOT/3/_ physics/physics/NOUN/dobj/3/_ and/and/CCONJ/cc/4/_ chemistry/chemistry/NOUN/conj/4/_"],
+    ["I/I/PRON/nsubj/1/_ know/know/VERB/ROOT/1/_ that/that/SCONJ/mark/4/_ Sarah/Sarah/PROPN/nsubj/4/PERSON studies/study/VERB/ccomp/1/_ physics/physics/NOUN/dobj/4/_"],
+    ["The/the/DET/det/1/_ company/company/NOUN/nsubj/5/_ where/where/SCONJ/advmod/4/_ Sarah/Sarah/PROPN/nsubj/4/PERSON works/work/VERB/relcl/1/_ is/be/AUX/ROOT/5/_ Google/Google/PROPN/attr/5/ORG"],
+    ["Sarah/Sarah/PROPN/nsubj/1/PERSON is/be/AUX/ROOT/1/_ my/my/PRON/poss/3/_ sister/sister/NOUN/attr/1/_"],
+    ["Does/do/AUX/aux/2/_ Sarah/Sarah/PROPN/nsubj/2/PERSON study/study/VERB/ROOT/2/_ physics/physics/NOUN/dobj/2/_ ?/?/PUNCT/punct/2/_"],
+    ["Sarah/Sarah/PROPN/nsubj/1/PERSON met/meet/VERB/ROOT/1/_ two/two/NUM/nummod/3/_ engineers/engineer/NOUN/dobj/1/_", "She/she/PRON/nsubj/5/_ likes/like/VERB/ROOT/5/_ them/they/PRON/dobj/5/_", "Ben/Ben/PROPN/nsubj/8/PERSON thinks/think/VERB/ROOT/8/_ this/this/PRON/nsubj/10/_ helps/help/VERB/ccomp/8/_ him/he/PRON/dobj/10/_"],
+)
+
+#: Things people say, for text rules (no quotation marks, so that they can stand in SQL).
+SAYINGS = (
+    "/remember /private I want to visit place 7", "/tier1 /p keep this one", "/unknown hello there", "  /Remember   buy milk today", "/remember/private no space", "/t2 /t3 two tiers", "/search /unknown /private rest", "/", "/remember",
+    "Yesterday we met and tomorrow I fly", "See you next week or next month, not today", "Last week was better than LAST MONTH", "todayish is no word, yesterday is", "My dog likes me and I like my dog",
+    "I think I understand what I need", "That book is mine and I study every day", "Nothing personal here", "Do you agree with me and I agree", "I work, I live, I play: I know myself",
+)

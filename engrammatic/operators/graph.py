@@ -16,13 +16,21 @@ def both_ways(edges: DataFrame) -> DataFrame:
 
 def khop(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     """(seed, node, depth): what is reached over 1..hops edges in any direction, no edge twice on a path, once for each
-    (seed, node) at its least depth. seeds has one column, seed."""
+    (seed, node) at its least depth. seeds has one column, seed.
+
+    Up to three hops a path needs only its last edge to not take one twice, so that of many paths to a node through a
+    hub one row for each last edge is kept, and none to a node that fewer hops reach; beyond, whole paths are kept.
+    """
     e = both_ways(edges.select("src", "dst", "edge_id"))
+    short = hops <= 3
+    last = F.array("edge_id") if short else F.concat("used", F.array("edge_id"))
     paths = seeds.select("seed", F.col("seed").alias("node"), F.array().cast("array<string>").alias("used"))
     found = None
     for depth in range(1, hops + 1):
-        paths = paths.join(e, "node").where(~F.array_contains("used", F.col("edge_id"))).select("seed", F.col("other").alias("node"), F.concat("used", F.array("edge_id")).alias("used"))
-        step = paths.select("seed", "node", F.lit(depth).cast("long").alias("depth"))
+        paths = paths.join(e, "node").where(~F.array_contains("used", F.col("edge_id"))).select("seed", F.col("other").alias("node"), last.alias("used"))
+        if short and depth < hops:
+            paths = written(paths.distinct())
+        step = paths.select("seed", "node").distinct().withColumn("depth", F.lit(depth).cast("long"))
         found = step if found is None else found.unionByName(step)
     return found.groupBy("seed", "node").agg(F.min("depth").alias("depth"))
 

@@ -102,10 +102,19 @@ def functional_conflicts(relations: DataFrame, functional=("works_at",)) -> Data
 
 
 def reinforcement_candidates(relations: DataFrame, memories: DataFrame, most: int = 10) -> DataFrame:
-    """For each memory up to ``most`` of its user's merged relations whose object occurs in its text, the surest first."""
+    """For each memory up to ``most`` of its user's merged relations whose subject or object occurs in its text, as a
+    word or as several in a row, the surest first.
+
+    A relation is looked up by the first word of each name, so memories and relations meet in an equi-join on user and
+    word; the whole name is then sought in the text. A name that is no word at all occurs nowhere.
+    """
     from pyspark.sql import Window
 
-    j = memories.select("node_id", "user_id", F.lower("content").alias("_c")).join(relations, "user_id").where(F.expr("contains(_c, subject) OR contains(_c, object)"))
+    plain = lambda c: F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9_]+", " ")), F.lit(" "))
+    m = memories.select("node_id", "user_id", plain(F.col("content")).alias("_c")).withColumn("_w", F.explode(F.array_distinct(F.split(F.trim("_c"), " "))))
+    r = relations.withColumns({"_s": plain(F.col("subject")), "_o": plain(F.col("object"))})
+    r = r.withColumn("_w", F.explode(F.array_distinct(F.array(*(F.split_part(F.trim(c), F.lit(" "), F.lit(1)) for c in ("_s", "_o"))))))
+    j = m.join(r, ["user_id", "_w"]).where("_w <> '' AND (contains(_c, _s) OR contains(_c, _o))").drop("_w", "_c", "_s", "_o").dropDuplicates(["node_id", *KEY])
     w = Window.partitionBy("node_id").orderBy(F.desc("confidence"), "subject", "predicate", "object")
     return j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
 
@@ -137,10 +146,20 @@ def bidirectional(edges: DataFrame) -> DataFrame:
     return there.select("edge_id", "src", "dst", "relation", "category", "pair").unionByName(back)
 
 
-def pending_priority(candidates: DataFrame) -> DataFrame:
-    """Adds priority HIGH, MED or LOW."""
-    high = (F.col("evidence") >= 3) | (F.col("contradictions") / 3.0 > 0.7) | F.col("predicate").isin(*HIGH_IMPACT)
-    return candidates.withColumn("priority", F.when(high, "HIGH").when((F.col("evidence") >= 2) & (F.col("sessions") >= 2), "MED").otherwise("LOW"))
+def pending(candidates: DataFrame, priority: str, most: int = 100) -> DataFrame:
+    """Candidates that wait for consolidation: HIGH by evidence, contradictions or a relation of high impact, MED by
+    evidence and sessions, the last fired first; LOW all, the first seen first. The lists overlap."""
+    c = candidates.where("status = 'candidate'")
+    if priority == "HIGH":
+        c = c.where((F.col("evidence") >= 3) | (F.col("contradictions") / 3.0 > 0.7) | F.col("predicate").isin(*HIGH_IMPACT))
+    elif priority == "MED":
+        c = c.where((F.col("evidence") >= 2) & (F.col("sessions") >= 2))
+    return c.orderBy(F.asc("first_seen") if priority == "LOW" else F.desc("last_fired"), "candidate_id").limit(most)
+
+
+def without_expired(candidates: DataFrame, as_of: int, days: int = 7) -> DataFrame:
+    """Without candidates that were first seen more than so many days ago and never promoted."""
+    return candidates.where(~((F.col("status") == "candidate") & (F.floor((F.lit(as_of) - F.col("first_seen")) / float(DAY)) > days)))
 
 
 def pruning_action(memories: DataFrame, references: DataFrame, as_of: int) -> DataFrame:

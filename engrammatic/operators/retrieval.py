@@ -80,3 +80,13 @@ def context_budget(messages: DataFrame, limit: int = 128_000) -> DataFrame:
     mode = F.when(F.col("total") > 0.8 * limit, "emergency").when(F.col("total") > 0.5 * limit, "intelligent").otherwise("none")
     keep = (F.col("mode") == "none") | (F.col("role") == "system") | (F.col("from_end") <= F.when(F.col("mode") == "emergency", 10).otherwise(20))
     return m.withColumn("mode", mode).withColumn("kept", keep)
+
+
+def hits_with_memories(hits: DataFrame, memories: DataFrame, tags: DataFrame) -> DataFrame:
+    """Memories that vector hits (user_id, node_id, score) stand for, with their tags (node_id, entities), best first.
+
+    A hit whose memory is gone or another user's falls away; a memory without tags has ''. The hits of a query are few,
+    yet nothing is broadcast by order: the planner sees the sizes.
+    """
+    found = hits.join(memories, ["node_id", "user_id"]).join(tags, "node_id", "left").withColumn("entities", F.coalesce("entities", F.lit("")))
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("score"), "node_id")).cast("long"))

@@ -1,14 +1,15 @@
-"""Vector search within blocks (a user's vectors), exact: Arrow batches and one matrix product for each pair of chunks.
+"""Exact vector search within groups (a user's vectors): Arrow batches and one matrix product for each pair of chunks.
 
-A block is shuffled to one place by its key; its vectors are compared chunk by chunk, so that memory stays bounded
-however large a block is. Null vectors are left out; a vector of length 0 is similar to nothing (0).
+The vectors of a group fall into parts of about CHUNK by a hash of their ids; every part of queries meets every part of
+items in a task of its own, so that no task holds more than two parts however large a group is, and the best of each
+query's parts are merged by rank. Null vectors are left out; a vector of length 0 is similar to nothing (0).
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK = 2048
@@ -27,29 +28,45 @@ def _unit(vectors) -> np.ndarray:
     return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
 
 
-def neighbours(vectors: DataFrame, k: int, least: float = -1.0) -> DataFrame:
-    """For each vector its k nearest others of the same user with similarity of at least ``least``:
-    (user_id, node_id, other_id, similarity, rank). Ties go by other_id; every vector is a query."""
+def _parts(v: DataFrame) -> DataFrame:
+    """(grp, node_id, embedding, part, parts): each group in parts of about CHUNK rows."""
+    sizes = v.groupBy("grp").agg(F.ceil(F.count("*") / CHUNK).alias("parts"))
+    return v.join(sizes, "grp").withColumn("part", F.pmod(F.xxhash64("node_id"), F.col("parts")))
+
+
+def nearest(queries: DataFrame, items: DataFrame, k: int, least: float = -1.0) -> DataFrame:
+    """For each query its k nearest items of the same group with similarity of at least ``least``:
+    (grp, node_id, other_id, similarity, rank). Both have (grp, node_id, embedding); equal ids are one thing and not
+    compared. Ties go by other_id."""
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node_id", kind="stable")
-        ids, x = pdf["node_id"].to_numpy(), _unit(pdf["embedding"])
-        out = []
-        for i in range(0, len(ids), CHUNK):
-            s = np.empty((min(CHUNK, len(ids) - i), 0))
-            who = np.empty((len(s), 0), np.int64)
-            for j in range(0, len(ids), CHUNK):
-                part = np.round(x[i : i + CHUNK] @ x[j : j + CHUNK].T, 9)
-                if i == j:
-                    np.fill_diagonal(part, -2.0)
-                s, who = np.hstack([s, part]), np.hstack([who, np.broadcast_to(np.arange(j, j + part.shape[1]), part.shape)])
-                order = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                s, who = np.take_along_axis(s, order, 1), np.take_along_axis(who, order, 1)
-            r, c = np.nonzero(s >= max(least, -1.5))
-            out.append(pd.DataFrame({"user_id": pdf["user_id"].iloc[0], "node_id": ids[i + r], "other_id": ids[who[r, c]], "similarity": s[r, c], "rank": c + 1}))
-        return pd.concat(out)
-
-    return vectors.where("embedding IS NOT NULL").groupBy("user_id").applyInPandas(block, "user_id long, node_id long, other_id long, similarity double, rank long")
+        q, d = pdf[pdf["asks"]], pdf[~pdf["asks"]]
+        if not len(q) or not len(d):
+            return pd.DataFrame({"grp": [], "node_id": [], "other_id": [], "similarity": []})
+        d = d.sort_values("node_id", kind="stable")
+        s = np.round(_unit(q["embedding"]) @ _unit(d["embedding"]).T, 9)
+        ids, others = q["node_id"].to_numpy(), d["node_id"].to_numpy()
+        s[ids[:, None] == others[None]] = -2.0
+        order = np.argsort(-s, axis=1, kind="stable")[:, :k]
+        s = np.take_along_axis(s, order, 1)
+        r, c = np.nonzero(s >= max(least, -1.5))
+        return pd.DataFrame({"grp": pdf["grp"].iloc[0], "node_id": ids[r], "other_id": others[order[r, c]], "similarity": s[r, c]})
+
+    q, d = (_parts(v.where("embedding IS NOT NULL").select("grp", "node_id", "embedding")) for v in (queries, items))
+    counts = lambda v, n: v.select("grp", F.col("parts").alias(n)).distinct()
+    seq = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    asks = q.join(counts(d, "n"), "grp").select("grp", "node_id", "embedding", F.lit(True).alias("asks"), F.col("part").alias("a"), seq("n").alias("b"))
+    gives = d.join(counts(q, "n"), "grp").select("grp", "node_id", "embedding", F.lit(False).alias("asks"), seq("n").alias("a"), F.col("part").alias("b"))
+    best = asks.unionByName(gives).groupBy("grp", "a", "b").applyInPandas(block, "grp long, node_id long, other_id long, similarity double")
+    w = Window.partitionBy("grp", "node_id").orderBy(F.desc("similarity"), "other_id")
+    return best.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+
+
+def neighbours(vectors: DataFrame, k: int, least: float = -1.0) -> DataFrame:
+    """For each vector its k nearest others of the same user, as nearest() gives them: (user_id, node_id, other_id,
+    similarity, rank)."""
+    v = vectors.select(F.col("user_id").alias("grp"), "node_id", "embedding")
+    return nearest(v, v, k, least).withColumnRenamed("grp", "user_id")
 
 
 def top_k(vectors: DataFrame, probe: list[float], user_id: int | None, k: int, least: float = -1.0) -> DataFrame:

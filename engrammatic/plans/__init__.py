@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("relations", "retrieval", "scoring", "text", "vectors", "graph", "statistics", "entities", "ingestion", "streams")
+AREAS = ("relations", "retrieval", "scoring", "text", "dependencies", "vectors", "graph", "statistics", "entities", "ingestion", "streams", "api")
 
 
 def load() -> None:

@@ -8,8 +8,7 @@ from engrammatic.registry import query
 from engrammatic.tables import AS_OF, table
 
 _VALID = f"is_active AND (effective_from IS NULL OR effective_from <= {AS_OF}) AND (effective_to IS NULL OR effective_to >= {AS_OF})"
-#: Edges of the suppliers, nations and regions: seeds are all suppliers.
-_SUP = "_edges WHERE relation <> 'located_at'"
+#: Two hops over all edges; seeds are all suppliers.
 _HOP2 = """
     b AS (SELECT src AS node, dst AS other, edge_id FROM {e} UNION ALL SELECT dst, src, edge_id FROM {e}), s AS (SELECT concat('s:', s_suppkey) AS seed FROM supplier),
     h1 AS (SELECT seed, other AS node, edge_id AS e1 FROM s JOIN b ON b.node = s.seed), h2 AS (SELECT seed, other AS node, 2 AS depth FROM h1 JOIN b USING (node) WHERE b.edge_id <> e1),
@@ -24,14 +23,14 @@ def suppliers(spark, d):
     return edges(spark, d).where("relation = 'works_at'").select(F.col("src").alias("seed")).distinct()
 
 
-@query("g_khop", "WITH w AS (SELECT * FROM _edges WHERE relation <> 'located_at')," + _HOP2.format(e="w") + " SELECT seed, node, depth FROM h")
+@query("g_khop", "WITH " + _HOP2.format(e="_edges").strip() + " SELECT seed, node, depth FROM h")
 def g_khop(spark, d):
-    return G.khop(edges(spark, d).where("relation <> 'located_at'"), suppliers(spark, d), 2)
+    return G.khop(edges(spark, d), suppliers(spark, d), 2)
 
 
-@query("current_relationships", f"WITH v AS (SELECT * FROM _edges WHERE relation <> 'located_at' AND {_VALID})," + _HOP2.format(e="v") + ", t AS (SELECT h.seed, v.edge_id, v.strength FROM h JOIN v ON v.src = h.node OR v.dst = h.node UNION SELECT src, edge_id, strength FROM v WHERE relation = 'works_at') SELECT seed, edge_id, round(strength, 6) AS strength FROM t")
+@query("current_relationships", f"WITH v AS (SELECT * FROM _edges WHERE {_VALID})," + _HOP2.format(e="v") + ", t AS (SELECT h.seed, v.edge_id, v.strength FROM h JOIN v ON v.src = h.node OR v.dst = h.node UNION SELECT src, edge_id, strength FROM v WHERE relation = 'works_at') SELECT seed, edge_id, round(strength, 6) AS strength FROM t")
 def current_relationships(spark, d):
-    e = edges(spark, d).where("relation <> 'located_at' AND is_active").where(Q.valid_at(AS_OF))
+    e = edges(spark, d).where("is_active").where(Q.valid_at(AS_OF))
     h = G.khop(e, suppliers(spark, d), 2).select("seed", "node").union(suppliers(spark, d).select("seed", F.col("seed").alias("node")))
     touch = G.both_ways(e.select("src", "dst", "edge_id", "strength"))
     return h.join(touch, "node").select("seed", "edge_id", F.round("strength", 6).alias("strength")).distinct()
@@ -120,7 +119,11 @@ def g_hybrid_rank(spark, d):
     return ranked(spark, d).join(m, "node").select("node", F.round(0.4 * F.col("rank") + 0.3 * F.col("ego") + 0.2 * F.exp(-(F.lit(AS_OF) - F.col("t")) / 86400000000.0 / 7.0) + 0.1 * 0.5, 6).alias("score"))
 
 
-@query("g_shortest_path", "SELECT concat('s:', s_suppkey) AS source, concat('r:', n_regionkey) AS target, 2 AS hops, concat('s:', s_suppkey, '>n:', s_nationkey, '>r:', n_regionkey) AS path FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+@query("g_shortest_path", """
+    WITH RECURSIVE r AS (SELECT DISTINCT src AS source, src AS node, [src] AS path FROM _edges WHERE relation = 'works_at'
+      UNION ALL SELECT source, dst, list_append(path, dst) FROM r JOIN _edges ON src = node WHERE len(path) <= 5 AND NOT list_contains(path, dst)),
+    t AS (SELECT DISTINCT dst AS target FROM _edges WHERE relation = 'part_of'), f AS (SELECT source, target, len(path) - 1 AS hops, array_to_string(path, '>') AS path FROM r JOIN t ON node = target)
+    SELECT source, target, hops, path FROM (SELECT *, row_number() OVER (PARTITION BY source, target ORDER BY hops, path) AS n FROM f) WHERE n = 1""")
 def g_shortest_path(spark, d):
     e = edges(spark, d)
     regions = e.where("relation = 'part_of'").select(F.col("dst").alias("target")).distinct()

@@ -102,7 +102,7 @@ def kg_functional_conflict(spark, d):
 
 @query("kg_reinforcement_candidates", f"""
     WITH m AS ({_UPSERT}), j AS (SELECT n.node_id, m.*, row_number() OVER (PARTITION BY node_id ORDER BY confidence DESC, subject, predicate, object) AS rank
-      FROM _memories n JOIN m ON m.user_id = n.user_id AND (contains(lower(n.content), m.subject) OR contains(lower(n.content), m.object)))
+      FROM _memories n JOIN m ON m.user_id = n.user_id AND (contains(concat(' ', trim(regexp_replace(lower(n.content), '[^a-z0-9_]+', ' ', 'g')), ' '), concat(' ', trim(regexp_replace(lower(m.subject), '[^a-z0-9_]+', ' ', 'g')), ' ')) OR contains(concat(' ', trim(regexp_replace(lower(n.content), '[^a-z0-9_]+', ' ', 'g')), ' '), concat(' ', trim(regexp_replace(lower(m.object), '[^a-z0-9_]+', ' ', 'g')), ' '))))
     SELECT node_id, user_id, predicate, object, rank FROM j WHERE rank <= 10""")
 def kg_reinforcement_candidates(spark, d):
     return R.reinforcement_candidates(R.upsert_relations(table(spark, d, "mentions")), table(spark, d, "memories")).select("node_id", "user_id", "predicate", "object", F.col("rank").cast("long").alias("rank"))
@@ -114,10 +114,10 @@ _NAMES = "SELECT user_id, object AS name FROM _mentions WHERE predicate = 'works
 @query("kg_localize", f"""
     WITH names AS ({_NAMES}), n AS (SELECT user_id, count(*) AS c FROM _raw_relations GROUP BY 1)
     SELECT relation_id, user_id, predicate, object FROM _raw_relations r JOIN n USING (user_id)
-    WHERE c < 50 OR EXISTS (SELECT 1 FROM names WHERE names.user_id = r.user_id AND (name = subject OR name = object))""")
+    WHERE c < 100 OR EXISTS (SELECT 1 FROM names WHERE names.user_id = r.user_id AND (name = subject OR name = object))""")
 def kg_localize(spark, d):
     names = table(spark, d, "mentions").where("predicate = 'works_at'").select("user_id", F.col("object").alias("name"))
-    return R.localize(table(spark, d, "raw_relations"), names, small=50).select("relation_id", "user_id", "predicate", "object")
+    return R.localize(table(spark, d, "raw_relations"), names).select("relation_id", "user_id", "predicate", "object")
 
 
 @query("kg_apply_maintenance", f"""
@@ -155,18 +155,21 @@ def edge_bidirectional(spark, d):
     return R.bidirectional(e)
 
 
-_PENDING = f"""SELECT *, CASE WHEN evidence >= 3 OR contradictions / 3e0 > 0.7 OR predicate IN {_IN(HIGH_IMPACT)} THEN 'HIGH' WHEN evidence >= 2 AND sessions >= 2 THEN 'MED' ELSE 'LOW' END AS priority FROM _candidates"""
-for _p, _o in (("HIGH", "last_fired DESC"), ("MED", "last_fired DESC"), ("LOW", "first_seen")):
+_PENDING = {
+    "HIGH": f"AND (evidence >= 3 OR contradictions / 3e0 > 0.7 OR predicate IN {_IN(HIGH_IMPACT)}) ORDER BY last_fired DESC",
+    "MED": "AND evidence >= 2 AND sessions >= 2 ORDER BY last_fired DESC",
+    "LOW": "ORDER BY first_seen",
+}
+for _p, _rest in _PENDING.items():
 
-    @query(f"candidate_pending_{_p}", f"SELECT candidate_id, evidence, sessions, first_seen, last_fired FROM ({_PENDING}) WHERE priority = '{_p}' ORDER BY {_o}, candidate_id LIMIT 100")
-    def candidate_pending(spark, d, p=_p, o=_o):
-        order = F.desc("last_fired") if "DESC" in o else F.asc("first_seen")
-        return R.pending_priority(table(spark, d, "candidates")).where(F.col("priority") == p).orderBy(order, "candidate_id").limit(100).select("candidate_id", "evidence", "sessions", "first_seen", "last_fired")
+    @query(f"candidate_pending_{_p}", f"SELECT candidate_id, evidence, sessions, first_seen, last_fired FROM _candidates WHERE status = 'candidate' {_rest}, candidate_id LIMIT 100")
+    def candidate_pending(spark, d, p=_p):
+        return R.pending(table(spark, d, "candidates"), p).select("candidate_id", "evidence", "sessions", "first_seen", "last_fired")
 
 
-@query("candidate_expire", f"SELECT candidate_id, first_seen FROM _candidates WHERE NOT (evidence < 2 AND first_seen < {AS_OF - 7 * DAY})")
+@query("candidate_expire", f"SELECT candidate_id, first_seen FROM _candidates WHERE NOT (status = 'candidate' AND floor(({AS_OF} - first_seen) / {DAY}e0) > 7)")
 def candidate_expire(spark, d):
-    return table(spark, d, "candidates").where(~((F.col("evidence") < 2) & (F.col("first_seen") < AS_OF - 7 * DAY))).select("candidate_id", "first_seen")
+    return R.without_expired(table(spark, d, "candidates"), AS_OF).select("candidate_id", "first_seen")
 
 
 @query("snk_candidate_upsert", """

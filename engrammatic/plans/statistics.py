@@ -129,11 +129,11 @@ def retrieval_eval(spark, d):
     return q.groupBy(F.col("predicted").alias("category")).agg(r6(F.avg("hit"), "hit_rate"), r6(F.avg("p5"), "precision_at_5"))
 
 
-for _name, _order in {"ds_training": "t DESC, id", "ds_commands": "score DESC, id", "ds_relations": "t, id", "ds_normalization": "tier, id"}.items():
+for _name in ("ds_training", "ds_commands", "ds_relations", "ds_normalization"):
 
-    @query(_name, f"SELECT id, corrected AS ground_truth, t FROM _classified ORDER BY {_order} LIMIT 500")
-    def export(spark, d, order=_order):
-        return log(spark, d).orderBy(*(F.expr(o.split()[0]).desc() if "DESC" in o else F.col(o.strip()) for o in order.split(","))).limit(500).select("id", F.col("corrected").alias("ground_truth"), "t")
+    @query(_name, f"SELECT id, corrected AS ground_truth, t FROM _classified ")
+    def export(spark, d):
+        return log(spark, d).select("id", F.col("corrected").alias("ground_truth"), "t")
 
 
 @query("label_store_usage", "SELECT source, lang, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY ALL")

@@ -130,9 +130,11 @@ def dialogues(spark, d):
     return spark.sql(_DIALOGUE.replace("_memories", "{m}").replace("I''m", "I\\'m"), m=mem(spark, d))
 
 
-@query("dialogue_detect", f"WITH t AS ({_DIALOGUE_SQL}) SELECT node_id, CASE WHEN contains(text, 'DATE:') OR regexp_matches(text, '\\w+ said, ?\"') THEN 'locomo' WHEN len(regexp_extract_all(text, '(?m)^\\w+:\\s+\\S')) >= 2 THEN 'raw_dialogue' ELSE 'narrative' END AS format FROM t")
+@query("dialogue_detect", f"""WITH t AS ({_DIALOGUE_SQL} UNION ALL SELECT -node_id, content FROM _sayings) SELECT node_id, CASE WHEN regexp_matches(text, '(?i)\\bDATE:') OR regexp_matches(text, '\\w+ said, ?"') THEN 'locomo'
+    WHEN len(regexp_extract_all(text, '(?m)^\\w+:\\s+\\S')) >= 2 OR len(regexp_extract_all(text, '\\b[A-Z][a-z]+:\\s+')) >= 2 THEN 'raw_dialogue' ELSE 'narrative' END AS format FROM t""")
 def dialogue_detect(spark, d):
-    return dialogues(spark, d).select("node_id", X.dialogue_format(F.col("text")).alias("format"))
+    t = dialogues(spark, d).unionAll(table(spark, d, "sayings").select((-F.col("node_id")).alias("node_id"), "content"))
+    return t.select("node_id", X.dialogue_format(F.col("text")).alias("format"))
 
 
 @query("dialogue_turns", f"WITH t AS ({_DIALOGUE_SQL}), l AS (SELECT node_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM t), s AS (SELECT *, regexp_extract(line, '^(\\w+):\\s*(.+)$', 1) AS speaker, trim(regexp_extract(line, '^(\\w+):\\s*(.+)$', 2)) AS said FROM l) SELECT node_id, row_number() OVER (PARTITION BY node_id ORDER BY i) - 1 AS turn, speaker, said FROM s WHERE speaker <> ''")
@@ -140,9 +142,19 @@ def dialogue_turns(spark, d):
     return dialogues(spark, d).select("node_id", F.posexplode(X.dialogue_turns(F.col("text"))).alias("turn", "t")).select("node_id", F.col("turn").cast("long").alias("turn"), "t.*")
 
 
-@query("third_person", f"WITH t AS ({_DIALOGUE_SQL}) SELECT node_id, md5(CASE WHEN contains(text, 'Anna: I love') THEN replace(replace(text, 'I love', 'Anna loves'), 'I''m', 'Anna is') WHEN contains(text, 'my dog') THEN replace(text, 'my dog', 'Anna''s dog') ELSE text END) AS told FROM t WHERE NOT regexp_matches(text, '^(?:My|I|/|What)')")
+def _replaced(text: str, steps) -> str:
+    """SQL that replaces patterns by strings one after the other."""
+    for pattern, by in steps:
+        text = f"regexp_replace({text}, '{pattern}', {by}, 'g')"
+    return text
+
+
+_TOLD = _replaced("text", [*((p.replace("'", "''"), quote("Anna" + e)) for p, e in X._THIRD), (rf"\b(Anna)\s+({X._VERBS})\b", r"'\1 \2s'"), (r"\b(Anna)\s+study\b", r"'\1 studies'")])
+
+
+@query("third_person", f"WITH t AS ({_DIALOGUE_SQL} UNION ALL SELECT -node_id, content FROM _sayings) SELECT node_id, md5({_TOLD}) AS told FROM t")
 def third_person(spark, d):
-    t = dialogues(spark, d).where(~F.col("text").rlike(r"^(?:My|I|/|What)"))
+    t = dialogues(spark, d).unionAll(table(spark, d, "sayings").select((-F.col("node_id")).alias("node_id"), "content"))
     return t.select("node_id", F.md5(X.third_person(F.col("text"), F.lit("Anna"))).alias("told"))
 
 
@@ -163,14 +175,30 @@ def date_parse(spark, d):
     return read(spark, d, "events").select("event_id", s.alias("s")).withColumn("day", F.coalesce(F.date_format(X.date_parsed(F.col("s")), "yyyy-MM-dd"), F.lit("none")))
 
 
-@query("temporal_resolve", "SELECT node_id, replace(replace(content, 'yesterday', 'yesterday (January 31, 2024)'), 'tomorrow', 'tomorrow (February 02, 2024)') AS told FROM _memories")
+_RESOLVED = _replaced("content", ((rf"(?i)\b{w}\b", f"'{w} (' || strftime(DATE '2024-02-01' + {n}, '%B %d, %Y') || ')'") for w, n in X.TEMPORAL.items()))
+_SAID = "(SELECT node_id, content FROM _memories UNION ALL SELECT -node_id, content FROM _sayings)"
+
+
+def said(spark, d):
+    return mem(spark, d).select("node_id", "content").unionAll(table(spark, d, "sayings").select((-F.col("node_id")).alias("node_id"), "content"))
+
+
+@query("temporal_resolve", f"SELECT node_id, {_RESOLVED} AS told FROM {_SAID}")
 def temporal_resolve(spark, d):
-    return mem(spark, d).select("node_id", X.temporal_resolved(F.col("content"), F.lit("2024-02-01").cast("date")).alias("told"))
+    return said(spark, d).select("node_id", X.temporal_resolved(F.col("content"), F.lit("2024-02-01").cast("date")).alias("told"))
+
+
+_KNOWN = "|".join(sorted({*D.COMMANDS, *D.COMMAND_ALIASES}, key=len, reverse=True))
+_NAMED = "CASE c " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in D.COMMAND_ALIASES.items()) + " ELSE c END"
+_WEIGHT = "CASE c " + " ".join(f"WHEN '{a}' THEN {b[2]}e0" for a, b in D.COMMANDS.items()) + " END"
 
 
-@query("command_parse", "SELECT node_id, CASE WHEN content LIKE '/%' THEN 'remember,private' ELSE '' END AS names, CASE WHEN content LIKE '/%' THEN 0.85e0 ELSE 0.5e0 END AS weight, trim(replace(content, '/remember /private', '')) AS target FROM _memories")
+@query("command_parse", f"""
+    WITH r AS (SELECT node_id, content, regexp_extract(content, '(?i)^\\s*((?:/(?:{_KNOWN})(?:\\s+|$))*)', 1) AS run FROM {_SAID}),
+    n AS (SELECT *, list_transform(regexp_extract_all(lower(run), '/(\\S+)', 1), lambda c: {_NAMED}) AS names FROM r)
+    SELECT node_id, array_to_string(names, ',') AS names, coalesce(list_max(list_transform(names, lambda c: {_WEIGHT})), 0.5e0) AS weight, trim(substr(ltrim(content), length(run) + 1)) AS target FROM n""")
 def command_parse(spark, d):
-    return mem(spark, d).select("node_id", X.commands(F.col("content")).alias("c")).select("node_id", F.array_join("c.names", ",").alias("names"), "c.weight", "c.target")
+    return said(spark, d).select("node_id", X.commands(F.col("content")).alias("c")).select("node_id", F.array_join("c.names", ",").alias("names"), "c.weight", "c.target")
 
 
 @query("command_pattern", "SELECT node_id, CASE " + " ".join(f"WHEN regexp_matches(lower(trim(content)), {quote(p)}) THEN {quote(f)}" for p, f in D.COMMAND_PATTERNS) + " ELSE array_to_string(regexp_split_to_array(lower(trim(content)), '\\s+')[1:3], ' ') END AS pattern FROM _memories")
@@ -204,9 +232,9 @@ def is_a_filter(spark, d):
     return t.where(~((F.col("prep") == "in") & F.col("ot").isin("GPE", "DATE", "ORG"))).select("node_id", "ot")
 
 
-@query("relation_context_format", "SELECT user_id, string_agg(printf('  - %s %s %s (confidence: %.2f)', subject, replace(predicate, '_', ' '), object, round(confidence, 2)), chr(10) ORDER BY relation_id) AS context FROM _raw_relations WHERE confidence >= 0.95 GROUP BY 1")
+@query("relation_context_format", "SELECT user_id, string_agg(printf('  - %s %s %s (confidence: %.2f)', subject, replace(predicate, '_', ' '), object, round(confidence, 2)), chr(10) ORDER BY relation_id) AS context FROM _raw_relations GROUP BY 1")
 def relation_context_format(spark, d):
-    r = table(spark, d, "raw_relations").where("confidence >= 0.95")
+    r = table(spark, d, "raw_relations")
     line = F.format_string("  - %s %s %s (confidence: %.2f)", "subject", F.translate("predicate", "_", " "), "object", F.round("confidence", 2))
     g = r.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("relation_id", line.alias("line")))).alias("l"))
     return g.select("user_id", F.array_join(F.col("l.line"), "\n").alias("context"))

@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from engrammatic.dims import PARSED, SAYINGS
+
 DAY = 86_400_000_000
 #: 2024-02-01 and 2024-04-15, 00:00 UTC.
 AS_OF, AS_OF_STALE = 1_706_745_600_000_000, 1_713_139_200_000_000
@@ -23,6 +25,20 @@ _UTTERANCE = """CASE event_type
     ELSE concat('/remember /private I want to visit place', k) END"""
 _PREDICATE = "CASE event_type WHEN 'signup' THEN 'works_at' WHEN 'purchase' THEN 'likes' WHEN 'error' THEN 'dislikes' WHEN 'view' THEN 'interested_in' ELSE 'visited' END"
 
+
+
+def _parsed_rows() -> str:
+    rows = []
+    for k, sentences in enumerate(PARSED):
+        i = 0
+        for sent, words in enumerate(sentences):
+            for w in words.split():
+                text, lemma, pos, dep, head, ent = w.rsplit("/", 5)
+                rows.append(f"({k}, {sent}, {i}, '{text}', '{lemma}', '{pos}', '{dep}', {head}, {'NULL' if ent == '_' else repr(ent)})")
+                i += 1
+    return ", ".join(rows)
+
+
 #: name: (what it is made from, columns, rest of the query). Every expression here means the same in both engines.
 _SPEC: dict[str, tuple[str, str, str]] = {
     "_mentions": (
@@ -57,10 +73,10 @@ _SPEC: dict[str, tuple[str, str, str]] = {
         """user_id, subject, predicate, object, CAST(count(*) AS BIGINT) AS evidence, CAST(count(DISTINCT session) AS BIGINT) AS sessions,
             min(observed_at) AS first_seen, max(observed_at) AS last_fired, max(ego) AS ego_max, avg(ego) AS ego_avg, avg(confidence) AS avg_confidence,
             CAST(min(memory_id) % 5 AS BIGINT) AS contradictions, CAST(min(memory_id) % 4 AS BIGINT) AS promotes, CAST(max(memory_id) % 3 AS BIGINT) AS demotes,
-            concat(subject, '|', predicate, '|', object) AS candidate_id""",
+            concat(subject, '|', predicate, '|', object) AS candidate_id, CASE min(memory_id) % 7 WHEN 0 THEN 'promoted' WHEN 1 THEN 'expired' ELSE 'candidate' END AS status""",
         "GROUP BY user_id, subject, predicate, object",
     ),
-    "_vectors": ("embeddings", "vec_id AS node_id, CAST(label AS BIGINT) AS user_id, embedding", ""),
+    "_vectors": ("embeddings", f"vec_id AS node_id, CAST(label AS BIGINT) AS user_id, embedding, {AS_OF} - (vec_id * 37 % 900) * {DAY} AS observed_at", ""),
     "_located": (
         "",
         """concat('c:', c_custkey) AS src, concat('n:', c_nationkey) AS dst, 'located_at' AS relation, 5e-1 + (c_custkey % 50) / 100e0 AS strength,
@@ -91,6 +107,14 @@ _SPEC: dict[str, tuple[str, str, str]] = {
         "GROUP BY user_id, k",
     ),
     "_ent": ("_ev", "user_id, t, k % 10 AS k", ""),
+    "_sayings": ("_ev JOIN _said ON event_id % " + str(len(SAYINGS)) + " = said_id", "event_id AS node_id, content", ""),
+    "_said": ("", "said_id, content FROM (VALUES " + ", ".join(f"({i}, '{x}')" for i, x in enumerate(SAYINGS)) + ") AS v(said_id, content)", ""),
+    "_parsed": ("", f"tpl, sent, i, text, lemma, pos, dep, head, ent FROM (VALUES {_parsed_rows()}) AS v(tpl, sent, i, text, lemma, pos, dep, head, ent)", ""),
+    "_tokens": (
+        "_ev JOIN _parsed ON event_id % 12 = tpl",
+        """event_id AS doc_id, sent, i, CASE WHEN ent = 'PERSON' AND k % 2 = 0 THEN concat(text, k) ELSE text END AS text, lemma, pos, dep, head, ent""",
+        "",
+    ),
     "_classified": (
         "_ev",
         f"""event_id AS id, t, event_type AS predicted, CASE WHEN event_id % 4 = 0 THEN 'view' ELSE event_type END AS corrected,

@@ -58,8 +58,21 @@ def test_stream_equals_batch(spark, tmp_path):
     e.repartition(4).write.parquet(f"{tmp_path}/in")
     s = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     events.run_upsert(s, f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
-    last = max(p.name for p in (tmp_path / "out").iterdir() if p.name.startswith("g="))
-    assert sorted(spark.read.parquet(f"{tmp_path}/out/{last}").collect()) == sorted(events.latest_versions(e).collect())
+    assert sorted(events.read_upserted(spark, f"{tmp_path}/out").select(e.columns).collect()) == sorted(events.latest_versions(e).collect())
+    assert all(len([g for g in b.iterdir() if g.name.startswith("g=")]) <= 2 for b in (tmp_path / "out").iterdir() if b.name.startswith("bucket="))
+
+
+def test_unreadable_payloads_of_a_stream_go_to_the_dead_letters(spark, tmp_path):
+    rows = [(i, json.dumps({"node_id": i % 7, "version": i % 5}) if i % 4 else "broken") for i in range(40)]
+    spark.createDataFrame(rows, "arrival long, payload string").repartition(3).write.parquet(f"{tmp_path}/in")
+    s = spark.readStream.schema("arrival long, payload string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    events.run_upsert(s, f"{tmp_path}/out", f"{tmp_path}/check", dead=f"{tmp_path}/dead", schema="node_id long, version long").awaitTermination()
+    assert sorted(r.arrival for r in spark.read.parquet(f"{tmp_path}/dead").collect()) == list(range(0, 40, 4))
+    best = {}
+    for i, p in rows:
+        if i % 4 and (i % 7 not in best or i % 5 > best[i % 7][0]):
+            best[i % 7] = (i % 5, i)
+    assert {r.node_id: (r.version, r.arrival) for r in events.read_upserted(spark, f"{tmp_path}/out").collect()} == best
 
 
 def test_dead_letters(spark):
@@ -82,3 +95,74 @@ def test_session_files(spark, tmp_path):
     (tmp_path / "n.md").write_text(" note ")
     (r,) = chat.read_text(spark, f"{tmp_path}/n.md").collect()
     assert (r.content, r.kind) == ("note", "markdown")
+
+
+def test_share_files(spark, tmp_path):
+    def node(parent, children, role=None, text=None):
+        return {"parent": parent, "children": children, "message": role and {"author": {"role": role}, "content": {"parts": [text, None, ""]}, "create_time": 1.5}}
+
+    tree = {"r": node(None, ["s"]), "s": node("r", ["u1"], "system", "be kind"), "u1": node("s", ["a1", "a2"], "user", " hi "), "a1": node("u1", ["u2"], "assistant", "yo"), "a2": node("u1", [], "assistant", "other"), "u2": node("a1", ["u3"], "user", "still there?"), "u3": node("u2", ["u1"], "user", "bye")}
+    (tmp_path / "share1.json").write_text(json.dumps({"title": "t", "create_time": 1.0, "mapping": tree}))
+    (tmp_path / "share2.json").write_text(json.dumps({"title": "empty", "mapping": {}}))
+    got = chat.read(spark, f"{tmp_path}/share*.json").orderBy("turn").collect()
+    assert [(r.title, r.content, r.context, r.at) for r in got] == [("t", "hi", "yo", 1.5), ("t", "still there?", None, 1.5), ("t", "bye", None, 1.5)]
+    for path, kind in ((f"{tmp_path}/a.pdf", None), (f"{tmp_path}/share1.json", "pdf")):
+        with pytest.raises(ValueError):
+            chat.read(spark, path, kind)
+
+
+def test_entities_only_patches(spark):
+    rows = [(1, 1, False, "s", "c", "a"), (1, 2, True, None, None, "b"), (2, 1, True, None, None, "x"), (3, 1, False, "", "c", "a"), (3, 2, False, "", "", "z"), (4, 2, False, None, "new", "n"), (4, 1, True, None, None, "old")]
+    e = spark.createDataFrame(rows, "node_id long, arrival long, entities_only boolean, summary string, content string, entities string")
+    assert sorted(map(tuple, events.vector_upserts(e).collect())) == [(1, "s", "b"), (3, "c", "a"), (4, "new", "n")]
+
+
+def test_nearest_in_parts_equals_brute_force(spark, monkeypatch):
+    import numpy as np
+
+    from engrammatic.operators import vectors
+
+    r = np.random.default_rng(3)
+    x = r.normal(size=(90, 6)).round(3)
+    rows = [(i, i % 2, x[i].tolist()) for i in range(90)] + [(90, 0, None), (91, 1, [0.0] * 6)]
+    v = spark.createDataFrame(rows, "node_id long, user_id long, embedding array<double>")
+    want = {}
+    for i, u, e in rows:
+        if e is not None:
+            sims = [(-round(float(np.dot(e, f) / max(np.linalg.norm(e) * np.linalg.norm(f), 1e-300)), 9), j) for j, w, f in rows if f is not None and w == u and j != i]
+            want[i] = [j for _, j in sorted(sims)[:4]]
+    for chunk in (2048, 11):
+        monkeypatch.setattr(vectors, "CHUNK", chunk)
+        got = {}
+        for n in sorted(vectors.neighbours(v, 4).collect(), key=lambda n: n["rank"]):
+            got.setdefault(n.node_id, []).append(n.other_id)
+        assert got == want
+
+
+def test_facade_and_sql_functions(spark):
+    from engrammatic import functions
+    from engrammatic.engine import MemoryEngine
+
+    e = MemoryEngine.over(spark, "/root/testdata/sf0.001")
+    as_of = 1_706_745_600_000_000
+    user = e.table("memories").first().user_id
+    for df in (e.relations(user), e.context(user), e.recent("item love", user), e.reconsolidate(as_of), e.cleanup(as_of), e.conflicts(), e.pending("HIGH"), e.ego(as_of), e.stats(), e.search([1.0] * 64, 1), e.neighbourhood(["s:1"]), e.paths([("s:1", "r:1")])):
+        assert df.columns and df.count() >= 0
+    assert e.ego(as_of).where("score < 0 OR score > 1 OR score IS NULL").isEmpty()
+    assert "mem_cosine" in functions.register(spark)
+    r = spark.sql("SELECT mem_cosine(array(1D, 0D), array(1D, 1D)) AS c, mem_tier_of(0.65D) AS t, mem_relation_category('works_at') AS k, mem_recency_decay(1, 180D) AS d").first()
+    assert (round(r.c, 6), r.t, round(r.d, 6)) == (0.707107, 2, 0.5) and r.k
+
+
+def test_dependency_patterns_of_known_sentences(spark):
+    from engrammatic.operators import dependencies
+    from engrammatic.tables import table
+
+    found = dependencies.triples(table(spark, "/root/testdata/sf0.001", "parsed").withColumnRenamed("tpl", "doc_id")).collect()
+    got = {(r.doc_id, r.pattern, r.subject, r.predicate, r.object, round(r.confidence, 6)) for r in found}
+    assert {
+        (0, "nsubj_verb_dobj", "Sarah", "study", "physics", 0.92), (1, "nsubj_verb_dobj", "John", "study", "physics", 0.77), (2, "nsubj_verb_dobj", "Sarah", "study", "quantum physics", 0.368),
+        (3, "nsubj_verb_prep_pobj", "Sarah", "live_in", "New York", 0.88), (4, "apposition", "Mark", "holds_title", "our CEO", 0.97), (5, "passive_voice", "Sarah", "study", "Physics", 0.85),
+        (6, "coordination", "John", "study", "chemistry", 0.92), (7, "nested_clause", "Sarah", "study", "physics", round(0.88 * 0.96, 6)), (8, "relative_clause", "Sarah", "work", "The company where Sarah works", 0.85), (9, "copula_attr", "Sarah", "be", "my sister", 0.945),
+    } <= got
+    assert {r.question for r in found if r.doc_id == 10} == {True} and {r.modality for r in found if r.doc_id == 2} == {"might"}
