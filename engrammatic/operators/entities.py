@@ -6,16 +6,32 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _allowed(length, least: float):
+    return F.greatest(F.lit(1), F.floor((1 - least) * length)).cast("int")
+
+
+def _pieces(n, k) -> object:
+    """The k + 1 even pieces of n letters: array<struct<i, first, size>>, first counting from 0."""
+    cut = lambda i: F.floor(i * n / (k + 1)).cast("int")
+    return F.transform(F.sequence(F.lit(0), k), lambda i: F.struct(i.alias("i"), cut(i).alias("first"), (cut(i + 1) - cut(i)).alias("size")))
+
+
 def fuzzy(names: DataFrame, entities: DataFrame, least: float = 0.85) -> DataFrame:
     """(user_id, name, entity_id, distance): of a user's entities the nearest within max(1, floor((1 - least) * length)).
 
-    A name within k edits shares one of its k + 1 even pieces exactly, but most names are short enough that k is 1;
-    the length band and the user are the join's keys, so only names of like length of one user meet.
+    A name within k edits of an entity shares one of its own k + 1 even pieces with it, shifted by k letters at most. The
+    join's keys are user, length of the name, number and letters of a piece, so that only such candidates meet; each is
+    then measured.
     """
-    k = F.greatest(F.lit(1), F.floor((1 - least) * F.length("name"))).cast("int")
-    n = names.select("user_id", "name").distinct().withColumn("k", k).withColumn("len", F.explode(F.sequence(F.length("name") - F.col("k"), F.length("name") + F.col("k"))))
+    n = names.select("user_id", "name").distinct().withColumns({"low": F.lower("name"), "n": F.length("name")}).withColumn("k", _allowed(F.col("n"), least))
+    n = n.withColumn("p", F.explode(_pieces(F.col("n"), F.col("k")))).select("user_id", "name", "low", "n", "k", F.col("p.i").alias("i"), F.substr("low", F.col("p.first") + 1, F.col("p.size")).alias("piece"))
     e = entities.select("user_id", "entity_id", F.lower("name").alias("known")).withColumn("len", F.length("known"))
-    j = n.join(e, ["user_id", "len"]).withColumn("distance", F.levenshtein(F.lower("name"), "known").cast("long")).where("distance <= k")
+    wide = F.ceil(F.col("len") * (1 - least) / least).cast("int") + 1  # lengths of names that may be so near
+    e = e.withColumn("n", F.explode(F.sequence(F.greatest(F.lit(0), F.col("len") - wide), F.col("len") + wide))).withColumn("k", _allowed(F.col("n"), least)).where("abs(n - len) <= k")
+    e = e.withColumn("p", F.explode(_pieces(F.col("n"), F.col("k")))).withColumn("at", F.explode(F.sequence(F.col("p.first") - F.col("k"), F.col("p.first") + F.col("k")))).where("at >= 0 AND at + p.size <= len")
+    e = e.select("user_id", "entity_id", "known", "n", F.col("p.i").alias("i"), F.substr("known", F.col("at") + 1, F.col("p.size")).alias("piece")).distinct()
+    j = n.join(e, ["user_id", "n", "i", "piece"]).select("user_id", "name", "low", "k", "entity_id", "known").distinct()
+    j = j.withColumn("distance", F.levenshtein("low", "known").cast("long")).where("distance <= k")
     w = Window.partitionBy("user_id", "name").orderBy("distance", "entity_id")
     return j.withColumn("r", F.row_number().over(w)).where("r = 1").select("user_id", "name", "entity_id", "distance")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from engrammatic.storage import written
+from engrammatic.storage import drop_written, written
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -65,7 +65,8 @@ def pagerank(edges: DataFrame, seeds: DataFrame, iterations: int = 5, alpha: flo
         lost = rank.where("dangling").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
         came = share.join(rank.select(F.col("node").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("share") * F.col("rank")).alias("came"))
         rank = nodes.join(came, "node", "left").crossJoin(lost).select("node", "p", "dangling", ((1 - alpha) * F.col("p") + alpha * (F.coalesce("came", F.lit(0.0)) + F.col("lost") * F.col("p"))).alias("rank"))
-        rank = written(rank)
+        before, rank = rank, written(rank)
+        drop_written(before)
     return rank.select("node", "rank")
 
 

@@ -227,3 +227,13 @@ def opinions(text: Column) -> Column:
         return F.transform(all_matches(F.coalesce(text, F.lit("")), pattern, 1), lambda o: F.struct(F.lit(relation).alias("relation"), F.lower(o).alias("object"), F.lit(confidence).alias("confidence")))
 
     return F.flatten(F.array(*(found(*o) for o in OPINIONS)))
+
+
+def embedded(text: Column, bits: int = 8) -> Column:
+    """A text as a sparse vector of 2 ** bits places, array<struct<place, value>> by place: its tokens are counted at the
+    place that the beginning of their MD5 names, and the counts divided by their length. Empty without tokens."""
+    place = lambda t: F.conv(F.substring(F.md5(t), 1, -(-bits // 4)), 16, 10).cast("int").bitwiseAND(2**bits - 1)
+    places = F.transform(tokens(text), place)
+    counts = F.transform(F.array_sort(F.array_distinct(places)), lambda p: F.struct(p.alias("place"), F.size(F.filter(places, lambda q: q == p)).cast("double").alias("n")))
+    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, c: s + c["n"] * c["n"]))
+    return F.transform(counts, lambda c: F.struct(c["place"].alias("place"), (c["n"] / norm).alias("value")))

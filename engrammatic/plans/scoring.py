@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from engrammatic.dims import ACTIVATION_WEIGHTS, DEFINITE, HEDGES, IMPORTANCE, LABEL_IMPORTANCE, TIER_POLICIES
 from engrammatic.operators import scoring as S
 from engrammatic.registry import query
+from engrammatic.storage import written
 from engrammatic.tables import AS_OF, DAY, read, table
 
 _AGE = f"(({AS_OF} - observed_at) / {DAY}e0)"
@@ -252,3 +253,18 @@ def snk_archive(spark, d):
 @query("src_label_eval", "SELECT l.quality, l.toxic, count(*) AS n, round(avg(d.n_chars), 6) AS mean_chars FROM labels l JOIN documents d USING (doc_id) GROUP BY ALL")
 def src_label_eval(spark, d):
     return read(spark, d, "labels").join(read(spark, d, "documents"), "doc_id").groupBy("quality", "toxic").agg(F.count("*").alias("n"), r6(F.avg("n_chars"), "mean_chars"))
+
+
+def examples(spark, d):
+    """The components of each memory, and as its label the score that the fixed weights give."""
+    c = comps(m := mem(spark, d))
+    return m.select("node_id", *(v.cast("double").alias(k) for k, v in c.items()), S.ego_score(c).alias("label"))
+
+
+@query("ego_gbt")
+def ego_gbt(spark, d):
+    """What trees fitted on every memory's components say of it; SQL has no trees, so tests hold it against held-out labels."""
+    from engrammatic.operators import learned
+
+    rows = written(examples(spark, d))
+    return learned.predict(learned.fit(rows, trees=10), rows).select("node_id", F.round("ego", 6).alias("ego"))

@@ -139,3 +139,16 @@ for _name in ("ds_training", "ds_commands", "ds_relations", "ds_normalization"):
 @query("label_store_usage", "SELECT source, lang, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY ALL")
 def label_store_usage(spark, d):
     return read(spark, d, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+
+
+@query("snk_training_export", """
+    SELECT id, to_json(struct_pack(text := concat('event ', id), labels := CASE WHEN corrected = predicted THEN [predicted] ELSE [corrected, predicted] END,
+      label_scores := CASE WHEN corrected = predicted THEN [round(1 - score, 2)] ELSE [0e0, round(1 - score, 2)] END)) AS line FROM _classified WHERE 1 - score >= 0.7""")
+def snk_training_export(spark, d):
+    """One JSON line for each example that is sure enough: text, labels, and of each label the score (0 where none is known)."""
+    c = log(spark, d).where("1 - score >= 0.7")
+    two = F.col("corrected") != F.col("predicted")
+    labels = F.when(two, F.array("corrected", "predicted")).otherwise(F.array("predicted"))
+    scores = F.create_map("predicted", F.round(1 - F.col("score"), 2))
+    line = F.to_json(F.struct(F.concat(F.lit("event "), "id").alias("text"), labels.alias("labels"), F.transform(labels, lambda x: F.coalesce(F.try_element_at(scores, x), F.lit(0.0))).alias("label_scores")))
+    return c.select("id", line.alias("line"))

@@ -130,10 +130,10 @@ def dialogues(spark, d):
     return spark.sql(_DIALOGUE.replace("_memories", "{m}").replace("I''m", "I\\'m"), m=mem(spark, d))
 
 
-@query("dialogue_detect", f"""WITH t AS ({_DIALOGUE_SQL} UNION ALL SELECT -node_id, content FROM _sayings) SELECT node_id, CASE WHEN regexp_matches(text, '(?i)\\bDATE:') OR regexp_matches(text, '\\w+ said, ?"') THEN 'locomo'
+@query("dialogue_detect", f"""WITH t AS ({_DIALOGUE_SQL} UNION ALL SELECT -1 - node_id, content FROM _sayings) SELECT node_id, CASE WHEN regexp_matches(text, '(?i)\\bDATE:') OR regexp_matches(text, '\\w+ said, ?"') THEN 'locomo'
     WHEN len(regexp_extract_all(text, '(?m)^\\w+:\\s+\\S')) >= 2 OR len(regexp_extract_all(text, '\\b[A-Z][a-z]+:\\s+')) >= 2 THEN 'raw_dialogue' ELSE 'narrative' END AS format FROM t""")
 def dialogue_detect(spark, d):
-    t = dialogues(spark, d).unionAll(table(spark, d, "sayings").select((-F.col("node_id")).alias("node_id"), "content"))
+    t = dialogues(spark, d).unionAll(table(spark, d, "sayings").select((-1 - F.col("node_id")).alias("node_id"), "content"))
     return t.select("node_id", X.dialogue_format(F.col("text")).alias("format"))
 
 
@@ -152,9 +152,9 @@ def _replaced(text: str, steps) -> str:
 _TOLD = _replaced("text", [*((p.replace("'", "''"), quote("Anna" + e)) for p, e in X._THIRD), (rf"\b(Anna)\s+({X._VERBS})\b", r"'\1 \2s'"), (r"\b(Anna)\s+study\b", r"'\1 studies'")])
 
 
-@query("third_person", f"WITH t AS ({_DIALOGUE_SQL} UNION ALL SELECT -node_id, content FROM _sayings) SELECT node_id, md5({_TOLD}) AS told FROM t")
+@query("third_person", f"WITH t AS ({_DIALOGUE_SQL} UNION ALL SELECT -1 - node_id, content FROM _sayings) SELECT node_id, md5({_TOLD}) AS told FROM t")
 def third_person(spark, d):
-    t = dialogues(spark, d).unionAll(table(spark, d, "sayings").select((-F.col("node_id")).alias("node_id"), "content"))
+    t = dialogues(spark, d).unionAll(table(spark, d, "sayings").select((-1 - F.col("node_id")).alias("node_id"), "content"))
     return t.select("node_id", F.md5(X.third_person(F.col("text"), F.lit("Anna"))).alias("told"))
 
 
@@ -176,11 +176,11 @@ def date_parse(spark, d):
 
 
 _RESOLVED = _replaced("content", ((rf"(?i)\b{w}\b", f"'{w} (' || strftime(DATE '2024-02-01' + {n}, '%B %d, %Y') || ')'") for w, n in X.TEMPORAL.items()))
-_SAID = "(SELECT node_id, content FROM _memories UNION ALL SELECT -node_id, content FROM _sayings)"
+_SAID = "(SELECT node_id, content FROM _memories UNION ALL SELECT -1 - node_id, content FROM _sayings)"
 
 
 def said(spark, d):
-    return mem(spark, d).select("node_id", "content").unionAll(table(spark, d, "sayings").select((-F.col("node_id")).alias("node_id"), "content"))
+    return mem(spark, d).select("node_id", "content").unionAll(table(spark, d, "sayings").select((-1 - F.col("node_id")).alias("node_id"), "content"))
 
 
 @query("temporal_resolve", f"SELECT node_id, {_RESOLVED} AS told FROM {_SAID}")
@@ -266,3 +266,12 @@ def levenshtein_ratio(spark, d):
 @query("opinion_extract", "WITH o AS (SELECT node_id, unnest([" + ", ".join(f"struct_pack(r := '{r}', c := {c}e0, o := regexp_extract_all(content, {quote(p)}, 1))" for p, r, c in X.OPINIONS) + "]) AS s FROM _memories) SELECT node_id, s.r AS relation, lower(unnest(s.o)) AS object, s.c AS confidence FROM o")
 def opinion_extract(spark, d):
     return mem(spark, d).select("node_id", F.explode(X.opinions(F.col("content"))).alias("o")).select("node_id", "o.*")
+
+
+@query("embed_text", """
+    WITH w AS (SELECT node_id, unnest(regexp_extract_all(lower(content), '[\\p{L}\\p{N}_]+')) AS t FROM (SELECT node_id, content FROM _memories UNION ALL SELECT -1 - node_id, content FROM _sayings)),
+    c AS (SELECT node_id, CAST(concat('0x', substr(md5(t), 1, 2)) AS INTEGER) AS place, count(*) AS n FROM w GROUP BY ALL)
+    SELECT node_id, place, round(n / sqrt(sum(n * n) OVER (PARTITION BY node_id)), 6) AS value FROM c""")
+def embed_text(spark, d):
+    v = said(spark, d).select("node_id", F.explode(X.embedded(F.col("content"))).alias("v"))
+    return v.select("node_id", "v.place", F.round("v.value", 6).alias("value"))

@@ -166,3 +166,74 @@ def test_dependency_patterns_of_known_sentences(spark):
         (6, "coordination", "John", "study", "chemistry", 0.92), (7, "nested_clause", "Sarah", "study", "physics", round(0.88 * 0.96, 6)), (8, "relative_clause", "Sarah", "work", "The company where Sarah works", 0.85), (9, "copula_attr", "Sarah", "be", "my sister", 0.945),
     } <= got
     assert {r.question for r in found if r.doc_id == 10} == {True} and {r.modality for r in found if r.doc_id == 2} == {"might"}
+
+
+def test_learned_scores_on_held_out_rows(spark):
+    from engrammatic.operators import learned
+    from engrammatic.plans.scoring import examples
+    from engrammatic.storage import written
+
+    rows = written(examples(spark, "/root/testdata/sf0.001"))
+    model = learned.fit(rows.where("node_id % 5 <> 0"))
+    held = learned.predict(model, rows.where("node_id % 5 = 0")).select("label", "ego").toPandas()
+    r2 = 1 - ((held.label - held.ego) ** 2).sum() / ((held.label - held.label.mean()) ** 2).sum()
+    assert len(held) > 100 and r2 > 0.85
+    assert learned.predict(model, rows.limit(1).withColumn("novelty", F.lit(None).cast("double"))).first().ego is not None
+
+
+def stream_of(spark, tmp_path, schema, *batches):
+    """A stream of one file for each batch, in order."""
+    import os
+
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/b{i}")
+        for p in (tmp_path / f"b{i}").glob("*.parquet"):
+            (tmp_path / "in").mkdir(exist_ok=True)
+            p.rename(tmp_path / "in" / f"{i}.parquet")
+            os.utime(tmp_path / "in" / f"{i}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+
+
+def collected(df, tmp_path):
+    def keep(b, n):
+        b.write.mode("overwrite").parquet(f"{tmp_path}/out/n={n}")
+
+    df.writeStream.foreachBatch(keep).outputMode("append").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start().awaitTermination()
+    return df.sparkSession.read.parquet(f"{tmp_path}/out").drop("n" if "reason" not in df.columns else "_").collect()
+
+
+def at(day, hour=0):
+    import datetime
+
+    return datetime.datetime(2024, 1, 1) + datetime.timedelta(days=day, hours=hour)
+
+
+def test_shadow_lifecycle_with_timers(spark, tmp_path):
+    from engrammatic.streaming import state
+
+    s = stream_of(
+        spark, tmp_path, "node_id long, kind string, at timestamp",
+        [(1, "created", at(0)), (2, "created", at(0)), (3, "created", at(0)), (9, "approved", at(0))], [(1, "approved", at(2)), (2, "rejected", at(3)), (2, "approved", at(4))],
+        [(4, "created", at(9))], [(5, "created", at(10))], [(6, "created", at(11))],
+    )
+    got = sorted((r.node_id, r.state) for r in collected(state.shadow_lifecycle(s), tmp_path))
+    assert got == [(1, "approved"), (1, "pending"), (2, "pending"), (2, "rejected"), (3, "auto_promoted"), (3, "pending"), (4, "pending"), (5, "pending"), (6, "pending")]
+
+
+def test_windows_and_sessions_of_a_stream(spark, tmp_path):
+    from engrammatic.streaming import state
+
+    rows = [(1, "a", at(0, 0)), (1, "a", at(0, 0.2)), (1, "b", at(0, 2)), (2, "a", at(0, 0.1))]
+    for name, f, want in (("w", state.counts_in_windows, 2), ("s", state.sessions, 3)):
+        (tmp_path / name).mkdir()
+        s = stream_of(spark, tmp_path / name, "node_id long, kind string, at timestamp", rows, [(7, "z", at(5))], [(7, "z", at(6))])
+        got = collected(f(s).withColumnRenamed("n", "events"), tmp_path / name)
+        assert sum(r.start < at(1) for r in got) == want and sum(r.events for r in got if r.start < at(1)) == 4
+
+
+def test_items_in_batches_of_a_size(spark):
+    from engrammatic.streaming import state
+
+    e = spark.createDataFrame([(i % 3 == 0, i) for i in range(1000)], "user boolean, item_id long").select(F.col("user").cast("int").alias("user_id"), "item_id")
+    got = state.batches_of(e, 50).collect()
+    assert sorted(i for r in got for i in r["items"]) == list(range(1000)) and max(len(r["items"]) for r in got) < 100

@@ -29,7 +29,7 @@ def normal(rows):
     return sorted((tuple(map(one, r)) for r in rows), key=str)
 
 
-@pytest.mark.parametrize("name", sorted(Q))
+@pytest.mark.parametrize("name", sorted(S))
 def test_query(spark, duck, name):
     got = Q[name](spark, D)
     cols = sorted(got.columns)
