@@ -1,12 +1,13 @@
 """Substring dedup by paragraph MinHash banding.
 
-Paragraphs are cut where the text itself says so: a word starts a paragraph when its hash is the least of some window
-of ``window`` consecutive words (winnowing; Schleimer et al., 2003). The cuts inside a repeated passage are therefore
-the same in every document, whatever stands around it and however lines are broken, and two neighbouring cuts are
-never more than ``window`` words apart. A word or two exchanged in so short a piece is much of it, so lines and blocks
-of lines between blank ones are paragraphs too, longer ones that overlap the pieces. Each paragraph gets a MinHash signature of its word pairs in ``bands`` bands of
-``rows`` values; paragraphs that share a band collide, exact Jaccard similarity verifies colliding paragraphs whose
-words differ, and connected components of what is verified are the clusters of which one paragraph stays.
+A text's paragraphs are its lines and its blocks of lines between blank ones. Each gets a MinHash signature of its word
+pairs in ``bands`` bands of ``rows`` values; paragraphs that share a band collide, exact Jaccard similarity verifies
+colliding paragraphs whose words differ, and connected components of what is verified are the clusters of which one
+paragraph stays. Passages that repeat within longer lines are found by pieces that the text itself cuts: a word starts
+a piece when its hash is the least of some window of ``window`` consecutive words (winnowing; Schleimer et al., 2003).
+The cuts inside a repeated passage are therefore the same in every document, whatever stands around it and however
+lines are broken, and two neighbouring cuts are never more than ``window`` words apart. One word exchanged in so short a
+piece is too much of it for Jaccard's threshold, so pieces count as repeated when they are equal.
 """
 
 from __future__ import annotations
@@ -24,7 +25,9 @@ from engrammatic.llm._arrow import WordHasher, ids_of, mix64, seeds, slices, tex
 from engrammatic.llm._runs import in_blocks, run_starts, spanning_edges, whole_runs
 from engrammatic.llm._shared import by_key, components, drop_written, written
 
-WINDOW, MIN_WORDS, JACCARD, MIN_SPAN, RECALL, ROWS = 20, 5, 0.8, 10, 0.94, 3
+WINDOW, MIN_WORDS, JACCARD, RECALL, ROWS = 14, 5, 0.8, 0.94, 3
+#: A passage of over 50 words has at least so many between the cuts next to its ends.
+MIN_SPAN = 51 - 2 * (WINDOW - 1)
 
 
 def tune_bands(jaccard: float, recall: float, rows: int = ROWS) -> int:
@@ -55,8 +58,8 @@ def cut(h: np.ndarray, rows: np.ndarray, window: int) -> np.ndarray:
 
 
 class Paragraphs:
-    """The paragraphs of a slice of texts with digests and the hashes of their word pairs: of pieces, lines and blocks
-    of lines each that has any, together all words. ok tells those long enough that no shorter kind has too."""
+    """The lines, blocks and pieces of a slice of texts with digests and the hashes of their word pairs, each kind that has
+    any by itself. ok tells those that are long enough and that no kind before has too, near those that are paragraphs."""
 
     def __init__(self, window: int, min_words: int) -> None:
         self.hasher, self.window, self.min_words = WordHasher(), window, min_words
@@ -83,18 +86,18 @@ class Paragraphs:
         first[(of_row - of_row[0])[:-1]] = True
         heads |= filled & first
         known = np.zeros(n, np.int64)  # the end of the last paragraph taken that starts here
-        for starts in (cut(h, rows, self.window), lines[:-1][filled], lines[:-1][heads]):
+        for starts, near in ((lines[:-1][filled], True), (lines[:-1][heads], True), (cut(h, rows, self.window), False)):
             ends = np.concatenate([starts[1:], [n]])
             ok = (ends - starts >= self.min_words) & (known[starts] != ends)
             known[starts] = ends
             digest = mix64((sums[ends] - sums[starts]) * self.inverses[starts] + (ends - starts).astype(np.uint64))
             row = np.searchsorted(rows, starts, side="right") - 1
             if ok.any():
-                yield {"start": starts, "end": ends, "row": row, "first": rows[row], "digest": digest, "pairs": pairs, "ok": ok}
+                yield {"start": starts, "end": ends, "row": row, "first": rows[row], "digest": digest, "pairs": pairs, "ok": ok, "near": near}
 
 
 def paragraph_rows(batches: Iterator[pa.RecordBatch], window: int, min_words: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
-    """A row for each paragraph: digest, doc_id, and the key of each band, which the digest determines."""
+    """A row for each paragraph and piece: digest, doc_id, and of paragraphs the key of each band."""
     cutter, mult = Paragraphs(window, min_words), seeds(bands * rows, 7_000)
     for batch in batches:
         for s in slices(batch, "text"):
@@ -109,11 +112,14 @@ def paragraph_rows(batches: Iterator[pa.RecordBatch], window: int, min_words: in
 
                 keys = []
                 for band in range(bands):
-                    key = np.full(int(ok.sum()), band, np.uint64)
-                    for r in range(rows):
-                        key = mix64(key ^ least(mult[band * rows + r]))
-                    keys.append(key.view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(p["digest"][ok].view(np.int64)), pa.array(ids_of(s)[p["row"][ok]]), *map(pa.array, keys)], names=["digest", "doc_id", *(f"k{i}" for i in range(bands))])
+                    if p["near"]:
+                        key = np.full(int(ok.sum()), band, np.uint64)
+                        for r in range(rows):
+                            key = mix64(key ^ least(mult[band * rows + r]))
+                        keys.append(pa.array(key.view(np.int64)))
+                    else:
+                        keys.append(pa.nulls(int(ok.sum()), pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(p["digest"][ok].view(np.int64)), pa.array(ids_of(s)[p["row"][ok]]), *keys], names=["digest", "doc_id", *(f"k{i}" for i in range(bands))])
 
 
 def place_rows(batches: Iterator[pa.RecordBatch], window: int, min_words: int) -> Iterator[pa.RecordBatch]:
@@ -208,10 +214,11 @@ def repeated_paragraphs(
     """Paragraphs that repeat: (doc_id, start_word, n_words, cluster, kept_doc_id, removed).
 
     docs needs doc_id (integer) and text. Words count from 0 within the text. A cluster's paragraph in the least
-    (doc_id, start_word) stays (removed is false), the others go. Paragraphs are pieces of up to ``window`` words, lines
-    and blocks of lines, so that rows overlap: a word repeats where any of them does. Repeated paragraphs that overlap
-    or have under ``min_words`` words between them (too short to be a paragraph) form a span with those words; spans
-    under ``min_span`` words, such as one short shared line, are left alone. Repeats within one text count like any other.
+    (doc_id, start_word) stays (removed is false), the others go. Rows may overlap: a word repeats where any of them does.
+    Repeated paragraphs that overlap or have under ``min_words`` words between them (too short to be one) form a span
+    with those words; spans under ``min_span`` words, such as one short shared line, are left alone. Of a repeated
+    passage within longer lines up to ``window`` - 1 words at either end aren't reported. Repeats within one text count
+    like any other.
 
     Rows with a null doc_id or text, empty texts and texts under ``min_words`` words have no paragraphs. Texts of any
     length are cut whole. A repeated row (same doc_id and text) adds nothing, since a paragraph is known by its doc_id
@@ -224,7 +231,7 @@ def repeated_paragraphs(
     every = plain.mapInArrow(lambda it: paragraph_rows(it, window, min_words, bands, ROWS), f"digest long, doc_id long, {', '.join(f'{k} long' for k in names)}")
     # equal paragraphs are one row from here on, folded in the tasks that read them
     fold = written(every.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("holder"), *(F.min(k).alias(k) for k in names)))
-    keys = fold.select("digest", F.explode(F.array(*names)).alias("key"))
+    keys = fold.where("k0 IS NOT NULL").select("digest", F.explode(F.array(*names)).alias("key"))
     hits = written(keys.repartition("key").sortWithinPartitions("key").mapInArrow(collisions, "a long, b long, key long"))
     near = written(hits.where("b is not null").select("a", "b").distinct())
     large = hits.where("key is not null").select("key", F.col("a").alias("digest"))
