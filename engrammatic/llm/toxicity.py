@@ -262,5 +262,7 @@ def keep_rows(batches: Iterator[pa.RecordBatch], model: Model, column: str) -> I
 
 
 def without_toxic(docs: DataFrame, model: Model, column: str = "text") -> DataFrame:
-    """The rows of docs, all columns, that are not toxic; rows with a null text stay. No shuffle."""
-    return docs.mapInArrow(lambda it: keep_rows(it, model, column), docs.schema)
+    """The rows of docs, all columns of whatever names, that are not toxic; rows with a null text stay. No shuffle."""
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    text = next(f"c{i}" for i, c in enumerate(docs.columns) if c.lower() == column.lower())
+    return plain.mapInArrow(lambda it: keep_rows(it, model, text), plain.schema).toDF(*docs.columns)
