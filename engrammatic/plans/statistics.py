@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from engrammatic.dims import CATEGORY_OF, COMMANDS
+from engrammatic.operators import statistics as T
 from engrammatic.registry import query
 from engrammatic.tables import AS_OF, DAY, read, table
 
@@ -16,23 +18,62 @@ def counts(spark, d, key, name="classified"):
     return table(spark, d, name).groupBy(key).agg(F.count("*").alias("n"))
 
 
-for _name, _key in {"classification_stats_source": "source", "classification_stats_routing": "routing", "relation_extraction_stats": "relation", "label_distribution": "predicted", "command_stats": "corrected", "normalization_stats_method": "source"}.items():
-    if _name.endswith("_method"):
-        continue
+_NOW = AS_OF - 2 * DAY
 
-    @query(_name, f"SELECT {_key} AS key, count(*) AS n FROM _classified WHERE {_key} IS NOT NULL GROUP BY 1")
-    def by_key(spark, d, key=_key):
-        return counts(spark, d, key).where(f"{key} IS NOT NULL").withColumnRenamed(key, "key")
 
+def tallied(source: str, measures: dict[str, str]) -> str:
+    """SQL of tallies()."""
+    parts = (f"SELECT '{m}' AS measure, CAST({c} AS VARCHAR) AS key, count(*) AS n FROM l GROUP BY 2 HAVING key IS NOT NULL" for m, c in measures.items())
+    return f"WITH l AS ({source}) " + " UNION ALL ".join(parts)
 
-@query("classification_stats", f"SELECT count(*) AS total, count(*) FILTER (WHERE predicted <> corrected) AS corrected, count(*) FILTER (WHERE t >= {AS_OF - 3 * DAY}) AS recent FROM _classified")
+
+@query("label_distribution", "SELECT predicted AS key, count(*) AS n FROM _classified GROUP BY 1")
+def label_distribution(spark, d):
+    return counts(spark, d, "predicted").withColumnRenamed("predicted", "key")
+
+
+_CLASSIFIED = {"total": "'all'", "source": "source", "routing": "routing", "recent_24h": f"CASE WHEN t >= {_NOW - DAY} THEN 'all' END", "corrected": "CASE WHEN predicted <> corrected THEN 'all' END"}
+
+
+@query("classification_stats", tallied("SELECT * FROM _classified", _CLASSIFIED))
 def classification_stats(spark, d):
-    return log(spark, d).agg(F.count("*").alias("total"), F.count_if(F.col("predicted") != F.col("corrected")).alias("corrected"), F.count_if(F.col("t") >= AS_OF - 3 * DAY).alias("recent"))
+    return T.tallies(log(spark, d), {m: F.expr(c) for m, c in _CLASSIFIED.items()})
+
 
+_INVALID = """CASE WHEN predicted = corrected THEN '[]' WHEN routing IS NULL THEN concat('["', predicted, '"]') ELSE concat('["', predicted, '","', routing, '"]') END"""
 
-@query("invalid_labels_top", "SELECT predicted, count(*) AS n FROM _classified WHERE source = 'semantic_validator' AND predicted <> corrected GROUP BY 1 ORDER BY n DESC, predicted LIMIT 10")
+
+@query("invalid_labels_top", f"""
+    WITH i AS (SELECT {_INVALID} AS labels FROM _classified WHERE source = 'semantic_validator'), u AS (SELECT unnest(from_json(labels, '["VARCHAR"]')) AS label FROM i WHERE labels <> '[]')
+    SELECT label, count(*) AS n FROM u GROUP BY 1 ORDER BY n DESC, label LIMIT 10""")
 def invalid_labels_top(spark, d):
-    return log(spark, d).where("source = 'semantic_validator' AND predicted <> corrected").groupBy("predicted").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "predicted").limit(10)
+    i = log(spark, d).where("source = 'semantic_validator'").select(F.explode(F.from_json(F.expr(_INVALID), "array<string>")).alias("label"))
+    return i.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(10)
+
+
+_EXTRACTED = {"total": "'all'", "source": "source", "category": f"CASE {' '.join(f'WHEN relation = {r!r} THEN {c!r}' for r, c in CATEGORY_OF.items())} END", "validated": "CASE WHEN promoted THEN 'all' END", "recent_24h": f"CASE WHEN t >= {_NOW - DAY} THEN 'all' END", "correction": "CASE WHEN source = 'user' THEN 'all' END"}
+
+
+@query("relation_extraction_stats", tallied("SELECT * FROM _classified", _EXTRACTED))
+def relation_extraction_stats(spark, d):
+    return T.tallies(log(spark, d), {m: F.expr(c) for m, c in _EXTRACTED.items()})
+
+
+@query("relation_extraction_top", "SELECT relation, count(*) AS n FROM _classified GROUP BY 1 ORDER BY n DESC, relation LIMIT 10")
+def relation_extraction_top(spark, d):
+    return counts(spark, d, "relation").orderBy(F.desc("n"), "relation").limit(10)
+
+
+_ISSUED = "SELECT node_id, unnest(CASE WHEN content LIKE '/remember /private%' THEN ['remember', 'private'] WHEN content LIKE '/tier1 /p %' THEN ['remember', 'private'] WHEN content LIKE '/t2 /t3%' THEN ['tier2', 'tier3'] WHEN content = '/remember' OR content LIKE '  /Remember %' THEN ['remember'] WHEN content LIKE '/search %' THEN ['search'] END) AS command FROM _sayings"
+_COMMANDS = {"total": "'all'", "command": "command", "category": f"CASE {' '.join(f'WHEN command = {c!r} THEN {v[1]!r}' for c, v in COMMANDS.items())} END", "tier": f"CASE {' '.join(f'WHEN command = {c!r} THEN {v[3]}' for c, v in COMMANDS.items() if v[3])} END"}
+
+
+@query("command_stats", tallied(_ISSUED, _COMMANDS))
+def command_stats(spark, d):
+    from engrammatic.operators import text as X
+
+    c = table(spark, d, "sayings").select("node_id", F.explode(X.commands(F.col("content"))["names"]).alias("command"))
+    return T.tallies(c, {m: F.expr(e) for m, e in _COMMANDS.items()})
 
 
 _RATES = "SELECT relation, count(*) AS n, CAST(sum(CAST(promoted AS INT)) AS BIGINT) AS promoted, round(avg(CAST(promoted AS INT)), 6) AS rate FROM _classified GROUP BY 1"
@@ -58,14 +99,24 @@ def relation_stats_upsert(spark, d):
     return rates(spark, d).select("relation", "n", "promoted")
 
 
-@query("importance_stats", f"SELECT relation, n, rate FROM ({_RATES}) ORDER BY rate DESC, relation LIMIT 5")
+@query("importance_stats", f"SELECT relation, n, rate FROM ({_RATES} ORDER BY rate DESC, relation LIMIT 5) UNION ALL SELECT 'all', count(*), round(avg(CAST(promoted AS INT)), 6) FROM _classified")
 def importance_stats(spark, d):
-    return rates(spark, d).orderBy(F.desc("rate"), "relation").limit(5).select("relation", "n", "rate")
+    """The five relations promoted most often, and all of them together."""
+    top = rates(spark, d).orderBy(F.desc("rate"), "relation").limit(5).select("relation", "n", "rate")
+    return top.unionByName(log(spark, d).agg(F.lit("all").alias("relation"), F.count("*").alias("n"), r6(F.avg(F.col("promoted").cast("int")), "rate")))
+
+
+_METHOD = "CASE WHEN relation IN ('works_at', 'likes') THEN 'lexicon' WHEN source = 'llm' THEN 'embedding' ELSE 'original' END"
 
 
-@query("normalization_stats", "SELECT source, count(*) AS n, round(avg(score), 6) AS mean_score, round(avg(CASE WHEN source = 'llm' THEN 1 ELSE 0 END), 6) AS llm_rate FROM _classified GROUP BY ROLLUP (source) HAVING source IS NOT NULL")
+@query("normalization_stats", f"SELECT coalesce(source, 'all') AS source, coalesce(method, 'all') AS method, count(*) AS n, round(avg(score), 6) AS mean_score, round(avg(CASE WHEN source_ = 'llm' THEN 1 ELSE 0 END), 6) AS llm_rate FROM (SELECT *, source AS source_, {_METHOD} AS method FROM _classified) GROUP BY GROUPING SETS ((), (source), (method))")
 def normalization_stats(spark, d):
-    return log(spark, d).groupBy("source").agg(F.count("*").alias("n"), r6(F.avg("score"), "mean_score"), r6(F.avg((F.col("source") == "llm").cast("int")), "llm_rate"))
+    """In all, by source and by method."""
+    pair = lambda s, m: F.struct(s.alias("s"), m.alias("m"))
+    every = F.lit("all")
+    keys = F.explode(F.array(pair(every, every), pair(F.col("source"), every), pair(every, F.expr(_METHOD))))
+    x = log(spark, d).select(keys.alias("k"), "score", (F.col("source") == "llm").cast("int").alias("llm"))
+    return x.groupBy(F.col("k.s").alias("source"), F.col("k.m").alias("method")).agg(F.count("*").alias("n"), r6(F.avg("score"), "mean_score"), r6(F.avg("llm"), "llm_rate"))
 
 
 @query("command_pattern_agg", "SELECT predicted, corrected, count(*) AS frequency, round(avg(tier), 6) AS avg_tier, round(avg(score), 6) AS avg_weight FROM _classified GROUP BY ALL")
@@ -118,15 +169,26 @@ def training_f1(spark, d):
     return p.join(counts(spark, d, "corrected").withColumnRenamed("corrected", "label"), "label").select("label", r6(2.0 * F.col("tp") / (F.col("p") + F.col("n")), "f1"))
 
 
+@query("training_f1_overall", """
+    WITH l AS (SELECT DISTINCT predicted AS label FROM _classified UNION SELECT corrected FROM _classified),
+    f AS (SELECT label, count(*) FILTER (WHERE predicted = label) AS p, count(*) FILTER (WHERE corrected = label) AS c, count(*) FILTER (WHERE predicted = label AND corrected = label) AS tp FROM l, _classified GROUP BY 1)
+    SELECT round(sum(tp) / sum(c), 6) AS micro_f1, round(avg(2e0 * tp / (p + c)), 6) AS macro_f1, round(2e0 * (sum(c) - sum(tp)) / (sum(c) * count(*)), 6) AS hamming_loss FROM f""")
+def training_f1_overall(spark, d):
+    return T.label_metrics(log(spark, d), "predicted", "corrected").select(*(r6(c, c) for c in ("micro_f1", "macro_f1", "hamming_loss")))
+
+
 @query("retrieval_eval", """
-    WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id, predicted ORDER BY score DESC, id) AS rank FROM _classified)
-    SELECT predicted AS category, round(avg(hit), 6) AS hit_rate, round(avg(p5), 6) AS precision_at_5 FROM (SELECT user_id, predicted, max(CASE WHEN score >= 0.5 THEN 1 ELSE 0 END) AS hit, avg(CASE WHEN score >= 0.3 THEN 1e0 ELSE 0 END) AS p5 FROM r WHERE rank <= 5 GROUP BY ALL) GROUP BY 1""")
+    WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id, predicted ORDER BY score DESC, id) AS rank FROM _classified),
+    q AS (SELECT user_id, predicted AS category, max(CASE WHEN rank <= 5 AND score >= 0.5 THEN 1 ELSE 0 END) AS hit, count(*) FILTER (WHERE rank <= 5 AND score >= 0.3) / count(*) FILTER (WHERE rank <= 5) AS p,
+      CASE WHEN count(*) FILTER (WHERE score >= 0.3) = 0 THEN 1e0 ELSE count(*) FILTER (WHERE rank <= 5 AND score >= 0.3) / count(*) FILTER (WHERE score >= 0.3) END AS rc FROM r GROUP BY ALL),
+    b AS (SELECT * FROM q UNION ALL SELECT user_id, 'all', hit, p, rc FROM q)
+    SELECT category, count(*) AS queries, round(avg(hit), 6) AS hit_rate, round(avg(p), 6) AS precision, round(avg(rc), 6) AS recall FROM b GROUP BY 1""")
 def retrieval_eval(spark, d):
-    from engrammatic.operators.retrieval import top_per
+    from pyspark.sql import Window
 
-    t = top_per(log(spark, d), ["user_id", "predicted"], [F.desc("score"), F.col("id")], 5)
-    q = t.groupBy("user_id", "predicted").agg(F.max((F.col("score") >= 0.5).cast("int")).alias("hit"), F.avg((F.col("score") >= 0.3).cast("int")).alias("p5"))
-    return q.groupBy(F.col("predicted").alias("category")).agg(r6(F.avg("hit"), "hit_rate"), r6(F.avg("p5"), "precision_at_5"))
+    w = Window.partitionBy("user_id", "predicted").orderBy(F.desc("score"), "id")
+    r = log(spark, d).select(F.col("user_id").alias("query"), F.col("predicted").alias("category"), F.row_number().over(w).alias("rank"), "score")
+    return T.retrieval_quality(r).select("category", "queries", *(r6(c, c) for c in ("hit_rate", "precision", "recall")))
 
 
 for _name in ("ds_training", "ds_commands", "ds_relations", "ds_normalization"):
