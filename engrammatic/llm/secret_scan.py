@@ -48,9 +48,9 @@ RULES: tuple[tuple[str, tuple[str, ...], str], ...] = (
 _RULES = [(name, words, re.compile(p)) for name, words, p in RULES]
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 # Runs that may hold escapes: every character is looked at once, whatever follows.
-_PERCENT_RUN = re.compile(r"(?:[A-Za-z0-9_.~!*'();:@&=+$,/?#\[\]-]++|%[0-9A-Fa-f]{2})++")
+_PERCENT_RUN = re.compile(r"(?:[A-Za-z0-9_.~!*'();:@&=+$,/?#\[\]-]++|%)++")
 _ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})")
-_ESCAPE_RUN = re.compile(r"(?:[^\s\\]++|\\(?![uUx])|\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2})++")
+_ESCAPE_RUN = re.compile(r"(?:[^\s\\]++|\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|\\)++")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])")
 _WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]{16,}(?![A-Za-z0-9+/_-]))*[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]+={0,2}")
 _LINE = re.compile(r"[A-Za-z0-9+/_=-]+")
@@ -146,7 +146,7 @@ def _readable(raw: bytes) -> str | None:
 
 def _percent(layer: Layer) -> Iterator[Layer]:
     for m in _PERCENT_RUN.finditer(layer.text):
-        if "%" not in m.group():
+        if not _PERCENT.search(layer.text, m.start(), m.end()):
             continue
         out: list[str] = []
         places: list[tuple[int, int]] = []
