@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from engrammatic.registry import query
 from engrammatic.sources import chat
+from engrammatic.sources import jobs as J
 from engrammatic.streaming import events as E
 from engrammatic.tables import read, table
 
@@ -76,3 +77,25 @@ def snk_vector_upsert(spark, d):
         F.when(F.col("event_id") % 6 == 0, "").otherwise(F.concat(F.lit("s"), "k")).alias("summary"), F.concat(F.lit("text "), "event_id").alias("content"), F.concat(F.lit("e"), F.col("event_id") % 9).alias("entities"),
     )
     return E.vector_upserts(p).select("node_id", "embedded", "entities")
+
+
+_JOBS = """SELECT event_id AS job_id, CASE WHEN event_id % 11 = 0 THEN ' ' WHEN event_id % 13 = 0 THEN NULL ELSE concat('s', event_id) END AS source, CASE event_id % 5 WHEN 0 THEN 'session_json' WHEN 1 THEN 'ftp' WHEN 2 THEN '' END AS source_type,
+    CASE WHEN event_id % 2 = 0 THEN 'FILE' ELSE 'llm_chat' END AS category, CASE event_id % 7 WHEN 0 THEN 'markdown' WHEN 1 THEN 'pdf' WHEN 2 THEN 'paste' WHEN 3 THEN 'chatgpt' WHEN 4 THEN 'text_plain' ELSE 'session_json' END AS subtype, k FROM _ev"""
+_KIND = "CASE WHEN trim(source_type) <> '' THEN source_type ELSE CASE lower(category) || '/' || lower(subtype) " + " ".join(f"WHEN '{c}' THEN '{r}'" for c, r in J.BY_CATEGORY.items()) + " END END"
+
+
+@query("src_registry", f"SELECT job_id, coalesce({_KIND}, 'none') AS kind FROM ({_JOBS})")
+def src_registry(spark, d):
+    j = spark.sql(_JOBS.replace("FROM _ev", "FROM {ev}"), ev=table(spark, d, "ev"))
+    return j.select("job_id", F.coalesce(J.resolved(F.col("source_type"), F.col("category"), F.col("subtype")), F.lit("none")).alias("kind"))
+
+
+@query("src_pipeline_stages", f"""
+    WITH j AS (SELECT job_id, coalesce(trim(source) <> '', false) AS valid, {_KIND} AS kind, CASE WHEN k % 4 > 0 THEN k END AS chunks FROM ({_JOBS})),
+    r AS (SELECT *, coalesce(kind IN ('chatgpt_share', 'session_json', 'text_file', 'text_paste'), false) AS known FROM j)
+    SELECT job_id, 0 AS stage, 'validating' AS name, valid AS ok, CASE WHEN valid THEN 'ok' ELSE 'empty source' END AS detail FROM r
+    UNION ALL SELECT job_id, 1, 'extracting', known AND chunks IS NOT NULL, CASE WHEN NOT known THEN 'no reader ' || coalesce(kind, '?') WHEN chunks IS NULL THEN 'unreadable' ELSE chunks || ' chunks' END FROM r WHERE valid
+    UNION ALL SELECT job_id, CASE WHEN valid THEN 2 ELSE 1 END, CASE WHEN valid AND known AND chunks IS NOT NULL THEN 'done' ELSE 'failed' END, valid AND known AND chunks IS NOT NULL, '' FROM r""")
+def src_pipeline_stages(spark, d):
+    j = spark.sql(_JOBS.replace("FROM _ev", "FROM {ev}"), ev=table(spark, d, "ev"))
+    return J.stages(j, j.where("k % 4 > 0").select("job_id", F.col("k").alias("chunks")))
