@@ -1,8 +1,9 @@
-"""Entity resolution as a cascade of joins: name, alias, then edit distance; what is left is a new entity."""
+"""Entity resolution as a cascade of joins: what is known of a name, the name, an alias, edit distance, likeness of tokens;
+what is left is a new entity."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -36,12 +37,39 @@ def fuzzy(names: DataFrame, entities: DataFrame, least: float = 0.85) -> DataFra
     return j.withColumn("r", F.row_number().over(w)).where("r = 1").select("user_id", "name", "entity_id", "distance")
 
 
-def resolve(names: DataFrame, entities: DataFrame) -> DataFrame:
-    """(user_id, name, entity_id, method): exact, alias, fuzzy or new; a null name resolves to nothing."""
+def by_embedding(names: DataFrame, entities: DataFrame, least: float = 0.9) -> DataFrame:
+    """(user_id, name, entity_id): of a user's entities the one whose name's tokens are most alike, from ``least`` on."""
+    from engrammatic.operators import text as X
+    from engrammatic.operators import vectors as V
+
+    def dense(c: Column) -> Column:
+        sparse = F.map_from_entries(X.embedded(c))
+        return F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.coalesce(F.try_element_at(sparse, i), F.lit(0.0)))
+
+    n = names.select("user_id", "name").distinct().withColumn("node_id", F.xxhash64("user_id", "name", F.lit("name")))
+    e = entities.select("user_id", "entity_id", "name").withColumn("other_id", F.xxhash64("user_id", "entity_id", F.lit("entity")))
+    q = n.select(F.col("user_id").alias("grp"), "node_id", dense(F.col("name")).alias("embedding"))
+    d = e.select(F.col("user_id").alias("grp"), F.col("other_id").alias("node_id"), dense(F.col("name")).alias("embedding"))
+    # all that are near enough: of equally near ones the least entity_id is taken, not the least hash
+    near = V.nearest(q, d, 1 << 30, least).join(n, "node_id").join(e.select("other_id", "entity_id"), "other_id")
+    w = Window.partitionBy("node_id").orderBy(F.desc("similarity"), "entity_id")
+    return near.withColumn("r", F.row_number().over(w)).where("r = 1").select("user_id", "name", "entity_id")
+
+
+def resolve(names: DataFrame, entities: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(user_id, name, entity_id, method): known, exact, alias, fuzzy, embedding or new, the first that applies; a null name
+    resolves to nothing. known: (alias, name), what a knowledge base calls things; such a name stands for the other."""
     n = names.select("user_id", "name").where("name IS NOT NULL").distinct()
     exact = entities.groupBy("user_id", F.lower("name").alias("_n")).agg(F.min("entity_id").alias("_exact"))
     alias = entities.select("user_id", "entity_id", F.explode(F.array("alias1", "alias2")).alias("a")).groupBy("user_id", F.lower("a").alias("_n")).agg(F.min("entity_id").alias("_alias"))
     near = fuzzy(n, entities).select("user_id", "name", F.col("entity_id").alias("_fuzzy"))
-    j = n.withColumn("_n", F.lower("name")).join(exact, ["user_id", "_n"], "left").join(alias, ["user_id", "_n"], "left").join(near, ["user_id", "name"], "left")
-    method = F.when(F.col("_exact").isNotNull(), "exact").when(F.col("_alias").isNotNull(), "alias").when(F.col("_fuzzy").isNotNull(), "fuzzy").otherwise("new")
-    return j.select("user_id", "name", F.coalesce("_exact", "_alias", "_fuzzy", F.concat(F.lit("new:"), F.col("_n"))).alias("entity_id"), method.alias("method"))
+    like = by_embedding(n, entities).select("user_id", "name", F.col("entity_id").alias("_like"))
+    j = n.withColumn("_n", F.lower("name")).join(exact, ["user_id", "_n"], "left").join(alias, ["user_id", "_n"], "left").join(near, ["user_id", "name"], "left").join(like, ["user_id", "name"], "left")
+    if known is None:
+        j = j.withColumn("_known", F.lit(None).cast("string"))
+    else:
+        k = known.groupBy(F.lower("alias").alias("_n")).agg(F.lower(F.min("name")).alias("_to"))
+        j = j.join(k, "_n", "left").join(exact.select("user_id", F.col("_n").alias("_to"), F.col("_exact").alias("_known")), ["user_id", "_to"], "left")
+    levels = ("_known", "_exact", "_alias", "_fuzzy", "_like")
+    method = F.coalesce(*(F.when(F.col(c).isNotNull(), m) for c, m in zip(levels, ("known", "exact", "alias", "fuzzy", "embedding"))), F.lit("new"))
+    return j.select("user_id", "name", F.coalesce(*levels, F.concat(F.lit("new:"), F.col("_n"))).alias("entity_id"), method.alias("method"))
