@@ -91,6 +91,14 @@ def repeated(relations: DataFrame) -> DataFrame:
     return relations.join(first, KEY).where("relation_id > _first").select("relation_id")
 
 
+def added(relations: DataFrame, new: DataFrame) -> DataFrame:
+    """The relations and those of ``new`` (the same columns) whose key none of them has as a current one; of several with
+    one key the least relation_id."""
+    first = new.groupBy(*KEY).agg(F.min("relation_id").alias("relation_id"))
+    rows = new.join(first, [*KEY, "relation_id"], "left_semi").join(relations.where(_CURRENT).select(*KEY), KEY, "left_anti")
+    return relations.unionByName(rows.select(*relations.columns))
+
+
 def functional_conflicts(relations: DataFrame, functional=("works_at",)) -> DataFrame:
     """Of current relations of a predicate that takes one object, where there are several: whether each is the latest."""
     from pyspark.sql import Window

@@ -120,14 +120,23 @@ def kg_localize(spark, d):
     return R.localize(table(spark, d, "raw_relations"), names).select("relation_id", "user_id", "predicate", "object")
 
 
+#: What a maintenance run finds anew: some known triples, and some that aren't.
+_NEW = "SELECT * REPLACE (relation_id + 1000000 AS relation_id, CASE WHEN memory_id % 2 = 0 THEN concat('new', memory_id % 30) ELSE object END AS object, CAST(NULL AS BIGINT) AS effective_to) FROM _raw_relations WHERE memory_id % 5 = 0"
+
+
 @query("kg_apply_maintenance", f"""
     WITH c AS ({_CONFLICT}), p AS ({_REPEATED}), s AS (SELECT r.* REPLACE (CASE WHEN relation_id IN (SELECT relation_id FROM c) THEN coalesce(effective_to, {AS_OF}) ELSE effective_to END AS effective_to),
-      relation_id IN (SELECT relation_id FROM p) AS hit FROM _raw_relations r)
-    SELECT relation_id, user_id, predicate, object, round(CASE WHEN hit THEN least(1, confidence + 0.05) ELSE confidence END, 6) AS confidence, mentions + CAST(hit AS BIGINT) AS mentions,
-           CASE WHEN hit THEN {AS_OF} ELSE last_mentioned END AS last_mentioned, coalesce(effective_to, 0) AS effective_to FROM s""")
+      relation_id IN (SELECT relation_id FROM p) AS hit FROM _raw_relations r),
+    m AS (SELECT relation_id, user_id, subject, predicate, object, CASE WHEN hit THEN least(1, confidence + 0.05) ELSE confidence END AS confidence, mentions + CAST(hit AS BIGINT) AS mentions, CASE WHEN hit THEN {AS_OF} ELSE last_mentioned END AS last_mentioned, effective_to FROM s),
+    n AS (SELECT relation_id, user_id, subject, predicate, object, confidence, mentions, last_mentioned, effective_to FROM ({_NEW}) QUALIFY row_number() OVER (PARTITION BY user_id, subject, predicate, object ORDER BY relation_id) = 1),
+    u AS (SELECT * FROM m UNION ALL SELECT * FROM n WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.effective_to IS NULL AND m.user_id = n.user_id AND m.subject = n.subject AND m.predicate = n.predicate AND m.object = n.object))
+    SELECT relation_id, user_id, predicate, object, round(confidence, 6) AS confidence, mentions, last_mentioned, coalesce(effective_to, 0) AS effective_to FROM u""")
 def kg_apply_maintenance(spark, d):
     r = table(spark, d, "raw_relations")
-    return _out(R.reinforce(R.supersede(r, R.contradicting(r), AS_OF), R.repeated(r), AS_OF))
+    new = r.where("memory_id % 5 = 0").withColumns({
+        "relation_id": F.col("relation_id") + 1000000, "object": F.when(F.col("memory_id") % 2 == 0, F.concat(F.lit("new"), F.col("memory_id") % 30)).otherwise(F.col("object")), "effective_to": F.lit(None).cast("long"),
+    })
+    return _out(R.added(R.reinforce(R.supersede(r, R.contradicting(r), AS_OF), R.repeated(r), AS_OF), new))
 
 
 @query("edge_strength_update", f"SELECT candidate_id, round(least(1, ego_avg * exp(-1.2e-5 * (({AS_OF} - last_fired) / 1e6)) + 0.1), 6) AS strength FROM _candidates")

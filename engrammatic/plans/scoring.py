@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from engrammatic.dims import ACTIVATION_WEIGHTS, DEFINITE, HEDGES, IMPORTANCE, LABEL_IMPORTANCE, TIER_POLICIES
+from engrammatic.dims import EGO_WEIGHTS, ACTIVATION_WEIGHTS, DEFINITE, HEDGES, IMPORTANCE, LABEL_IMPORTANCE, TIER_POLICIES
 from engrammatic.operators import scoring as S
 from engrammatic.registry import query
 from engrammatic.storage import written
@@ -45,11 +45,16 @@ def ego_score(spark, d):
     return (m := mem(spark, d)).select("node_id", r6(S.ego_score(comps(m)), "score"))
 
 
-@query("ego_explain", f"""SELECT node_id, round(0.2e0 * ({_EXPL}), 6) AS explicit, round(0.2e0 * ({_REC}), 6) AS recency, round(0.12e0 * least(1, response_length / 100e0 + 0.2e0 * followups), 6) AS engagement, 9 AS n_parts FROM _memories""")
+_PARTS = {
+    "explicit": f"0.2e0 * ({_EXPL})", "recency": f"0.2e0 * ({_REC})", "frequency": "0.1e0 * least(1, frequency_7d / 10e0)", "sentiment": "0.08e0 * least(1, abs(ego - 0.5))",
+    "engagement": "0.12e0 * least(1, response_length / 100e0 + 0.2e0 * followups)", "references": "0.1e0 * least(1, refs / 5e0)", "confidence": "0.1e0 * ego", "source": "0.05e0 * 0.7e0", "novelty": "0.05e0 * coalesce(novelty, 0.5)",
+}
+
+
+@query("ego_explain", "SELECT node_id, " + ", ".join(f"round({e}, 6) AS of_{k}" for k, e in _PARTS.items()) + ", 9 AS n_parts FROM _memories")
 def ego_explain(spark, d):
     c = comps(m := mem(spark, d))
-    text = S.ego_explain(c)
-    return m.select("node_id", r6(0.2 * c["explicit"], "explicit"), r6(0.2 * c["recency"], "recency"), r6(0.12 * c["engagement"], "engagement"), F.size(F.split(text, " ")).alias("n_parts"))
+    return m.select("node_id", *(r6(EGO_WEIGHTS[k] * v, f"of_{k}") for k, v in c.items()), F.size(F.split(S.ego_explain(c), " ")).alias("n_parts"))
 
 
 def _tiers(policy):
