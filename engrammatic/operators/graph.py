@@ -35,6 +35,24 @@ def khop(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     return found.groupBy("seed", "node").agg(F.min("depth").alias("depth"))
 
 
+def edges_within(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
+    """(seed, edge_id), once each: the edges on paths of 1..hops edges from a seed, in any direction: those that touch what
+    is reached by fewer. seeds has one column, seed."""
+    near = seeds.select("seed", F.col("seed").alias("node"))
+    if hops > 1:
+        near = near.unionByName(khop(edges, seeds, hops - 1).select("seed", "node"))
+    ends = both_ways(edges.select("src", "dst", "edge_id")).select("node", "edge_id")
+    return near.distinct().join(ends, "node").select("seed", "edge_id").distinct()
+
+
+def contexts(edges: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
+    """(seed, category, n) for every seed: the category that most edges within so many hops have, of equally many the first
+    by name; 'personal' and 0 where there are none."""
+    near = edges_within(edges, seeds, hops).join(edges.select("edge_id", "category"), "edge_id").groupBy("seed", "category").agg(F.count("*").alias("n"))
+    best = near.groupBy("seed").agg(F.min(F.struct((-F.col("n")).alias("m"), "category")).alias("b"))
+    return seeds.select("seed").distinct().join(best, "seed", "left").select("seed", F.coalesce("b.category", F.lit("personal")).alias("category"), F.coalesce(-F.col("b.m"), F.lit(0)).alias("n"))
+
+
 def evolution_chains(edges: DataFrame, seeds: DataFrame, most: int = 10) -> DataFrame:
     """(seed, node, depth, path) following directed edges up to ``most`` steps, never to a node twice."""
     front = seeds.select("seed", F.col("seed").alias("node"), F.array("seed").alias("path"))

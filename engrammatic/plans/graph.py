@@ -1,5 +1,6 @@
 """Graph queries: located and working nodes around nations, chains of orders, and users with what they mention."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from engrammatic.operators import graph as G
@@ -28,39 +29,59 @@ def g_khop(spark, d):
     return G.khop(edges(spark, d), suppliers(spark, d), 2)
 
 
-@query("current_relationships", f"WITH v AS (SELECT * FROM _edges WHERE {_VALID})," + _HOP2.format(e="v") + ", t AS (SELECT h.seed, v.edge_id, v.strength FROM h JOIN v ON v.src = h.node OR v.dst = h.node UNION SELECT src, edge_id, strength FROM v WHERE relation = 'works_at') SELECT seed, edge_id, round(strength, 6) AS strength FROM t")
+def _within(seeds: str, edges: str, hops: int) -> str:
+    """SQL of edges_within(): CTE w with (seed, edge_id)."""
+    return f"""e0 AS (SELECT * FROM {edges}), b0 AS (SELECT src AS node, dst AS other, edge_id FROM e0 UNION ALL SELECT dst, src, edge_id FROM e0),
+    n0 AS (SELECT seed, seed AS node, 0 AS depth FROM ({seeds}) UNION SELECT seed, other, depth + 1 FROM n0 JOIN b0 ON b0.node = n0.node WHERE depth < {hops - 1}),
+    w AS (SELECT DISTINCT seed, edge_id FROM n0 JOIN b0 ON b0.node = n0.node)"""
+
+
+_SUPPLIERS = "SELECT DISTINCT src AS seed FROM _edges WHERE relation = 'works_at'"
+_NATIONS = "SELECT DISTINCT src AS seed FROM _edges WHERE relation = 'part_of'"
+
+
+@query("current_relationships", f"WITH RECURSIVE {_within(_SUPPLIERS, f'_edges WHERE {_VALID}', 2)} SELECT seed, w.edge_id, round(strength, 6) AS strength, row_number() OVER (PARTITION BY seed ORDER BY strength DESC, w.edge_id) AS rank FROM w JOIN e0 ON e0.edge_id = w.edge_id")
 def current_relationships(spark, d):
     e = edges(spark, d).where("is_active").where(Q.valid_at(AS_OF))
-    h = G.khop(e, suppliers(spark, d), 2).select("seed", "node").union(suppliers(spark, d).select("seed", F.col("seed").alias("node")))
-    touch = G.both_ways(e.select("src", "dst", "edge_id", "strength"))
-    return h.join(touch, "node").select("seed", "edge_id", F.round("strength", 6).alias("strength")).distinct()
+    near = G.edges_within(e, suppliers(spark, d), 2).join(e.select("edge_id", "strength"), "edge_id")
+    w = Window.partitionBy("seed").orderBy(F.desc("strength"), "edge_id")
+    return near.select("seed", "edge_id", F.round("strength", 6).alias("strength"), F.row_number().over(w).cast("long").alias("rank"))
 
 
-@query("g_entity_context", f"""
-    WITH t AS (SELECT dst AS entity, edge_id, src, strength, row_number() OVER (PARTITION BY dst ORDER BY strength DESC, edge_id) AS rank FROM _edges WHERE category = 'professional' AND {_VALID})
-    SELECT entity, edge_id, src, round(strength, 6) AS strength, rank FROM t WHERE rank <= 10""")
+@query("g_entity_context", f"""WITH RECURSIVE {_within(_SUPPLIERS, f"_edges WHERE category = 'professional' AND {_VALID}", 3)},
+    r AS (SELECT seed, w.edge_id, src, dst, strength, row_number() OVER (PARTITION BY seed ORDER BY strength DESC, w.edge_id) AS rank FROM w JOIN e0 ON e0.edge_id = w.edge_id) SELECT seed, edge_id, src, dst, round(strength, 6) AS strength, rank FROM r WHERE rank <= 10""")
 def g_entity_context(spark, d):
     e = edges(spark, d).where("category = 'professional' AND is_active").where(Q.valid_at(AS_OF))
-    return Q.top_per(e, ["dst"], [F.desc("strength"), F.col("edge_id")], 10).select(F.col("dst").alias("entity"), "edge_id", "src", F.round("strength", 6).alias("strength"), "rank")
+    near = G.edges_within(e, suppliers(spark, d), 3).join(e, "edge_id")
+    return Q.top_per(near, ["seed"], [F.desc("strength"), F.col("edge_id")], 10).select("seed", "edge_id", "src", "dst", F.round("strength", 6).alias("strength"), "rank")
 
 
-@query("g_family_members", f"SELECT dst AS user, src AS member FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY strength DESC, edge_id) AS n FROM _edges WHERE category = 'factual' AND src LIKE 'c:%' AND {_VALID}) WHERE n <= 20")
+@query("g_family_members", f"""WITH RECURSIVE {_within(_NATIONS, f"_edges WHERE category = 'factual' AND {_VALID}", 2)},
+    r AS (SELECT seed, src, dst, row_number() OVER (PARTITION BY seed ORDER BY strength DESC, w.edge_id) AS rank FROM w JOIN e0 ON e0.edge_id = w.edge_id), t AS (SELECT * FROM r WHERE rank <= 20)
+    SELECT seed AS user, src AS member FROM t WHERE src <> seed UNION SELECT seed, dst FROM t WHERE dst <> seed""")
 def g_family_members(spark, d):
-    e = edges(spark, d).where("category = 'factual' AND src LIKE 'c:%' AND is_active").where(Q.valid_at(AS_OF))
-    return Q.top_per(e, ["dst"], [F.desc("strength"), F.col("edge_id")], 20).select(F.col("dst").alias("user"), F.col("src").alias("member"))
+    """What the 20 strongest factual edges within two hops of a nation lead to."""
+    e = edges(spark, d).where("category = 'factual' AND is_active").where(Q.valid_at(AS_OF))
+    seeds = edges(spark, d).where("relation = 'part_of'").select(F.col("src").alias("seed")).distinct()
+    top = Q.top_per(G.edges_within(e, seeds, 2).join(e, "edge_id"), ["seed"], [F.desc("strength"), F.col("edge_id")], 20)
+    return top.select(F.col("seed").alias("user"), F.explode(F.array("src", "dst")).alias("member")).where("member <> user").distinct()
 
 
-@query("professional_history", "SELECT src, dst, coalesce(effective_from, 0) AS effective_from, effective_to IS NULL AS is_current FROM _edges WHERE category = 'professional'")
+@query("professional_history", f"""WITH RECURSIVE {_within(_SUPPLIERS, "_edges WHERE category = 'professional'", 2)}
+    SELECT seed, e0.src, e0.dst, coalesce(effective_from, 0) AS effective_from, effective_to IS NULL AS is_current, row_number() OVER (PARTITION BY seed ORDER BY coalesce(effective_from, 0) DESC, w.edge_id) AS rank FROM w JOIN e0 ON e0.edge_id = w.edge_id""")
 def professional_history(spark, d):
-    return edges(spark, d).where("category = 'professional'").select("src", "dst", F.coalesce("effective_from", F.lit(0)).alias("effective_from"), F.col("effective_to").isNull().alias("is_current"))
+    e = edges(spark, d).where("category = 'professional'").withColumn("effective_from", F.coalesce("effective_from", F.lit(0)))
+    near = G.edges_within(e, suppliers(spark, d), 2).join(e, "edge_id")
+    w = Window.partitionBy("seed").orderBy(F.desc("effective_from"), "edge_id")
+    return near.select("seed", "src", "dst", "effective_from", F.col("effective_to").isNull().alias("is_current"), F.row_number().over(w).cast("long").alias("rank"))
 
 
-@query("g_contexts_of_entity", """
-    WITH c AS (SELECT node, category, count(*) AS n FROM (SELECT src AS node, category FROM _edges UNION ALL SELECT dst, category FROM _edges) GROUP BY ALL)
-    SELECT node, category, n FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY n DESC, category) AS r FROM c) WHERE r = 1""")
+@query("g_contexts_of_entity", f"""WITH RECURSIVE {_within(f"({_SUPPLIERS}) UNION ALL ({_NATIONS}) UNION ALL SELECT 'nobody'", "_edges", 2)},
+    c AS (SELECT seed, category, count(*) AS n FROM w JOIN e0 ON e0.edge_id = w.edge_id GROUP BY ALL), t AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY seed ORDER BY n DESC, category) = 1)
+    SELECT s.seed, coalesce(category, 'personal') AS category, coalesce(n, 0) AS n FROM (({_SUPPLIERS}) UNION ALL ({_NATIONS}) UNION ALL SELECT 'nobody') s LEFT JOIN t ON t.seed = s.seed""")
 def g_contexts_of_entity(spark, d):
-    c = G.both_ways(edges(spark, d).select("src", "dst", "category")).groupBy("node", "category").agg(F.count("*").alias("n"))
-    return Q.top_per(c, ["node"], [F.desc("n"), F.col("category")], 1).select("node", "category", "n")
+    nations = edges(spark, d).where("relation = 'part_of'").select(F.col("src").alias("seed")).distinct()
+    return G.contexts(edges(spark, d), suppliers(spark, d).union(nations).union(spark.createDataFrame([("nobody",)], "seed string")))
 
 
 @query("g_evolution_chain", """
