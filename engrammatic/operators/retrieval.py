@@ -90,3 +90,13 @@ def hits_with_memories(hits: DataFrame, memories: DataFrame, tags: DataFrame) ->
     """
     found = hits.join(memories, ["node_id", "user_id"]).join(tags, "node_id", "left").withColumn("entities", F.coalesce("entities", F.lit("")))
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("score"), "node_id")).cast("long"))
+
+
+def contradictions(edges: DataFrame, memories: DataFrame, least: float = 0.5, resolved_by: str | None = "pending") -> DataFrame:
+    """Active contradictions (src, dst, strength, resolved_by) of at least this strength, of one state of resolution if that
+    is given, with the tier and text of both ends; an end that is gone gives nulls."""
+    e = edges.where("is_active").where(F.col("strength") >= least)
+    if resolved_by is not None:
+        e = e.where(F.col("resolved_by") == resolved_by)
+    end = lambda c: memories.select(F.col("node_id").alias(c), F.col("tier").alias(f"{c}_tier"), F.col("content").alias(f"{c}_content"))
+    return e.join(end("src"), "src", "left").join(end("dst"), "dst", "left")

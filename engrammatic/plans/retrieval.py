@@ -38,16 +38,12 @@ def memories_for_entities(spark, d):
 
 
 @query("contradictions", """
-    SELECT a.relation_id AS old_id, b.relation_id AS new_id, a.user_id, a.object, x.tier AS old_tier, y.tier AS new_tier
-    FROM _raw_relations a JOIN _raw_relations b ON a.user_id = b.user_id AND a.object = b.object AND a.predicate = 'likes' AND b.predicate = 'dislikes' AND b.created_at > a.created_at
-    LEFT JOIN _memories x ON x.node_id = a.memory_id LEFT JOIN _memories y ON y.node_id = b.memory_id WHERE b.confidence >= 0.5 AND b.effective_to IS NULL""")
+    SELECT src, dst, round(strength, 6) AS strength, coalesce(x.tier, 0) AS src_tier, coalesce(x.content, '') AS src_content, coalesce(y.tier, 0) AS dst_tier, coalesce(y.content, '') AS dst_content
+    FROM _contradicts LEFT JOIN _memories x ON x.node_id = src LEFT JOIN _memories y ON y.node_id = dst WHERE is_active AND strength >= 0.5 AND resolved_by = 'pending'""")
 def contradictions(spark, d):
-    r, m = t(spark, d, "raw_relations", "memories")
-    a = r.where("predicate = 'likes'").select("user_id", "object", F.col("relation_id").alias("old_id"), F.col("memory_id").alias("om"), F.col("created_at").alias("oc"))
-    b = r.where("predicate = 'dislikes' AND confidence >= 0.5 AND effective_to IS NULL").select("user_id", "object", F.col("relation_id").alias("new_id"), F.col("memory_id").alias("nm"), F.col("created_at").alias("nc"))
-    j = a.join(b, ["user_id", "object"]).where("nc > oc")
-    j = j.join(m.select(F.col("node_id").alias("om"), F.col("tier").alias("old_tier")), "om", "left").join(m.select(F.col("node_id").alias("nm"), F.col("tier").alias("new_tier")), "nm", "left")
-    return j.select("old_id", "new_id", "user_id", "object", "old_tier", "new_tier")
+    c = Q.contradictions(*t(spark, d, "contradicts", "memories"))
+    shown = [F.coalesce(f"{e}_tier", F.lit(0)).alias(f"{e}_tier") for e in ("src", "dst")] + [F.coalesce(f"{e}_content", F.lit("")).alias(f"{e}_content") for e in ("src", "dst")]
+    return c.select("src", "dst", F.round("strength", 6).alias("strength"), *shown)
 
 
 _WORDS = " + ".join(f"CAST(contains(lower(content), '{w}') AS BIGINT)" for w in "item3 love visit place sister".split())

@@ -76,6 +76,12 @@ _SPEC: dict[str, tuple[str, str, str]] = {
             concat(subject, '|', predicate, '|', object) AS candidate_id, CASE min(memory_id) % 7 WHEN 0 THEN 'promoted' WHEN 1 THEN 'expired' ELSE 'candidate' END AS status""",
         "GROUP BY user_id, subject, predicate, object",
     ),
+    "_contradicts": (
+        "_mentions",
+        """memory_id AS src, memory_id * 7 % 13000 AS dst, confidence AS strength, memory_id % 5 <> 0 AS is_active,
+            CASE memory_id % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'user' END AS resolved_by""",
+        "WHERE predicate IN ('likes', 'dislikes')",
+    ),
     "_vectors": ("embeddings", f"vec_id AS node_id, CAST(label AS BIGINT) AS user_id, embedding, {AS_OF} - (vec_id * 37 % 900) * {DAY} AS observed_at", ""),
     "_located": (
         "",
