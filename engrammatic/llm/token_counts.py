@@ -3,8 +3,8 @@
 The first tier is a compact table of how many tokens the corpus's frequent pieces have (a piece: a word with the space
 before it and what clings to it, see _pieces), broadcast with the tasks. Its pieces are found in a first pass in which
 every task counts the pieces of all its texts and hands on one row: a summary of its heaviest few thousand. Summaries
-are merged to ever fewer of the same size; the tasks that make them are as many as run at once, whatever the size of
-the input. What the table doesn't have is encoded once and kept in the worker's cache, the second tier. No row of a
+are merged to ever fewer of the same size; the tasks that make them are about as many as run at once (or as shuffles
+have), whatever the size of the input. What the table doesn't have is encoded once and kept in the worker's cache, the second tier. No row of a
 shuffle is a piece; counts are exact whatever either tier holds.
 """
 
@@ -75,7 +75,8 @@ def merged(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBa
 def frequent_pieces(docs: DataFrame, table: int = TABLE, task_table: int = TASK_TABLE, least: int = LEAST) -> list[str]:
     """The pieces for the first tier, at most ``table``, from counts over all texts."""
     plain = docs.select(F.col("text").cast("string").alias("text")).where("text is not null")
-    n = max(MERGED, 2 * docs.sparkSession.sparkContext.defaultParallelism)
+    spark = docs.sparkSession
+    n = max(MERGED, 2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = plain.coalesce(n).mapInArrow(lambda it: heavy_rows(it, task_table, least), _SUMMARY)  # no shuffle: a task reads several parts
     most = max(table, task_table)
     while n > MERGED:
