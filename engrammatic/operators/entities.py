@@ -3,7 +3,7 @@ what is left is a new entity."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -38,22 +38,15 @@ def fuzzy(names: DataFrame, entities: DataFrame, least: float = 0.85) -> DataFra
 
 
 def by_embedding(names: DataFrame, entities: DataFrame, least: float = 0.9) -> DataFrame:
-    """(user_id, name, entity_id): of a user's entities the one whose name's tokens are most alike, from ``least`` on."""
-    from engrammatic.operators import text as X
-    from engrammatic.operators import vectors as V
+    """(user_id, name, entity_id): of a user's entities the one whose name's tokens are most alike, from ``least`` on, of
+    equally near ones the least entity_id. Sparse vectors meet in an equi-join on user and place."""
+    from engrammatic.operators.text import embedded
 
-    def dense(c: Column) -> Column:
-        sparse = F.map_from_entries(X.embedded(c))
-        return F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.coalesce(F.try_element_at(sparse, i), F.lit(0.0)))
-
-    n = names.select("user_id", "name").distinct().withColumn("node_id", F.xxhash64("user_id", "name", F.lit("name")))
-    e = entities.select("user_id", "entity_id", "name").withColumn("other_id", F.xxhash64("user_id", "entity_id", F.lit("entity")))
-    q = n.select(F.col("user_id").alias("grp"), "node_id", dense(F.col("name")).alias("embedding"))
-    d = e.select(F.col("user_id").alias("grp"), F.col("other_id").alias("node_id"), dense(F.col("name")).alias("embedding"))
-    # all that are near enough: of equally near ones the least entity_id is taken, not the least hash
-    near = V.nearest(q, d, 1 << 30, least).join(n, "node_id").join(e.select("other_id", "entity_id"), "other_id")
-    w = Window.partitionBy("node_id").orderBy(F.desc("similarity"), "entity_id")
-    return near.withColumn("r", F.row_number().over(w)).where("r = 1").select("user_id", "name", "entity_id")
+    sparse = lambda df, c: df.select("user_id", c, F.explode(embedded(F.col("name"))).alias("v")).select("user_id", c, F.col("v.place").alias("place"), F.col("v.value").alias(f"{c}_value"))
+    q, d = sparse(names.select("user_id", "name").distinct(), "name"), sparse(entities, "entity_id")
+    s = q.join(d, ["user_id", "place"]).groupBy("user_id", "name", "entity_id").agg(F.round(F.sum(F.col("name_value") * F.col("entity_id_value")), 9).alias("similarity")).where(F.col("similarity") >= least)
+    w = Window.partitionBy("user_id", "name").orderBy(F.desc("similarity"), "entity_id")
+    return s.withColumn("r", F.row_number().over(w)).where("r = 1").select("user_id", "name", "entity_id")
 
 
 def resolve(names: DataFrame, entities: DataFrame, known: DataFrame | None = None) -> DataFrame:
