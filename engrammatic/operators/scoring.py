@@ -21,6 +21,11 @@ def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
 
 
+def rounded(x: Column, places: int) -> Column:
+    """A double times 10^places, halves away from zero, and back, as DuckDB rounds; F.round goes by the decimal spelling, in which 0.575 is a half."""
+    return F.signum(x) * F.round(F.abs(x) * 10.0**places) / 10.0**places
+
+
 def total(parts) -> Column:
     return reduce(lambda a, b: a + b, parts)
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from engrammatic import dims as D
 from engrammatic.operators import text as X
+from engrammatic.operators.scoring import rounded
 from engrammatic.registry import query
 from engrammatic.tables import read, table
 
@@ -235,7 +236,7 @@ def is_a_filter(spark, d):
 @query("relation_context_format", "SELECT user_id, string_agg(printf('  - %s %s %s (confidence: %.2f)', subject, replace(predicate, '_', ' '), object, round(confidence, 2)), chr(10) ORDER BY relation_id) AS context FROM _raw_relations GROUP BY 1")
 def relation_context_format(spark, d):
     r = table(spark, d, "raw_relations")
-    line = F.format_string("  - %s %s %s (confidence: %.2f)", "subject", F.translate("predicate", "_", " "), "object", F.round("confidence", 2))
+    line = F.format_string("  - %s %s %s (confidence: %.2f)", "subject", F.translate("predicate", "_", " "), "object", rounded(F.col("confidence"), 2))
     g = r.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("relation_id", line.alias("line")))).alias("l"))
     return g.select("user_id", F.array_join(F.col("l.line"), "\n").alias("context"))
 

@@ -35,3 +35,21 @@ def test_query(spark, duck, name):
     cols = sorted(got.columns)
     want = duck.execute(f"SELECT {', '.join(f'"{c}"' for c in cols)} FROM ({S[name]})").fetchall()
     assert normal(got.select(*cols).collect()) == normal(want)
+
+
+def on_events(spark, duck, folder, name, rows):
+    """The rows of a query on its own events (value, event_type), in Spark and in DuckDB."""
+    e = "SELECT i AS event_id, TIMESTAMP '2024-01-01 00:00:00' AS ts, CAST(7 AS BIGINT) AS user_id, v AS value, t AS event_type, '{\"k\": 1}' AS props FROM e"
+    c = duck.cursor()
+    c.execute("CREATE TEMP TABLE e (i BIGINT, v DOUBLE, t VARCHAR)")
+    c.executemany("INSERT INTO e VALUES (?, ?, ?)", [(i, *r) for i, r in enumerate(rows)])
+    c.execute(f"COPY ({e}) TO '{folder}/events.parquet'")
+    c.execute(f"CREATE TEMP VIEW events AS FROM '{folder}/events.parquet'")
+    got = Q[name](spark, str(folder))
+    return sorted(map(tuple, got.collect())), sorted(c.execute(f"SELECT {', '.join(got.columns)} FROM ({S[name]})").fetchall())
+
+
+def test_confidences_round_as_in_sql(spark, duck, tmp_path):
+    rows = [(v, "click") for v in (56.5, 57.5, -14.5, -0.3, 0.5, 99.5, 500.0, None, *(k + 0.5 for k in range(100)))]
+    got, want = on_events(spark, duck, tmp_path, "relation_context_format", rows)
+    assert got == want and [x.split()[-1] for x in got[0][1].split("\n")[:4]] == ["0.56)", "0.57)", "-0.14)", "-0.00)"]
