@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from engrammatic.dims import CATEGORY_OF, COMMANDS
 from engrammatic.operators import statistics as T
+from engrammatic.operators.scoring import rounded
 from engrammatic.registry import query
 from engrammatic.tables import AS_OF, DAY, read, table
 
@@ -209,8 +210,8 @@ def label_store_usage(spark, d):
 def snk_training_export(spark, d):
     """One JSON line for each example that is sure enough: text, labels, and of each label the score (0 where none is known)."""
     c = log(spark, d).where("1 - score >= 0.7")
-    two = F.col("corrected") != F.col("predicted")
-    labels = F.when(two, F.array("corrected", "predicted")).otherwise(F.array("predicted"))
-    scores = F.create_map("predicted", F.round(1 - F.col("score"), 2))
-    line = F.to_json(F.struct(F.concat(F.lit("event "), "id").alias("text"), labels.alias("labels"), F.transform(labels, lambda x: F.coalesce(F.try_element_at(scores, x), F.lit(0.0))).alias("label_scores")))
+    same, score = F.col("corrected") == F.col("predicted"), rounded(1 - F.col("score"), 2)
+    labels = F.when(same, F.array("predicted")).otherwise(F.array("corrected", "predicted"))
+    scores = F.when(same, F.array(score)).otherwise(F.array(F.lit(0.0), score))
+    line = F.to_json(F.struct(F.concat_ws("", F.lit("event "), "id").alias("text"), labels.alias("labels"), scores.alias("label_scores")))
     return c.select("id", line.alias("line"))

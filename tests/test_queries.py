@@ -1,5 +1,6 @@
 """Every query outside the training-data subpackage against its SQL in DuckDB, on the smallest tables."""
 
+import json
 import math
 import os
 
@@ -53,3 +54,15 @@ def test_confidences_round_as_in_sql(spark, duck, tmp_path):
     rows = [(v, "click") for v in (56.5, 57.5, -14.5, -0.3, 0.5, 99.5, 500.0, None, *(k + 0.5 for k in range(100)))]
     got, want = on_events(spark, duck, tmp_path, "relation_context_format", rows)
     assert got == want and [x.split()[-1] for x in got[0][1].split("\n")[:4]] == ["0.56)", "0.57)", "-0.14)", "-0.00)"]
+
+
+def test_exported_scores_round_as_in_sql(spark, duck, tmp_path):
+    rows = [(95.55, "click"), (95.55, "click"), *((490 * (k / 500 + 0.001), "click") for k in range(150))]
+    got, want = on_events(spark, duck, tmp_path, "snk_training_export", rows)
+    assert got == want and [json.loads(x)["label_scores"] for _, x in got[:2]] == [[0.0, 0.81], [0.81]]
+
+
+def test_exported_labels_may_be_null(spark, duck, tmp_path):
+    rows = [(3.0, None), (3.0, None), (3.0, 'a "b" \\ /ü'), (None, "view")]
+    got, want = on_events(spark, duck, tmp_path, "snk_training_export", rows)
+    assert got == want and [json.loads(x)["labels"] for _, x in got[:2]] == [["view", None], [None, None]]
