@@ -63,7 +63,8 @@ def g_family_members(spark, d):
     """What the 20 strongest factual edges within two hops of a nation lead to."""
     e = edges(spark, d).where("category = 'factual' AND is_active").where(Q.valid_at(AS_OF))
     seeds = edges(spark, d).where("relation = 'part_of'").select(F.col("src").alias("seed")).distinct()
-    top = Q.top_per(G.edges_within(e, seeds, 2).join(e, "edge_id"), ["seed"], [F.desc("strength"), F.col("edge_id")], 20)
+    of, around = G.edges_around(e, seeds, 2)
+    top = Q.top_per(around.join(e, "edge_id"), ["grp"], [F.desc("strength"), F.col("edge_id")], 20).join(of, "grp")
     return top.select(F.col("seed").alias("user"), F.explode(F.array("src", "dst")).alias("member")).where("member <> user").distinct()
 
 

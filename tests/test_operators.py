@@ -2,6 +2,8 @@
 
 import json
 import math
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -237,3 +239,30 @@ def test_items_in_batches_of_a_size(spark):
     e = spark.createDataFrame([(i % 3 == 0, i) for i in range(1000)], "user boolean, item_id long").select(F.col("user").cast("int").alias("user_id"), "item_id")
     got = state.batches_of(e, 50).collect()
     assert sorted(i for r in got for i in r["items"]) == list(range(1000)) and max(len(r["items"]) for r in got) < 100
+
+
+def test_edges_around_groups_of_seeds_are_those_around_each(spark, monkeypatch):
+    """Shared and own groups, loops, repeated and antiparallel edges, and seeds without edges, against sets."""
+    monkeypatch.setattr(graph, "FEW", 2)
+    monkeypatch.setattr(graph, "PIECE", 3)
+    rnd = random.Random(3)
+    pairs = [(f"s{i}", f"h{i % 3}") for i in range(12)] + [(f"h{i}", "top") for i in range(3)] + [("s0", "s0"), ("h1", "s1"), ("s2", "h1"), ("s2", "h0")] + [(f"v{rnd.randrange(9)}", f"v{rnd.randrange(9)}") for _ in range(14)]
+    rows = [(a, b, f"{a}>{b}", "x" if k % 3 else "y") for k, (a, b) in enumerate(dict.fromkeys(pairs))]
+    e = spark.createDataFrame(rows, "src string, dst string, edge_id string, category string")
+    seeds = [f"s{i}" for i in range(12)] + ["h0", "h1", "top", "v0", "v1", "nobody"]
+    df = spark.createDataFrame([(s,) for s in seeds], "seed string")
+    for hops in (1, 2, 3):
+        want = set()
+        for s in seeds:
+            near = {s}
+            for _ in range(hops - 1):
+                near |= {b for r in rows for a, b in (r[:2], r[1::-1]) if a in near}
+            want |= {(s, r[2]) for r in rows if near & {*r[:2]}}
+        got = [tuple(r) for r in graph.edges_within(e, df, hops).select("seed", "edge_id").collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+        kinds = {s: Counter(r[3] for r in rows if (s, r[2]) in want) for s in seeds}
+        best = {s: min(((-n, c) for c, n in kinds[s].items()), default=(0, "personal")) for s in seeds}
+        assert {(r.seed, -r.n, r.category) for r in graph.contexts(e, df, hops).collect()} == {(s, *best[s]) for s in seeds}
+    of, around = graph.edges_around(e, df, 2)
+    groups = {r.seed: r.grp for r in of.collect()}
+    assert groups["s4"] == groups["s7"] == "s1" and groups["h0"] == "h0" and around.count() < len(graph.edges_within(e, df, 2).collect())
