@@ -266,3 +266,22 @@ def test_edges_around_groups_of_seeds_are_those_around_each(spark, monkeypatch):
     of, around = graph.edges_around(e, df, 2)
     groups = {r.seed: r.grp for r in of.collect()}
     assert groups["s4"] == groups["s7"] == "s1" and groups["h0"] == "h0" and around.count() < len(graph.edges_within(e, df, 2).collect())
+
+
+def test_khop_by_groups_of_seeds_walks_no_edge_twice(spark, monkeypatch):
+    monkeypatch.setattr(graph, "FEW", 1)
+    monkeypatch.setattr(graph, "PIECE", 2)
+    rows = [("a", "h"), ("b", "h"), ("h", "b"), ("c", "h"), ("c", "c"), ("h", "top"), ("d", "h"), ("d", "top"), ("top", "x"), ("e", "f")]
+    e = spark.createDataFrame([(s, d, f"{s}>{d}") for s, d in rows], "src string, dst string, edge_id string")
+    seeds = ["a", "b", "c", "d", "e", "h", "nobody"]
+    ends = [(a, b, i) for i, r in enumerate(rows) for a, b in (r, r[::-1])]
+    for hops in (1, 2):
+        want = {}
+        for s in seeds:
+            paths = [(s, ())]
+            for depth in range(1, hops + 1):
+                paths = [(b, (*used, i)) for n, used in paths for a, b, i in ends if a == n and i not in used]
+                for n, _ in paths:
+                    want.setdefault((s, n), depth)
+        got = graph.khop(e, spark.createDataFrame([(s,) for s in seeds], "seed string"), hops).collect()
+        assert len(got) == len(want) and {(r.seed, r.node): r.depth for r in got} == want
