@@ -43,9 +43,10 @@ _NATIONS = "SELECT DISTINCT src AS seed FROM _edges WHERE relation = 'part_of'"
 @query("current_relationships", f"WITH RECURSIVE {_within(_SUPPLIERS, f'_edges WHERE {_VALID}', 2)} SELECT seed, w.edge_id, round(strength, 6) AS strength, row_number() OVER (PARTITION BY seed ORDER BY strength DESC, w.edge_id) AS rank FROM w JOIN e0 ON e0.edge_id = w.edge_id")
 def current_relationships(spark, d):
     e = edges(spark, d).where("is_active").where(Q.valid_at(AS_OF))
-    near = G.edges_within(e, suppliers(spark, d), 2).join(e.select("edge_id", "strength"), "edge_id")
-    w = Window.partitionBy("seed").orderBy(F.desc("strength"), "edge_id")
-    return near.select("seed", "edge_id", F.round("strength", 6).alias("strength"), F.row_number().over(w).cast("long").alias("rank"))
+    of, around = G.edges_around(e, suppliers(spark, d), 2)
+    w = Window.partitionBy("grp").orderBy(F.desc("strength"), "edge_id")
+    ranked = around.join(e.select("edge_id", "strength"), "edge_id").select("grp", "edge_id", F.round("strength", 6).alias("strength"), F.row_number().over(w).cast("long").alias("rank"))
+    return G.spread(of, ranked)
 
 
 @query("g_entity_context", f"""WITH RECURSIVE {_within(_SUPPLIERS, f"_edges WHERE category = 'professional' AND {_VALID}", 3)},

@@ -66,3 +66,10 @@ def test_exported_labels_may_be_null(spark, duck, tmp_path):
     rows = [(3.0, None), (3.0, None), (3.0, 'a "b" \\ /ü'), (None, "view")]
     got, want = on_events(spark, duck, tmp_path, "snk_training_export", rows)
     assert got == want and [json.loads(x)["labels"] for _, x in got[:2]] == [["view", None], [None, None]]
+
+
+@pytest.mark.parametrize("name", ["current_relationships"])
+def test_ranks_are_given_by_group_of_seeds(spark, name):
+    """What the seeds' lists are joined to is ranked already; nothing is sorted or grouped for each seed."""
+    plan = Q[name](spark, D)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" in plan and "Window" not in plan and "Aggregate [seed" not in plan
