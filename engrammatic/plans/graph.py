@@ -53,8 +53,9 @@ def current_relationships(spark, d):
     r AS (SELECT seed, w.edge_id, src, dst, strength, row_number() OVER (PARTITION BY seed ORDER BY strength DESC, w.edge_id) AS rank FROM w JOIN e0 ON e0.edge_id = w.edge_id) SELECT seed, edge_id, src, dst, round(strength, 6) AS strength, rank FROM r WHERE rank <= 10""")
 def g_entity_context(spark, d):
     e = edges(spark, d).where("category = 'professional' AND is_active").where(Q.valid_at(AS_OF))
-    near = G.edges_within(e, suppliers(spark, d), 3).join(e, "edge_id")
-    return Q.top_per(near, ["seed"], [F.desc("strength"), F.col("edge_id")], 10).select("seed", "edge_id", "src", "dst", F.round("strength", 6).alias("strength"), "rank")
+    of, around = G.edges_around(e, suppliers(spark, d), 3)
+    top = Q.top_per(around.join(e, "edge_id"), ["grp"], [F.desc("strength"), F.col("edge_id")], 10)
+    return G.spread(of, top.select("grp", "edge_id", "src", "dst", F.round("strength", 6).alias("strength"), "rank"))
 
 
 @query("g_family_members", f"""WITH RECURSIVE {_within(_NATIONS, f"_edges WHERE category = 'factual' AND {_VALID}", 2)},
