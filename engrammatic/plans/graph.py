@@ -74,9 +74,9 @@ def g_family_members(spark, d):
     SELECT seed, e0.src, e0.dst, coalesce(effective_from, 0) AS effective_from, effective_to IS NULL AS is_current, row_number() OVER (PARTITION BY seed ORDER BY coalesce(effective_from, 0) DESC, w.edge_id) AS rank FROM w JOIN e0 ON e0.edge_id = w.edge_id""")
 def professional_history(spark, d):
     e = edges(spark, d).where("category = 'professional'").withColumn("effective_from", F.coalesce("effective_from", F.lit(0)))
-    near = G.edges_within(e, suppliers(spark, d), 2).join(e, "edge_id")
-    w = Window.partitionBy("seed").orderBy(F.desc("effective_from"), "edge_id")
-    return near.select("seed", "src", "dst", "effective_from", F.col("effective_to").isNull().alias("is_current"), F.row_number().over(w).cast("long").alias("rank"))
+    of, around = G.edges_around(e, suppliers(spark, d), 2)
+    w = Window.partitionBy("grp").orderBy(F.desc("effective_from"), "edge_id")
+    return G.spread(of, around.join(e, "edge_id").select("grp", "src", "dst", "effective_from", F.col("effective_to").isNull().alias("is_current"), F.row_number().over(w).cast("long").alias("rank")))
 
 
 @query("g_contexts_of_entity", f"""WITH RECURSIVE {_within(f"({_SUPPLIERS}) UNION ALL ({_NATIONS}) UNION ALL SELECT 'nobody'", "_edges", 2)},

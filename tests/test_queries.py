@@ -68,7 +68,7 @@ def test_exported_labels_may_be_null(spark, duck, tmp_path):
     assert got == want and [json.loads(x)["labels"] for _, x in got[:2]] == [["view", None], [None, None]]
 
 
-@pytest.mark.parametrize("name", ["current_relationships", "g_entity_context"])
+@pytest.mark.parametrize("name", ["current_relationships", "g_entity_context", "professional_history"])
 def test_ranks_are_given_by_group_of_seeds(spark, name):
     """What the seeds' lists are joined to is ranked already; nothing is sorted or grouped for each seed."""
     plan = Q[name](spark, D)._jdf.queryExecution().optimizedPlan().toString()
