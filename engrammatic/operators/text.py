@@ -233,7 +233,16 @@ def embedded(text: Column, bits: int = 8) -> Column:
     """A text as a sparse vector of 2 ** bits places, array<struct<place, value>> by place: its tokens are counted at the
     place that the beginning of their MD5 names, and the counts divided by their length. Empty without tokens."""
     place = lambda t: F.conv(F.substring(F.md5(t), 1, -(-bits // 4)), 16, 10).cast("int").bitwiseAND(2**bits - 1)
-    places = F.transform(tokens(text), place)
-    counts = F.transform(F.array_sort(F.array_distinct(places)), lambda p: F.struct(p.alias("place"), F.size(F.filter(places, lambda q: q == p)).cast("double").alias("n")))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, c: s + c["n"] * c["n"]))
-    return F.transform(counts, lambda c: F.struct(c["place"].alias("place"), (c["n"] / norm).alias("value")))
+    let = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))  # noqa: E731  x is worked out once, else at each use
+
+    def runs(p: Column) -> Column:
+        """Of sorted places: where each one ends, and how many there are."""
+        ends = F.filter(F.sequence(F.lit(1), F.size(p)), lambda i: (i == F.size(p)) | (F.get(p, i) != F.get(p, i - 1)))
+        return let(ends, lambda e: F.transform(e, lambda i, k: F.struct(F.get(p, i - 1).alias("place"), (i - F.coalesce(F.get(e, k - 1), F.lit(0))).cast("double").alias("n"))))
+
+    def scaled(counts: Column) -> Column:
+        norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, c: s + c["n"] * c["n"]))
+        return let(norm, lambda n: F.transform(counts, lambda c: F.struct(c["place"].alias("place"), (c["n"] / n).alias("value"))))
+
+    none = F.array().cast("array<struct<place:int,value:double>>")
+    return let(F.array_sort(F.transform(tokens(text), place)), lambda p: F.when(F.size(p) == 0, none).otherwise(let(runs(p), scaled)))

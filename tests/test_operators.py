@@ -1,5 +1,6 @@
 """Worked examples with numbers that follow from the formulas."""
 
+import hashlib
 import json
 import math
 import random
@@ -285,3 +286,13 @@ def test_khop_by_groups_of_seeds_walks_no_edge_twice(spark, monkeypatch):
                     want.setdefault((s, n), depth)
         got = graph.khop(e, spark.createDataFrame([(s,) for s in seeds], "seed string"), hops).collect()
         assert len(got) == len(want) and {(r.seed, r.node): r.depth for r in got} == want
+
+
+def test_long_texts_are_embedded_in_one_pass(spark):
+    words = [f"w{i % 700}" for i in range(5000)]
+    df = spark.createDataFrame([(0, " ".join(words)), (1, None), (2, " ! "), (3, "one")], "id long, t string")
+    got = {r.id: {p.place: p.value for p in r.v} for r in df.select("id", text.embedded(F.col("t")).alias("v")).collect()}
+    n = Counter(int(hashlib.md5(w.encode()).hexdigest()[:2], 16) for w in words)
+    length = math.sqrt(sum(x * x for x in n.values()))
+    assert got[0] == pytest.approx({p: x / length for p, x in n.items()}) and list(got[0]) == sorted(n)
+    assert got[1] == got[2] == {} and [*got[3].values()] == [1.0]
