@@ -1,119 +1,124 @@
-"""Relations from parsed sentences: every pattern is a join of a token table with itself on the head.
+"""Relations from parsed sentences: every pattern looks within one sentence, whose tokens are gathered in one row.
 
 tokens: (doc_id, sent, i, text, lemma, pos, dep, head, ent), i counting within the document and a root being its own
-head. What a parser makes is such a table; the operators don't care which one. All joins are on (doc_id, sent, place),
-so tokens are shuffled by sentence; loops run as often as the deepest tree has levels.
+head. What a parser makes is such a table; the operators don't care which one. Tokens are shuffled once, by sentence.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engrammatic import dims as D
 from engrammatic.operators.text import text_map
-from engrammatic.storage import drop_written, written
 
 AT = ["doc_id", "sent"]
 OBJECTS, SUBJECTS, CLAUSES = ("dobj", "obj"), ("nsubj", "nsubjpass"), ("ccomp", "xcomp", "advcl")
 
 
-def children(tokens: DataFrame, deps: tuple[str, ...], name: str, first: bool = True) -> DataFrame:
-    """(doc_id, sent, head, name): each head's children with these labels, or the first of them."""
-    c = tokens.where(F.col("dep").isin(*deps) & (F.col("i") != F.col("head"))).select(*AT, "head", F.col("i").alias(name))
-    return c.groupBy(*AT, "head").agg(F.min(name).alias(name)) if first else c
-
-
-def closure(tokens: DataFrame, step: DataFrame) -> DataFrame:
-    """(doc_id, sent, i, top): each token with itself and all that it reaches by steps (doc_id, sent, i, head)."""
-    front = written(tokens.select(*AT, "i", F.col("i").alias("top")))
-    found, used = front, [front]
-    while not front.isEmpty():
-        front = written(front.join(step.select(*AT, F.col("i").alias("top"), F.col("head").alias("up")), [*AT, "top"]).select(*AT, "i", F.col("up").alias("top")))
-        used.append(front)
-        found = found.unionAll(front)
-    out = written(found)
-    drop_written(*used)
+_TOKEN = "i text low lemma pos dep head".split()
+_FOUND = "array<struct<pattern:string,span:string,own:string,before:string,lemma:string,object:string,owned:boolean,depth:int,passive:boolean,negated:boolean,modality:string>>"
+
+
+def patterns(tokens: list) -> list[tuple]:
+    """What the eight patterns find in a sentence, as _FOUND has it. tokens: tuples of _TOKEN, low and lemma in lower case."""
+    tokens = [dict(zip(_TOKEN, t)) for t in tokens]
+    at, below = defaultdict(list), defaultdict(list)
+    for t in tokens:
+        if t["i"] is not None:
+            at[t["i"]].append(t)
+            if t["head"] is not None and t["i"] != t["head"]:
+                below[t["head"]].append(t)
+
+    def children(head, *deps):
+        return sorted(t["i"] for t in below.get(head, ()) if t["dep"] in deps)
+
+    def one(head, *deps):
+        return children(head, *deps)[:1]
+
+    def climbed(step) -> list[tuple]:
+        """(place, top): each token with itself and all that it reaches by steps; a cycle ends."""
+        out = []
+        for i, same in at.items():
+            front, n = [i] * len(same), 0
+            while front and n <= len(tokens):
+                out += [(i, top) for top in front]
+                front, n = [t["head"] for top in front for t in at.get(top, ()) if t["head"] is not None and step(t)], n + 1
+        return out
+
+    found = []  # (pattern, subject, predicate, object, lemma, depth, passive)
+    svo = []
+    verbs = [t for t in tokens if t["pos"] == "VERB" and t["i"] is not None]
+    for v in verbs:
+        i = v["i"]
+        for s in one(i, "nsubj"):
+            svo += [(s, i, o, v["lemma"]) for o in one(i, *OBJECTS)]
+            for p in children(i, "prep"):
+                found += [("nsubj_verb_prep_pobj", s, i, o, "_".join(x for x in (v["lemma"], w["low"]) if x is not None), 0, False) for o in one(p, "pobj", "dobj") for w in at[p]]
+            found += [("relative_clause", s, i, t["head"], v["lemma"], 0, False) for t in at[i] if t["dep"] == "relcl"]
+        found += [("passive_voice", s, i, o, v["lemma"], 0, True) for o in one(i, "nsubjpass") for g in one(i, "agent") for s in one(g, "pobj")]
+    found += [("nsubj_verb_dobj", *x, 0, False) for x in svo]
+    for head in list(below):
+        for s in one(head, *SUBJECTS):
+            found += [("copula_attr", s, head, o, t["lemma"], 0, False) for o in children(head, "attr", "acomp") for t in at.get(head, ())]
+            found += [("copula_attr", s, c, head, t["lemma"], 0, False) for c in one(head, "cop") for r in at.get(head, ()) if r["dep"] == "ROOT" for t in at[c]]
+    found += [("apposition", t["head"], t["i"], t["i"], "holds_title", 0, False) for t in tokens if t["dep"] == "appos"]
+    if svo:
+        joined = defaultdict(list)
+        for i, top in climbed(lambda t: t["dep"] == "conj"):
+            joined[top].append(i)
+        found += [("coordination", s, p, o, lemma, 0, False) for a, p, b, lemma in svo for s in joined[a] for o in joined[b]]
+        level = [t["i"] for t in tokens if t["dep"] == "ROOT" and t["i"] is not None]
+        for depth in range(4):
+            found += [("nested_clause", *x, depth, False) for x in svo for i in level if i == x[1]]
+            level = [c for i in level for c in children(i, *CLAUSES)]
+    if not found:
+        return []
+    ends = {}
+    for i, top in climbed(lambda t: t["i"] != t["head"]):
+        a, z = ends.get(top, (i, i))
+        ends[top] = min(a, i), max(z, i)
+    texts = lambda ts: " ".join(t["text"] for t in sorted(ts, key=lambda t: (t["i"], t["text"] is not None, t["text"] or "")) if t["text"] is not None)
+    spans = {}
+
+    def span(top):
+        """The words from the first to the last of the subtree; whether they hold a possessive."""
+        if top not in spans:
+            a, z = ends[top]
+            words = [t for t in tokens if t["i"] is not None and a <= t["i"] <= z]
+            spans[top] = texts(words), any(t["dep"] in ("poss", "det") and t["low"] in D.POSSESSIVES for t in words)
+        return spans[top]
+
+    out = []
+    for pattern, s, p, o, lemma, depth, passive in found:
+        if s not in ends or o not in ends:
+            continue
+        short = [t for t in below.get(s, ()) if t["dep"] in ("compound", "amod", "det") and t["i"] < s]
+        modal = min(((t["i"], t["lemma"]) for t in tokens if t["dep"] == "aux" and t["head"] == p and t["i"] is not None and t["lemma"] in D.MODALITY), default=(0, None))[1]
+        for t in at.get(s, ()):
+            out.append((pattern, span(s)[0], t["text"], texts(short) if short else None, lemma, *span(o), depth, passive, bool(children(p, "neg")), modal))
     return out
 
 
-def spans(tokens: DataFrame) -> DataFrame:
-    """(doc_id, sent, top, text, owned): the words from the first to the last of each token's subtree; whether they
-    hold a possessive."""
-    up = closure(tokens, tokens.where("i <> head"))
-    ends = up.groupBy(*AT, "top").agg(F.min("i").alias("a"), F.max("i").alias("z"))
-    own = F.col("dep").isin("poss", "det") & F.lower("text").isin(*D.POSSESSIVES)
-    words = ends.join(tokens.select(*AT, "i", "text", own.alias("own")), AT).where("i BETWEEN a AND z")
-    return words.groupBy(*AT, "top").agg(F.array_sort(F.collect_list(F.struct("i", "text"))).alias("w"), F.bool_or("own").alias("owned")).select(*AT, "top", F.array_join(F.col("w.text"), " ").alias("text"), "owned")
-
-
-def patterns(tokens: DataFrame) -> DataFrame:
-    """(doc_id, sent, pattern, subject, predicate, object, lemma, factor, passive): places of what the eight patterns find."""
-    verb = tokens.where("pos = 'VERB'").select(*AT, F.col("i").alias("head"), F.lower("lemma").alias("lemma"))
-    subj, obj = children(tokens, ("nsubj",), "subject"), children(tokens, OBJECTS, "object")
-    key = [*AT, "head"]
-
-    def out(df: DataFrame, pattern: str, predicate="head", lemma="lemma", factor=None, passive=False) -> DataFrame:
-        return df.select(*AT, F.lit(pattern).alias("pattern"), "subject", F.col(predicate).alias("predicate"), "object", F.col(lemma).alias("lemma"), (F.lit(1.0) if factor is None else factor).alias("factor"), F.lit(passive).alias("passive"))
-
-    svo = verb.join(subj, key).join(obj, key)
-    prep = children(tokens, ("prep",), "p", first=False)
-    pobj = children(tokens, ("pobj", "dobj"), "object").withColumnRenamed("head", "p")
-    word = tokens.select(*AT, F.col("i").alias("p"), F.lower("text").alias("pw"))
-    prepositional = verb.join(subj, key).join(prep, key).join(pobj, [*AT, "p"]).join(word, [*AT, "p"]).withColumn("lemma", F.concat_ws("_", "lemma", "pw"))
-    any_subj = children(tokens, SUBJECTS, "subject")
-    named = tokens.select(*AT, F.col("i").alias("head"), F.lower("lemma").alias("lemma"))
-    attr = children(tokens, ("attr", "acomp"), "object", first=False).join(any_subj, key).join(named, key)
-    cop = children(tokens, ("cop",), "cop").join(tokens.where("dep = 'ROOT'").select(*AT, F.col("i").alias("head")), key).join(any_subj, key).withColumn("object", F.col("head"))
-    cop = cop.drop("head").withColumnRenamed("cop", "head").join(named, key)
-    appos = tokens.where("dep = 'appos'").select(*AT, F.col("head").alias("subject"), F.col("i").alias("object"), F.col("i").alias("head"), F.lit("holds_title").alias("lemma"))
-    agent = children(tokens, ("agent",), "p").join(children(tokens, ("pobj",), "subject").withColumnRenamed("head", "p"), [*AT, "p"])
-    passive = verb.join(children(tokens, ("nsubjpass",), "object"), key).join(agent, key)
-    conj = written(closure(tokens, tokens.where("dep = 'conj'")))
-    both = svo.join(conj.select(*AT, F.col("top").alias("subject"), F.col("i").alias("s")), [*AT, "subject"]).join(conj.select(*AT, F.col("top").alias("object"), F.col("i").alias("o")), [*AT, "object"])
-    both = both.drop("subject", "object").withColumnsRenamed({"s": "subject", "o": "object"})
-    front = tokens.where("dep = 'ROOT'").select(*AT, F.col("i").alias("head"), F.lit(0).alias("depth"))
-    levels = [front]
-    for _ in range(3):
-        inner = children(tokens, CLAUSES, "inner", first=False)
-        levels.append(levels[-1].join(inner, key).select(*AT, F.col("inner").alias("head"), (F.col("depth") + 1).alias("depth")))
-    nested = svo.join(reduce(DataFrame.unionAll, levels), key)
-    rel = tokens.where("dep = 'relcl'").select(*AT, F.col("i").alias("head"), F.col("head").alias("object"))
-    relative = verb.join(rel, key).join(subj, key)
-    parts = [
-        out(svo, "nsubj_verb_dobj"), out(prepositional, "nsubj_verb_prep_pobj"), out(attr, "copula_attr"), out(cop, "copula_attr"), out(appos, "apposition"),
-        out(passive, "passive_voice", passive=True), out(both, "coordination"), out(nested, "nested_clause", factor=F.pow(F.lit(0.96), "depth")), out(relative, "relative_clause"),
-    ]
-    return reduce(DataFrame.unionAll, parts)
-
-
 def triples(tokens: DataFrame) -> DataFrame:
     """(doc_id, sent, pattern, subject, predicate, object, confidence, negated, passive, question, modality) of all patterns.
 
     A negated predicate loses 0.15, a modal multiplies; a possessive complement gains 5 %, each level of nesting loses
     4 %. The subject of an apposition is its head with what stands directly before it.
     """
-    t = written(tokens.select(*AT, "i", "text", "lemma", "pos", "dep", "head"))
-    s = written(spans(t))
-    of = lambda c: [*AT, c]
-    p = patterns(t)
-    p = p.join(s.select(*AT, F.col("top").alias("subject"), F.col("text").alias("s_span")), of("subject")).join(s.select(*AT, F.col("top").alias("object"), F.col("text").alias("o_text"), "owned"), of("object"))
-    short = t.where(F.col("dep").isin("compound", "amod", "det") & (F.col("i") < F.col("head"))).groupBy(*AT, F.col("head").alias("subject")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda x: x["text"]), " ").alias("before"))
-    head = t.select(*AT, F.col("i").alias("subject"), F.col("text").alias("own_text"))
-    p = p.join(short, of("subject"), "left").join(head, of("subject"))
-    p = p.withColumn("s_text", F.when(F.col("pattern") == "apposition", F.concat_ws(" ", "before", "own_text")).otherwise(F.col("s_span")))
-    negated = children(t, ("neg",), "n").select(*AT, F.col("head").alias("predicate"), F.lit(True).alias("negated"))
-    modal = t.where((F.col("dep") == "aux") & F.lower("lemma").isin(*D.MODALITY)).groupBy(*AT, F.col("head").alias("predicate")).agg(F.min_by(F.lower("lemma"), "i").alias("modality"))
-    ask = t.groupBy(*AT).agg(F.max_by("text", "i").alias("last"), F.min_by(F.struct("dep", "pos"), "i").alias("one")).select(*AT, ((F.col("last") == "?") | ((F.col("one.dep") == "aux") & (F.col("one.pos") == "AUX"))).alias("question"))
-    p = p.join(negated, of("predicate"), "left").join(modal, of("predicate"), "left").join(ask, AT)
+    t = tokens.select(*AT, F.struct("i", "text", F.lower("text").alias("low"), F.lower("lemma").alias("lemma"), "pos", "dep", "head").alias("t"))
+    of = t.groupBy(*AT).agg(F.collect_list("t").alias("ts"), F.max_by("t.text", "t.i").alias("last"), F.min_by(F.struct("t.dep", "t.pos"), "t.i").alias("one"))
+    ask = (F.col("last") == "?") | ((F.col("one.dep") == "aux") & (F.col("one.pos") == "AUX"))
+    p = of.where(" AND ".join(f"{c} IS NOT NULL" for c in AT)).select(*AT, ask.alias("question"), F.inline(F.udf(patterns, _FOUND)("ts")))
+    p = p.withColumns({"s_text": F.when(F.col("pattern") == "apposition", F.concat_ws(" ", "before", "own")).otherwise(F.col("span")), "factor": F.pow(F.lit(0.96), "depth")})
     base = F.coalesce(F.try_element_at(text_map(D.PATTERN_CONFIDENCE), F.col("pattern")), F.lit(0.8))
-    is_no = F.coalesce("negated", F.lit(False))
+    is_no = F.col("negated")
     sure = F.round(F.greatest(F.lit(0.0), (base - F.when(is_no, 0.15).otherwise(0.0)) * F.coalesce(F.try_element_at(text_map(D.MODALITY), F.col("modality")), F.lit(1.0))), 3)
     owned = (F.col("pattern") == "copula_attr") & F.col("owned")
     sure = F.when(owned, F.least(F.lit(1.0), sure * 1.05)).otherwise(sure * F.col("factor"))
-    return p.select(*AT, "pattern", F.col("s_text").alias("subject"), F.col("lemma").alias("predicate"), F.col("o_text").alias("object"), sure.alias("confidence"), is_no.alias("negated"), "passive", (F.col("question") & (F.col("pattern") != "apposition")).alias("question"), "modality")
+    return p.select(*AT, "pattern", F.col("s_text").alias("subject"), F.col("lemma").alias("predicate"), "object", sure.alias("confidence"), is_no.alias("negated"), "passive", (F.col("question") & (F.col("pattern") != "apposition")).alias("question"), "modality")
 
 
 def distinct_triples(found: DataFrame) -> DataFrame:

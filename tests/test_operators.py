@@ -9,10 +9,10 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from engrammatic.operators import graph, relations, scoring, text
+from engrammatic.operators import dependencies, graph, relations, scoring, text
 from engrammatic.sources import chat
 from engrammatic.streaming import events
-from engrammatic.tables import DAY
+from engrammatic.tables import DAY, table
 
 
 def value(spark, column):
@@ -296,3 +296,19 @@ def test_long_texts_are_embedded_in_one_pass(spark):
     length = math.sqrt(sum(x * x for x in n.values()))
     assert got[0] == pytest.approx({p: x / length for p, x in n.items()}) and list(got[0]) == sorted(n)
     assert got[1] == got[2] == {} and [*got[3].values()] == [1.0]
+
+
+def test_dependency_triples_shuffle_each_sentence_once(spark):
+    """No join of tokens with tokens is left, whose sides the driver would gather to broadcast them."""
+    found = dependencies.triples(table(spark, "/root/testdata/sf0.001", "parsed").withColumnRenamed("tpl", "doc_id"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Aggregate") == 1
+
+
+def test_dependency_patterns_with_odd_tokens(spark):
+    """A cycle of heads ends, and null texts, places and labels are passed over."""
+    rows = [(1, 0, 0, "A", "a", "PROPN", "nsubj", 1, None), (1, 0, 1, "sees", "see", "VERB", "ROOT", 1, None), (1, 0, 2, "B", "b", "PROPN", "dobj", 1, None), (1, 0, 3, None, None, None, None, 2, None),
+            (1, 0, 4, "x", "x", "X", "conj", 5, None), (1, 0, 5, "y", "y", "X", "conj", 4, None), (1, 0, None, "z", "z", "VERB", "neg", 1, None), (2, 0, 0, None, None, None, None, None, None)]
+    found = dependencies.triples(spark.createDataFrame(rows, "doc_id long, sent int, i int, text string, lemma string, pos string, dep string, head int, ent string")).collect()
+    assert {(r.doc_id, r.subject, r.predicate, r.object, r.negated) for r in found} == {(1, "A", "see", "B", False)}
+    assert sorted(r.pattern for r in found) == ["coordination", "nested_clause", "nsubj_verb_dobj"]
