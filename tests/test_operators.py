@@ -312,3 +312,15 @@ def test_dependency_patterns_with_odd_tokens(spark):
     found = dependencies.triples(spark.createDataFrame(rows, "doc_id long, sent int, i int, text string, lemma string, pos string, dep string, head int, ent string")).collect()
     assert {(r.doc_id, r.subject, r.predicate, r.object, r.negated) for r in found} == {(1, "A", "see", "B", False)}
     assert sorted(r.pattern for r in found) == ["coordination", "nested_clause", "nsubj_verb_dobj"]
+
+
+@pytest.mark.parametrize("sought", [64, 0])
+def test_reinforcement_candidates_are_parts_of_texts_or_new_terms(spark, monkeypatch, sought):
+    """Names within words count, as do terms of new relations; of a name's many relations the first ten come."""
+    monkeypatch.setattr(relations, "SOUGHT", sought)
+    r = spark.createDataFrame([(1, "ann", "likes", "item3", 0.9), (1, "bob", "works_at", "org", 0.8), (1, "cy", "likes", "a very long name of a thing", 0.7), (2, "ann", "likes", "tea", 0.9), *((3, "dee", "likes", f"x{i:02d}", 0.5) for i in range(40))], "user_id long, subject string, predicate string, object string, confidence double")
+    m = spark.createDataFrame([(10, 1, "See ITEM35"), (11, 1, "nothing"), (12, 1, "A very long name of a thingy"), (13, 2, None), (14, 2, "steal"), (15, 1, "a very long name of no thing"), (16, 3, "deep x39"), (17, 1, "")], "node_id long, user_id long, content string")
+    new = spark.createDataFrame([(11, "x", "y", "ORG"), (13, "Ann", "y", "z")], "memory_id long, subject string, predicate string, object string")
+    df = relations.reinforcement_candidates(r, m, new)
+    got = {(x.node_id, x.object, x["rank"]) for x in df.collect()}
+    assert got == {(10, "item3", 1), (11, "org", 1), (12, "a very long name of a thing", 1), (13, "tea", 1), (14, "tea", 1), *((16, f"x{i:02d}", i + 1) for i in range(10))}
