@@ -324,3 +324,4 @@ def test_reinforcement_candidates_are_parts_of_texts_or_new_terms(spark, monkeyp
     df = relations.reinforcement_candidates(r, m, new)
     got = {(x.node_id, x.object, x["rank"]) for x in df.collect()}
     assert got == {(10, "item3", 1), (11, "org", 1), (12, "a very long name of a thing", 1), (13, "tea", 1), (14, "tea", 1), *((16, f"x{i:02d}", i + 1) for i in range(10))}
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
