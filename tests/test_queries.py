@@ -73,3 +73,8 @@ def test_ranks_are_given_by_group_of_seeds(spark, name):
     """What the seeds' lists are joined to is ranked already; nothing is sorted or grouped for each seed."""
     plan = Q[name](spark, D)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join Inner" in plan and "Window" not in plan and "Aggregate [seed" not in plan
+
+
+def test_dependency_triples_join_only_to_make_the_tokens(spark):
+    plan = Q["dependency_triples"](spark, D)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1
